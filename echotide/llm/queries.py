@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, packing
 
 QUERIES = {
+    "op4_packing": packing.op4,
     "op7_exact_dedup": exact_dedup.op7,
 }
 
