@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, packing, secrets, token_files
+from . import byte_bpe, exact_dedup, matroska, packing, secrets, token_files
 
 QUERIES = {
+    "op9_matroska": matroska.op9,
     "op3_secrets": secrets.op3,
     "op6_byte_bpe": byte_bpe.op6,
     "op2_token_files": token_files.op2,

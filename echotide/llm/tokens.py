@@ -16,6 +16,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words kept by a worker; characters of text handled at a time.
 KEPT_WORDS, SLICE_CHARS = 300_000, 2_000_000
@@ -94,7 +95,7 @@ def crc32_of(ids: np.ndarray, start: int = 0) -> int:
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each part has about `chars` bytes of text, or one row."""
     for b in batches:
-        sizes = pa.compute.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes)
         at = 0
         while at < b.num_rows:
@@ -106,8 +107,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int =
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int = END_ID) -> Iterator[tuple[pa.RecordBatch, list[bytes], np.dtype]]:
     """Each part of the batches with the ids of its texts, end_id last."""
-    import pyarrow.compute  # noqa: F401
-
     enc = encoder(path)
     end = np.array([end_id], enc.dtype).tobytes()
     for part in slices(batches):
