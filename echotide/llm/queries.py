@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, matroska, packing, secrets, token_files
+from . import byte_bpe, exact_dedup, matroska, packing, quality, secrets, token_files, toxicity
 
 QUERIES = {
+    "op5_toxicity": toxicity.op5,
+    "op8_quality": quality.op8,
     "op9_matroska": matroska.op9,
     "op3_secrets": secrets.op3,
     "op6_byte_bpe": byte_bpe.op6,
