@@ -143,6 +143,13 @@ def train(stats: DataFrame, labels: DataFrame, label_col: str = "quality") -> Mo
     return model
 
 
+def train_on(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+    """As train, from texts: only statistics of the labelled rows are computed and kept."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id")).where((fold() != 1) & F.col(label_col).isin(0, 1)).distinct()
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return train(stats_table(own.join(known, "doc_id", "left_semi")), labels, label_col)
+
+
 def classify(stats: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted of each row of statistics."""
     if model is None:
