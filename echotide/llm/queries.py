@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, matroska, ngram_join, packing, quality, secrets, token_files, toxicity
+from . import byte_bpe, exact_dedup, matroska, ngram_join, packing, quality, secrets, substring_dedup, token_files, toxicity
 
 QUERIES = {
+    "op10_substring_dedup": substring_dedup.op10,
     "op1_ngram_join": ngram_join.op1,
     "op5_toxicity": toxicity.op5,
     "op8_quality": quality.op8,
