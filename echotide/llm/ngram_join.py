@@ -11,9 +11,11 @@ MinHash values of representatives, in bands, name buckets. Within a bucket:
 
 Comparing is incremental: 25 MinHash values at a time, and a pair is dropped once the
 posterior probability of a similarity at the threshold or above falls below the
-tolerance. What is left is verified exactly on the sets of shingles. Classes are the connected
-components of verified links. Last, links are counted exactly between all members of a class,
-again in blocks, whose tasks emit one number per member.
+tolerance. The pairs left connect candidates into groups. Within a group every pair is verified
+exactly on the sets of shingles, in blocks of bounded size; a task emits one row per member of its
+blocks, with its number of links and one link of a spanning forest. Classes are the connected
+components of verified links. Counting all links of a group of g different texts takes in the order of
+g^2 / BLOCK rows of work, whatever their classes; groups of equal texts take none.
 
 With 40 bands of 5 values a link of similarity 0.8 shares no bucket with a probability of
 1.2e-7, and is pruned with about 1e-6; links above are missed less often.
@@ -179,27 +181,6 @@ def _pruned(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return arrow_map(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), rows, "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose exact similarity reaches the threshold."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
-                keep = []
-                for k, (x, y) in enumerate(zip(b.column("x").to_pylist(), b.column("y").to_pylist())):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if both >= threshold * (len(x) + len(y) - both) - 1e-9:
-                        keep.append(k)
-                keep = pa.array(keep, pa.int64())
-                yield batch(schema, b.column("a").take(keep), b.column("b").take(keep))
-
-    x, y = (sets.select(F.col("rep").alias(k), F.col("hashes").alias(s)) for k, s in (("a", "x"), ("b", "y")))
-    return arrow_map(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), rows, "a long, b long")
-
-
 def _sets(docs: DataFrame, involved: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A table of (rep, hashes) of the representatives in involved (rep, doc_id, text_md5)."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("text_md5", F.unhex(F.md5(F.col("text").cast("binary"))))
@@ -287,42 +268,57 @@ def _unconnected(members: DataFrame, labels: DataFrame, reps: DataFrame, thresho
     return arrow_map(_sorted(rows.select("key", "i", "j", "block", "rep", "comp", "pivot", "signature"), "key"), pairs, "a long, b long").distinct()
 
 
-def _link_counts(classes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(rep, linked): documents of other representatives of the class that are linked with it. classes: rep, comp, size, copies."""
-    rows = _in_blocks(classes.where("size > 1").join(sets, "rep"), "comp")
-    schema = pa.schema([("rep", pa.int64()), ("linked", pa.int64())])
+def _forest(linked: np.ndarray) -> np.ndarray:
+    """For each member, the first member that links connect it to."""
+    root = np.arange(len(linked))
+    while True:
+        low = np.minimum(np.where(linked, root, len(root)).min(1, initial=len(root)), root)
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _links(groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """A table of (rep, linked, root) per member and pair of blocks: documents of other members that are linked with it
+    there, and a member that links connect it to. groups: rep, comp, size, copies.
+    """
+    rows = _in_blocks(groups.where("size > 1").join(sets, "rep"), "comp")
+    schema = pa.schema([("rep", pa.int64()), ("linked", pa.int64()), ("root", pa.int64())])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, ("comp", "i", "j")):
             rep, copies, block = (g.column(c).to_numpy() for c in ("rep", "copies", "block"))
             hashes = [np.frombuffer(h, np.uint64) for h in g.column("hashes").to_pylist()]
             sizes = np.array(list(map(len, hashes)))
-            shingle, where = np.unique(np.concatenate(hashes), return_inverse=True)
-            member = np.repeat(np.arange(len(rep)), sizes)
-            shared = np.flatnonzero(np.bincount(where) > 1)
-            place = np.full(len(shingle), -1)
-            place[shared] = np.arange(len(shared))
-            column = place[where]
-            member, column = member[column >= 0], column[column >= 0]
-            order = np.argsort(column, kind="stable")
-            member, column = member[order], column[order]
-            both = np.zeros((len(rep), len(rep)))
-            for at in range(0, len(shared), 4096):
-                a, z = np.searchsorted(column, [at, at + 4096])
-                x = np.zeros((len(rep), 4096), np.float32)
-                x[member[a:z], column[a:z] - at] = 1
-                both += x @ x.T
-            linked = both >= threshold * (sizes[:, None] + sizes - both) - 1e-6
+            linked = _shared(hashes) >= threshold * (sizes[:, None] + sizes) / (1 + threshold) - 1e-6
             np.fill_diagonal(linked, False)
             if g.column("i")[0] != g.column("j")[0]:
                 linked &= block[:, None] != block
-            yield batch(schema, rep, linked @ copies)
-
-    parts = arrow_map(_sorted(rows.select("comp", "i", "j", "block", "rep", "copies", "hashes"), "comp"), counts, "rep long, linked long")
-    return parts.groupBy("rep").agg(F.sum("linked").alias("linked"))
-
-
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, count_links: bool = True) -> DataFrame:
+            yield batch(schema, rep, linked @ copies, rep[_forest(linked)])
+
+    return materialize(arrow_map(_sorted(rows.select("comp", "i", "j", "block", "rep", "copies", "hashes"), "comp"), found, "rep long, linked long, root long"), "links")
+
+
+def _shared(hashes: list[np.ndarray]) -> np.ndarray:
+    """Numbers of shingles that each two sets share, from products of slices of their incidence matrix."""
+    shingle, where = np.unique(np.concatenate(hashes), return_inverse=True)
+    member = np.repeat(np.arange(len(hashes)), list(map(len, hashes)))
+    common = np.bincount(where) > 1
+    place = np.cumsum(common) - 1
+    member, column = member[common[where]], place[where[common[where]]]
+    order = np.argsort(column, kind="stable")
+    member, column = member[order], column[order]
+    both, width = np.zeros((len(hashes), len(hashes))), 4096
+    for at in range(0, int(common.sum()), width):
+        a, z = np.searchsorted(column, [at, at + width])
+        x = np.zeros((len(hashes), min(width, int(common.sum()) - at)), np.float32)
+        x[member[a:z], column[a:z] - at] = 1
+        both += x @ x.T
+    return both
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Per row: doc_id, row, text_md5, class_id (smallest doc_id of the class), comp, first (whether it is the class's first row) and n_links.
 
     n_links is the number of other rows with a similarity at the threshold or above.
@@ -333,27 +329,27 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     entries = reps.select("rep", F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1")
     members = materialize(entries.join(buckets, "key"), "buckets")
-    sets = _sets(docs, members.select("rep").distinct().join(reps, "rep").select("rep", "id", "md5"), id_col, text_col)
     star = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    links = materialize(_verified(_pruned(star, reps, threshold), sets, threshold), "links")
-    more = materialize(_verified(_unconnected(members, components(links), reps, threshold), sets, threshold), "links")
-    labels = components(links.unionByName(more))
+    alike = materialize(_pruned(star, reps, threshold), "candidates")
+    more = materialize(_unconnected(members, components(alike), reps, threshold), "candidates")
+    groups = components(alike.unionByName(more)).withColumnRenamed("id", "rep")
+    sizes = groups.groupBy("comp").agg(F.count("*").alias("size"))
+    sets = _sets(docs, groups.select("rep").join(reps, "rep").select("rep", "id", "md5"), id_col, text_col)
+    links = _links(groups.join(sizes, "comp").join(reps.select("rep", "copies"), "rep"), sets, threshold)
+    labels = components(links.where("rep <> root").select(F.col("root").alias("a"), F.col("rep").alias("b")))
     known = reps.select("rep", "id", "copies", "digest").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     known = materialize(known, "classes")
     sizes = known.groupBy("comp").agg(F.count("*").alias("size"), F.min("id").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rep"))["rep"].alias("keep"))
     classes = known.join(sizes, "comp")
-    if count_links:
-        linked = _link_counts(classes.select("rep", "comp", "size", "copies"), sets, threshold)
-        classes = classes.join(linked, "rep", "left").withColumn("n_links", F.coalesce("linked", F.lit(0)) + F.col("copies") - 1)
-    else:
-        classes = classes.withColumn("n_links", F.lit(None).cast("long"))
+    linked = links.groupBy("rep").agg(F.sum("linked").alias("linked"))
+    classes = classes.join(linked, "rep", "left").withColumn("n_links", F.coalesce("linked", F.lit(0)) + F.col("copies") - 1)
     classes = classes.select("digest", "class_id", "comp", "class_size", "n_links", "keep")
     return signed.select("doc_id", "row", "text_md5", "digest").join(classes, "digest").select("doc_id", "row", "text_md5", "class_id", "comp", "class_size", "n_links", (F.col("row") == F.col("keep")).alias("first"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each class (its smallest doc_id), all columns kept."""
-    kept = join(docs, id_col, text_col, threshold, count_links=False).where("first").select(F.col("doc_id").alias("__id"), F.col("text_md5").alias("__md5"))
+    kept = join(docs, id_col, text_col, threshold).where("first").select(F.col("doc_id").alias("__id"), F.col("text_md5").alias("__md5"))
     marked = docs.withColumn("__own", F.unhex(F.md5(text_of(text_col).cast("binary"))))
     out = marked.join(kept, F.col("__own").eqNullSafe(F.col("__md5")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
     return out.dropDuplicates(["__own", "__id"]).select(docs.columns)
