@@ -32,7 +32,7 @@ from .common import arrow_map, batch, table, text_of
 
 PER_CLASS, UNITS, WORDS, PIECES, DRAWS = 10_000, 512, 4096, 20_000, 4000
 WINDOW_WORDS, PIECE_BYTES, UNIT_LETTERS = 8, 160, (4, 5, 6, 7, 8)
-ORDINARY_BYTES, TOXIC_BYTES = 8192, 2048
+ORDINARY_BYTES, TOXIC_BYTES = 6144, 1024
 #: A word beginning sets toxic text apart where it is in this share of toxic rows, so many times more often than in
 #: others, and the rows times the logarithm of that are enough to rule out chance.
 MIN_SHARE, MIN_ODDS, MIN_EVIDENCE = 0.02, 8.0, 20.0
@@ -144,14 +144,17 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_clas
 
 
 def _dictionaries(plain: list[bytes], words: list[tuple[bytes, int]]) -> tuple[bytes, bytes]:
-    """Contents of both dictionaries: they differ in what is trained on toxic words, or on as much ordinary text."""
+    """Contents of both dictionaries: what is trained on ordinary text, and that behind what is trained on toxic words.
+
+    Ordinary words so cost the same with either.
+    """
     # Words stand next to others in every order, as often as they occur.
     total = sum(n for _, n in words) or 1
     pool = [w for w, n in words for _ in range(max(2, n * DRAWS // total))]
     np.random.default_rng(0).shuffle(pool)
     repeats = [b" " + b" ".join(pool[i : i + 4]) + b" " for i in range(0, len(pool), 4)]
-    base, other = _trained(plain, ORDINARY_BYTES, 32, 6), _trained(plain, TOXIC_BYTES, 16, 6)
-    return other + base, (_trained(repeats, TOXIC_BYTES, 32, 8) if repeats else other) + base
+    base = _trained(plain, ORDINARY_BYTES, 32, 6)
+    return base, (_trained(repeats, TOXIC_BYTES, 32, 8) if repeats else b"") + base
 
 
 def _trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
