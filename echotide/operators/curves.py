@@ -36,11 +36,14 @@ def _long(wide: DataFrame, names: Sequence[str], rate: Column, window: Column) -
     return long.select(*CURVE_KEY, "frame", time_s(F.col("frame"), rate).alias("time_s"), F.col("value").cast("double").alias("value"))
 
 
-def roi_curves(voxels: DataFrame, mask: DataFrame, dims: int, types: Sequence[CurveType] = (tic,), rate: Column | float = 1.0) -> DataFrame:
-    """Curves of whole regions: one shuffle, partial sums first. A region without cells has null values in all frames."""
+def roi_curves(voxels: DataFrame, mask: DataFrame, dims: int, types: Sequence[CurveType] = (tic,), rate: Column | float = 1.0, frames: DataFrame | None = None) -> DataFrame:
+    """Curves of whole regions: one shuffle, partial sums first. A region without cells has null values in all frames.
+
+    frames (scan_id, frame) names all frames, where known; they are looked up among the voxels otherwise.
+    """
     aggregates = check_names([t(F.col("value")) for t in types])
     found = in_roi(voxels, mask, dims).groupBy("scan_id", "seg_id", "frame").agg(*(c.alias(n) for n, c in aggregates.items()))
-    spine = voxels.select("scan_id", "frame").distinct().join(mask.select(*ROI).distinct(), "scan_id")
+    spine = (voxels.select("scan_id", "frame").distinct() if frames is None else frames).join(mask.select(*ROI).distinct(), "scan_id")
     wide = spine.join(found, ["scan_id", "seg_id", "frame"], "left")
     return _long(wide, list(aggregates), F.lit(rate), F.lit(None).cast("int"))
 

@@ -34,6 +34,10 @@ class Image:
     def dims(self) -> int:
         return len(self.shape) - 1
 
+    @property
+    def frames(self) -> int:
+        return self.shape[0] if self.dims == 2 else self.shape[3]
+
     @property
     def size(self) -> list[int]:
         """Cells per axis, in the order ax, sag, cor."""
@@ -123,7 +127,8 @@ CURVE_TYPES.add("firstorder")(lambda image, **_: texture.radiomics_first_order)
 
 @ANALYSES.add("curves")
 def _roi(image: Image, mask: DataFrame, types, **_) -> Analysis:
-    return Analysis(C.roi_curves(image.voxels, mask, image.dims, types, image.frame_rate), mask=mask, image=image)
+    frames = image.voxels.sparkSession.range(image.frames).select(F.lit(image.scan_id).alias("scan_id"), F.col("id").cast("int").alias("frame"))
+    return Analysis(C.roi_curves(image.voxels, mask, image.dims, types, image.frame_rate, frames), mask=mask, image=image)
 
 
 @ANALYSES.add("curves_paramap", required=("ax_vox_len", "sag_vox_len", "cor_vox_len", "ax_vox_ovrlp", "sag_vox_ovrlp", "cor_vox_ovrlp"))
