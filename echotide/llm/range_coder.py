@@ -23,7 +23,7 @@ import numpy as np
 
 MAGIC = b"TCM1"
 HEADER = struct.Struct("<4sIIIQIII")
-BLOCK_IDS, LANES = 4096, 1024
+BLOCK_IDS, LANES = 4096, 2048
 _HASH, _SLOTS, _TOTAL = 12, 2048, 13
 _REBUILD = frozenset([32, 96, 224, 480, 992, 1760, 2528, 3296])
 _TOP, _BOT, _WORD = np.uint64(1 << 24), np.uint64(1 << 16), np.uint64(0xFFFFFFFF)
@@ -39,15 +39,16 @@ class _Model:
         self.p1 = np.zeros(lanes, np.int64)
         self.key2 = np.zeros(lanes, np.int64)
         size = lanes << _HASH
-        self.next2, self.next1 = np.zeros(size, np.uint16), np.zeros(size, np.uint16)
-        self.run2, self.run1 = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
+        # id that followed | run of hits << 16; id | its slot << 16, or -1
+        self.table2, self.table1 = np.zeros(size, np.int32), np.zeros(size, np.int32)
         self.right2, self.right1 = (np.tile(np.array([0, 20000, 28000, 34000, 38000, 42000, 44000, 46000], np.int64), lanes) for _ in range(2))
-        self.owner, self.slot_of = np.full(size, -1, np.int32), np.zeros(size, np.int32)
+        self.entry = np.full(size, -1, np.int32)
         self.id_at = np.zeros(lanes * _SLOTS, np.uint16)
         self.count = np.zeros(lanes * _SLOTS, np.int32)
         self.count[self.row * _SLOTS] = 1  # slot 0: the escape
         self.used = np.ones(lanes, np.int64)
         self.cum = np.zeros((lanes, _SLOTS + 1), np.int32)
+        self.flat, self.cum_at = self.cum.ravel(), self.row * (_SLOTS + 1)
         self.ready = np.ones(lanes, np.int64)
         self.table: np.ndarray | None = None
         self.rebuild(False)
@@ -69,30 +70,37 @@ class _Model:
     def look(self) -> None:
         """Before an id: both predictions and their shares of 2^16."""
         self.k2, self.k1 = self.at + self.key2, self.at + ((self.p1 * 40503 >> 4) & 4095)
-        self.x2, self.x1 = self.next2[self.k2], self.next1[self.k1]
-        self.c2, self.c1 = (self.row << 3) + self.run2[self.k2], (self.row << 3) + self.run1[self.k1]
+        e2, e1 = self.table2[self.k2], self.table1[self.k1]
+        self.x2, self.x1 = e2 & 0xFFFF, e1 & 0xFFFF
+        self.c2, self.c1 = (self.row << 3) + (e2 >> 16), (self.row << 3) + (e1 >> 16)
         self.w2 = self.right2[self.c2]
         self.w1 = (self.right1[self.c1] * (57000 - self.w2)) >> 16
 
-    def learn(self, ids: np.ndarray) -> None:
+    def place(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where ids are kept, and the slots of those that a rebuilt table knows; 0 for others."""
+        where = self.at + ((ids * 40503 >> 4) & 4095)
+        entry = self.entry[where]
+        slot = entry >> 16
+        return where, np.where(((entry & 0xFFFF) == ids) & (slot < self.ready) & (entry >= 0), slot, 0)
+
+    def learn(self, ids: np.ndarray, where: np.ndarray | None = None) -> None:
         """After an id."""
-        for k, c, right, nxt, run, hit in ((self.k2, self.c2, self.right2, self.next2, self.run2, self.x2 == ids), (self.k1, self.c1, self.right1, self.next1, self.run1, self.x1 == ids)):
-            state = c & 7
+        for k, c, right, table, x in ((self.k2, self.c2, self.right2, self.table2, self.x2), (self.k1, self.c1, self.right1, self.table1, self.x1)):
+            state, hit = c & 7, x == ids
             old = right[c]
-            right[c] = np.where(state > 0, old + ((np.where(hit, 56000, 0) - old) >> 5), 0)
-            nxt[k] = ids
-            run[k] = np.where(hit, np.minimum(state + 1, 7), 1)
-        where = self.at + ((ids * 40503 >> 4) & 4095)
-        owner = self.owner[where]
-        new = np.flatnonzero((owner < 0) & (self.used < _SLOTS))
+            right[c] = (old + ((hit * 56000 - old) >> 5)) * (state > 0)
+            table[k] = ids | ((hit * np.minimum(state, 6) + 1) << 16)
+        if where is None:
+            where = self.at + ((ids * 40503 >> 4) & 4095)
+        entry = self.entry[where]
+        new = np.flatnonzero((entry < 0) & (self.used < _SLOTS))
         if len(new):
-            w = where[new]
-            self.owner[w] = ids[new]
-            self.slot_of[w] = slot = self.used[new]
+            slot = self.used[new]
+            entry[new] = self.entry[where[new]] = ids[new] | (slot << 16)
             self.id_at[new * _SLOTS + slot] = ids[new]
             self.used[new] += 1
-        mine = np.flatnonzero(self.owner[where] == ids)
-        self.count[mine * _SLOTS + self.slot_of[where[mine]]] += 1
+        mine = np.flatnonzero(((entry & 0xFFFF) == ids) & (entry >= 0))
+        self.count[mine * _SLOTS + (entry[mine] >> 16)] += 1
         self.key2 = ((self.p1 * 30011 + ids * 52361) >> 5) & 4095
         self.p1 = ids
 
@@ -100,8 +108,8 @@ class _Model:
         """Range of an order-0 slot behind the shares of the predictions."""
         base = self.w2 + self.w1
         rest = (1 << 16) - base
-        low = base + (rest * self.cum[self.row, slot] >> _TOTAL)
-        return low, base + (rest * self.cum[self.row, slot + 1] >> _TOTAL)
+        at = self.cum_at + slot
+        return base + (rest * self.flat[at] >> _TOTAL), base + (rest * self.flat[at + 1] >> _TOTAL)
 
 
 def _narrow(low: np.ndarray, span: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,9 +177,7 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
             m.rebuild(False)
         x = ids[t]
         m.look()
-        where = m.at + ((x * 40503 >> 4) & 4095)
-        slot = m.slot_of[where]
-        slot = np.where((m.owner[where] == x) & (slot < m.ready), slot, 0)
+        where, slot = m.place(x)
         lo, hi = m.interval(slot)
         by2 = (m.x2 == x) & (m.w2 > 0)
         by1 = ~by2 & (m.x1 == x) & (m.w1 > 0)
@@ -186,7 +192,7 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
         raw = raw[raw < live]
         if len(raw):
             put(raw, x[raw].astype(_U), np.ones(len(raw), _U))
-        m.learn(x)
+        m.learn(x, where)
     for _ in range(4):
         out[end] = low >> _U(24)
         low = (low << _U(8)) & _WORD

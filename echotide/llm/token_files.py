@@ -107,23 +107,31 @@ def read_parts(files: DataFrame, with_ids: bool = False) -> DataFrame:
     return parts if with_ids else parts.drop("ids")
 
 
-def _crc32_joined(parts: list[tuple[int, int, int]]) -> int:
-    """crc32 of bytes joined, from (part, ids, crc32) of each: appending n zero bytes is a product by x^(8n)."""
-    def times(a: int, b: int) -> int:
-        p = 0
-        for i in range(31, -1, -1):
-            p ^= b if a >> i & 1 else 0
-            b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
-        return p
+def _times(a: int, b: int) -> int:
+    """Product of polynomials modulo that of crc32, lowest power first."""
+    p = 0
+    while a:
+        if a & 1 << 31:
+            p ^= b
+        a = a << 1 & 0xFFFFFFFF
+        b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+    return p
+
+
+#: x^(8 * 2^k): what appending 2^k zero bytes multiplies by.
+_SQUARES = [1 << 23]
+for _ in range(63):
+    _SQUARES.append(_times(_SQUARES[-1], _SQUARES[-1]))
 
+
+def _crc32_joined(parts: list[tuple[int, int, int]]) -> int:
+    """crc32 of bytes joined, from (part, ids, crc32) of each."""
     total = 0
     for _, n, crc in sorted(parts):
-        power, square, bits = 1 << 31, 1 << 23, 4 * n  # x^0 and x^8
-        while bits:
-            if bits & 1:
-                power = times(power, square)
-            square, bits = times(square, square), bits >> 1
-        total = times(power, total) ^ crc
+        for k in range((4 * n).bit_length()):
+            if total and 4 * n >> k & 1:
+                total = _times(_SQUARES[k], total)
+        total ^= crc
     return total
 
 
@@ -132,14 +140,14 @@ def document_crcs(files: DataFrame) -> DataFrame:
     shards = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     bases = shards.select("shard", (F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))
     parts = read_parts(files)
-    docs = parts.groupBy("shard", "seq").agg(F.first("doc_id").alias("doc_id"), F.min("start_in_shard").alias("at"), F.sum("n").alias("n_tokens"), F.min("crc").alias("crc"), F.collect_list(F.struct("part", "n", "crc")).alias("parts"))
+    docs = parts.groupBy("shard", "seq").agg(F.first("doc_id").alias("doc_id"), F.min("start_in_shard").alias("at"), F.sum("n").alias("n_tokens"), F.collect_list(F.struct("part", "n", "crc")).alias("parts"))
 
     @F.udf("long")
     def joined(parts):
-        return _crc32_joined(parts)
+        return _crc32_joined(parts) if len(parts) > 1 else parts[0][2]
 
     # One row per shard, whose number the caller sets.
-    return docs.join(F.broadcast(bases), "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", F.when(F.size("parts") == 1, F.col("crc")).otherwise(joined("parts")).alias("ids_crc32"))
+    return docs.join(F.broadcast(bases), "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", joined("parts").alias("ids_crc32"))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
