@@ -8,6 +8,7 @@ and looked up after that. The lookup table has a bounded size.
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import re
 import zlib
@@ -19,11 +20,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words kept by a worker; characters of text handled at a time.
-KEPT_WORDS, SLICE_CHARS = 300_000, 2_000_000
+KEPT_WORDS, SLICE_CHARS = 450_000, 2_000_000
 END_ID = 1
 #: Letters, and marks after letters, are pieces of their own.
 _LETTERS, _MARKED = re.compile("[a-zß-öø-ÿ]+"), re.compile("([a-zß-öø-ÿ]+)([.,;:!?]+)")
 
+#: A stop or comma that isn't behind a letter or digit, and so may be of one piece with what is before it.
+_BEHIND_MARK = re.compile(r"[.,](?<![^\W_].)")
+
 
 class WordEncoder:
     """Ids of whole texts, as little-endian unsigned 16- or 32-bit bytes."""
@@ -66,12 +70,20 @@ class WordEncoder:
             self.known[m[0]] = self.known[m[1]] + self.known[m[2]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_lowered(t).replace("\n", " ").split(" ") for t in texts]
+        split = [_spaced(_lowered(t)).replace("\n", " ").split(" ") for t in texts]
         self._learn(set(chain.from_iterable(split)))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
+def _spaced(text: str) -> str:
+    """The text with stops and commas at ends of words set apart, unless one stands behind anything but a letter or digit."""
+    if _BEHIND_MARK.search(text):
+        return text
+    text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n").replace(",\n", " ,\n")
+    return f"{text[:-1]} {text[-1]}" if text.endswith((".", ",")) else text
+
+
 def _lowered(text: str) -> str:
     """Latin text in lower case, as the normalizer makes it; other text as it is."""
     if not text.isascii():
@@ -84,6 +96,8 @@ def _lowered(text: str) -> str:
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
+    """One per worker. Its table of many small objects holds no cycles, so Python looks for them less often."""
+    gc.set_threshold(500_000, 50, 50)
     return WordEncoder(path)
 
 
