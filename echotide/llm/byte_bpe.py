@@ -3,7 +3,7 @@
 A pair of bytes that occurs inside no token of the vocabulary marks a certain cut: no
 token can span it. Texts are split at these pairs first, in one array operation over
 the bytes of a batch, where the cut also starts a piece of the pre-tokenizer (a space
-after a byte that isn't white space). Fragments are encoded independently, and their ids
+after a byte that isn't white space, a mark after a letter). Fragments are encoded independently, and their ids
 joined. Inside a fragment, pieces of the pre-tokenizer are cut again at pairs that
 occur nowhere, and the library's merge step runs on each part alone. Fragments recur, so a worker keeps the ids of a
 bounded number of them.
@@ -17,11 +17,12 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -38,7 +39,10 @@ from .common import arrow_map, batch, table, text_of
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Fragments that are plainly a piece of letters, or one with a piece of marks behind.
 _PLAIN = re.compile(rb"( ?[A-Za-z]+)([.,;:!?]*)")
-KEPT_FRAGMENTS = 300_000
+_MARKS, _LETTERS = np.zeros(256, bool), np.zeros(256, bool)
+_MARKS[[ord(c) for c in ".,;:!?"]] = True
+_LETTERS[[*range(65, 91), *range(97, 123)]] = True
+KEPT_FRAGMENTS = 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -65,80 +69,101 @@ class ByteBPE:
         # Runs the merges of one piece, given in the letters that stand for bytes.
         self.merges = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "normalizer": None, "pre_tokenizer": None, "post_processor": None, "truncation": None, "padding": None}))
         self.letter = {b: c for c, b in letters.items()}
+        self.space = self.letter[32]
+        self.decimal = {i: str(i) for i in self.by_id}
         # never[a, b]: no token has byte b right after byte a.
         self.never = np.ones((256, 256), bool)
         for token in self.ids:
             t = np.frombuffer(token, np.uint8)
             self.never[t[:-1], t[1:]] = False
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.text_of_id = {i: str(i) for i in self.by_id}
         self.keep, self.known = keep, {}
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
         """Places in the bytes of valid UTF-8 where both the vocabulary and the pre-tokenizer force a cut.
 
-        The byte before a cut ends no white-space character: it is ASCII above the space, or ends a
-        two-byte character from U+00C0 on. The byte after it is a space.
+        Before a space: the byte before ends no white-space character (it is ASCII above the space, or
+        ends a two-byte character from U+00C0 on). Between an ASCII letter and a mark.
         """
         if len(data) < 3:
             return np.zeros(0, np.int64)
         at = np.flatnonzero(data[1:] == 32)
         last, before = data[at], data[np.maximum(at - 1, 0)]
         plain = (last > 32) & (last < 127) | (last >= 128) & (before >= 0xC3) & (before <= 0xDF)
-        return at[plain & self.never[last, 32]] + 1
+        spaces = at[plain & self.never[last, 32]]
+        at = np.flatnonzero(_MARKS[data[1:]])
+        marks = at[_LETTERS[data[at]] & self.never[data[at], data[at + 1]]]
+        return np.sort(np.concatenate([spaces, marks]), kind="stable") + 1
 
     def pieces(self, fragment: bytes) -> list[bytes]:
-        """Pieces of the pre-tokenizer and special tokens, cut at the forced pairs inside them."""
+        """Pieces of the pre-tokenizer and special tokens."""
         if m := _PLAIN.fullmatch(fragment):
-            found = [m[1], m[2]] if m[2] else [m[1]]
-        else:
-            found = []
-            text = fragment.decode()
-            for k, part in enumerate(self.split_special.split(text) if self.split_special else [text]):
-                found += [part.encode()] if k % 2 else map(str.encode, PIECES.findall(part))
-        out = []
-        for piece in found:
-            if len(piece) == 1 or piece in self.ids or piece in self.special_bytes:
-                out.append(piece)
-                continue
-            b = np.frombuffer(piece, np.uint8)
-            at = 0
-            for cut in (np.flatnonzero(self.never[b[:-1], b[1:]]) + 1).tolist():
-                out.append(piece[at:cut])
-                at = cut
-            out.append(piece[at:])
+            return [m[1], m[2]] if m[2] else [fragment]
+        found: list[bytes] = []
+        text = fragment.decode()
+        for k, part in enumerate(self.split_special.split(text) if self.split_special else [text]):
+            found += [part.encode()] if k % 2 else map(str.encode, PIECES.findall(part))
+        return found
+
+    def _cut(self, pieces: list[bytes]) -> dict[bytes, list[bytes]]:
+        """The pieces that have forced pairs inside, cut at them; looked up over all pieces at once."""
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        ends = np.cumsum(list(map(len, pieces)))
+        at = np.flatnonzero(self.never[data[:-1], data[1:]]) + 1
+        inside = np.ones(len(data) + 1, bool)
+        inside[ends] = False
+        at = at[inside[at]]
+        out: dict[bytes, list[bytes]] = {}
+        for k, cut in zip(np.searchsorted(ends, at, "right").tolist(), at.tolist()):
+            piece = pieces[k]
+            done = out.setdefault(piece, [piece])
+            cut -= int(ends[k]) - len(done[-1])  # what is left of the piece ends where it does
+            done[-1:] = [done[-1][:cut], done[-1][cut:]]
         return out
 
     def _learn(self, fragments: set[bytes]) -> None:
         new = fragments.difference(self.known)
         if len(self.known) + len(new) > self.keep:
             self.known, new = {}, fragments
-        cut = {f: self.pieces(f) for f in new}
-        ids = {p: (i,) for p, i in self.special_bytes.items()}
-        merge = list(set(chain.from_iterable(cut.values())).difference(ids))
+        found = {f: self.pieces(f) for f in new}
+        # A piece that was a fragment by itself is known already.
+        unknown = list(set(chain.from_iterable(found.values())).difference(self.known, self.special_bytes))
+        cut = self._cut(unknown) if unknown else {}
+        ids: dict[bytes, Sequence[int]] = {p: (i,) for p, i in self.special_bytes.items()}
+        merge = list({x for p in unknown for x in cut.get(p, (p,))})
         if merge:
-            found = self.merges.encode([p.decode("latin-1").translate(self.letter) for p in merge], is_pretokenized=True, add_special_tokens=False)
-            flat, ends = found.ids, np.cumsum(np.bincount(np.array(found.word_ids), minlength=len(merge))).tolist()
+            letters = [p.decode().replace(" ", self.space) if p.isalnum() or p[1:].isalnum() and p[:1] == b" " and p.isascii() else p.decode("latin-1").translate(self.letter) for p in merge]
+            done = self.merges.encode(letters, is_pretokenized=True, add_special_tokens=False)
+            flat, ends = done.ids, np.cumsum(np.bincount(np.array(done.word_ids), minlength=len(merge))).tolist()
             ids |= zip(merge, map(lambda a, z: flat[a:z], [0, *ends[:-1]], ends))
-        for f, parts in cut.items():
-            self.known[f] = tuple(ids[parts[0]] if len(parts) == 1 else chain.from_iterable(map(ids.__getitem__, parts)))
-
-    def encode(self, texts: pa.Array) -> list[list[int]]:
-        """Ids of each text; nulls have none."""
+        for p, parts in cut.items():
+            ids[p] = list(chain.from_iterable(map(ids.__getitem__, parts)))
+        decimal, token = self.decimal.__getitem__, self.by_id.__getitem__
+        for f, parts in found.items():
+            of = [ids[p] if p in ids else self.known[p][0] for p in parts]
+            own = of[0] if len(of) == 1 else list(chain.from_iterable(of))
+            # Tokens decode independently, so a fragment's bytes and decimals can be joined too.
+            self.known[f] = (own, ",".join(map(decimal, own)), b"".join(map(token, own)))
+
+    def fragments(self, texts: pa.Array) -> list[list[tuple[Sequence[int], str, bytes]]]:
+        """(ids, ids as decimals, bytes that they decode to) of each fragment of each text; nulls have none."""
         texts = texts.fill_null("").cast(pa.large_binary())
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         whole = texts.buffers()[2]
         raw = whole.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_pybytes() if whole else b""
         starts = offsets - offsets[0]
-        cuts = self.cuts(np.frombuffer(raw, np.uint8))
-        bounds = np.union1d(cuts, starts)
-        ends = bounds[1:].tolist()
-        fragments = [raw[a:z] for a, z in zip(bounds.tolist(), ends)]
-        self._learn(set(fragments))
-        get = self.known.__getitem__
+        bounds = np.sort(np.concatenate([self.cuts(np.frombuffer(raw, np.uint8)), starts]), kind="stable")
+        bounds = bounds[np.append(True, bounds[1:] != bounds[:-1])]
+        parts = list(map(raw.__getitem__, map(slice, bounds[:-1].tolist(), bounds[1:].tolist())))
+        self._learn(set(parts))
+        done = list(map(self.known.__getitem__, parts))
         # An empty text begins and ends at one place and so has no fragments.
         at = np.searchsorted(bounds, starts).tolist()
-        return [list(chain.from_iterable(map(get, fragments[a:z]))) for a, z in zip(at, at[1:])]
+        return [done[a:z] for a, z in zip(at, at[1:])]
+
+    def encode(self, texts: pa.Array) -> list[list[int]]:
+        """Ids of each text; nulls have none."""
+        return [list(chain.from_iterable(f[0] for f in parts)) for parts in self.fragments(texts)]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.by_id.__getitem__, ids)).decode("utf-8", "replace")
@@ -146,6 +171,8 @@ class ByteBPE:
 
 @functools.lru_cache(maxsize=2)
 def byte_bpe(path: str) -> ByteBPE:
+    """One per worker. Its table of many small objects holds no cycles, so Python looks for them less often."""
+    gc.set_threshold(500_000, 50, 50)
     return ByteBPE(path)
 
 
@@ -179,12 +206,12 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path)
-        name = bpe.text_of_id.__getitem__
         for b in tokens.slices(batches):
             out = []
-            for doc, ids in zip(b.column("doc_id").to_pylist(), bpe.encode(b.column("text"))):
-                decimals = ",".join(map(name, ids)).encode()
-                out.append((doc, len(ids), hashlib.sha256(decimals).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()))
+            for doc, parts in zip(b.column("doc_id").to_pylist(), bpe.fragments(b.column("text"))):
+                ids, decimals, raw = zip(*parts) if parts else ((), (), ())
+                text = b"".join(raw).decode("utf-8", "replace")
+                out.append((doc, sum(map(len, ids)), hashlib.sha256(",".join(decimals).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
             yield batch(schema, *zip(*out))
 
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")), rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
