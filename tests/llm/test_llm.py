@@ -43,7 +43,7 @@ def texts(df):
 # Tokens, packing, files ---------------------------------------------------------------------
 
 
-def reference_ids(path):
+def library_ids(path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -54,13 +54,13 @@ ODD = ["", " ", "a  b", "İSTANBUL ΣΑΣ Σ", "don't I'M we'Ll", "x<|endoftext|
 
 
 def test_word_encoder():
-    e, ref = tokens.WordEncoder(WORD, keep=40), reference_ids(WORD)
+    e, ref = tokens.WordEncoder(WORD, keep=40), library_ids(WORD)
     for batch in (ODD, [LONG, *ODD], ODD):
         assert [np.frombuffer(b, e.dtype).tolist() for b in e.encode(batch)] == [ref(t) for t in batch]
 
 
 def test_packing(spark, awkward, nothing, docs):
-    ref = reference_ids(WORD)
+    ref = library_ids(WORD)
     for df in (awkward, docs):
         pieces = packing.pack(packing.encode(df, WORD), with_ids=True)
         rows = sorted(pieces.collect(), key=lambda r: (r["sequence_id"], r["offset"]))
@@ -100,7 +100,7 @@ def test_range_coder():
 
 
 def test_token_files(awkward, nothing, docs):
-    ref = reference_ids(WORD)
+    ref = library_ids(WORD)
     got = sorted(map(tuple, token_files.document_crcs(token_files.write(docs, WORD)).select("doc_id", "start", "n_tokens", "ids_crc32").collect()))
     expected, start = [], 0
     for i, t in sorted(texts(docs)):
