@@ -1,7 +1,8 @@
 """Substring dedup by content-defined chunks.
 
 A gear hash of the last 32 bytes cuts texts where its top bits are zero, on average
-every 32 bytes. Cuts depend on nothing but these bytes, so an insertion
+every 32 bytes; a chunk above 1,024 bytes, as in text that repeats itself, is cut where fewer bits
+are. Cuts depend on nothing but these bytes, so an insertion
 moves no cut beyond its own chunk. A chunk whose digest occurs in several rows is a repeat;
 neighbouring repeats make a span, and spans of MIN_BYTES or more are reported, which
 chance repeats of short chunks do not reach. The occurrence in the smallest (doc_id, row) stays.
@@ -10,7 +11,7 @@ Chunks are counted with map-side sums before they meet by digest, so a passage i
 third of all rows is one row per task there; joining the few repeated digests to chunks is an
 ordinary join, which adaptive execution splits where a digest is frequent.
 
-Cases: null counts as empty; a text without a cut is one chunk, an empty one has none; equal
+Cases: null counts as empty; an empty text has no chunks; equal
 rows and rows with equal or null doc_id are told apart, and repeat one another; an empty table
 gives an empty result; other columns are ignored; texts are read whole, whatever their length.
 """
@@ -29,7 +30,7 @@ from pyspark.sql.window import Window
 from . import tokens
 from .common import arrow_map, batch, materialize, table, text_of
 
-REACH, ZERO_BITS, MIN_BYTES = 32, 5, 96
+REACH, ZERO_BITS, MIN_BYTES, MAX_BYTES = 32, 5, 96, 1024
 _GEAR = np.random.default_rng(32).integers(0, 1 << 32, 256, dtype=np.uint32)
 _CHUNKS = "row long, doc_id long, ord int, start long, length int, digest long"
 _CHUNKS_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("ord", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("digest", pa.int64())])
@@ -53,11 +54,29 @@ def chunk_ends(texts: list[bytes]) -> list[list[int]]:
     """Ends of the chunks of each text."""
     gap = bytes(REACH)
     data = np.frombuffer(gap.join(texts) + gap, np.uint8)
-    cuts = np.flatnonzero(gear_hashes(data) >> np.uint32(32 - ZERO_BITS) == 0) + 1
+    hashes = gear_hashes(data)
+    cuts = np.flatnonzero(hashes >> np.uint32(32 - ZERO_BITS) == 0) + 1
     sizes = np.array(list(map(len, texts)), np.int64)
     first = np.cumsum(sizes + REACH) - sizes - REACH
     low, high = np.searchsorted(cuts, first, "right"), np.searchsorted(cuts, first + sizes, "left")
-    return [[*(cuts[a:z] - f).tolist(), n] if n else [] for a, z, f, n in zip(low.tolist(), high.tolist(), first.tolist(), sizes.tolist())]
+    ends = [[*(cuts[a:z] - f).tolist(), n] if n else [] for a, z, f, n in zip(low.tolist(), high.tolist(), first.tolist(), sizes.tolist())]
+    return [_shortened(x, hashes[f : f + n]) for x, f, n in zip(ends, first.tolist(), sizes.tolist())]
+
+
+def _shortened(ends: list[int], hashes: np.ndarray) -> list[int]:
+    """Chunks above MAX_BYTES cut where fewer top bits are zero, as few fewer as it takes: text that repeats itself has no other cuts."""
+    if not ends or max(np.diff(ends, prepend=0)) <= MAX_BYTES:
+        return ends
+    out, start = [], 0
+    for end in ends:
+        inner: list[int] = []
+        for bits in range(ZERO_BITS - 1, -1, -1) if end - start > MAX_BYTES else ():
+            inner = (np.flatnonzero(hashes[start : end - 1] >> np.uint32(32 - bits) == 0 if bits else np.ones(end - start - 1, bool)) + start + 1).tolist()
+            if max(np.diff([start, *inner, end])) <= MAX_BYTES:
+                break
+        out += [*inner, end]
+        start = end
+    return out
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
