@@ -32,8 +32,8 @@ from .common import arrow_map, batch, materialize, table, text_of
 
 REACH, ZERO_BITS, MIN_BYTES, MAX_BYTES = 32, 5, 96, 1024
 _GEAR = np.random.default_rng(32).integers(0, 1 << 32, 256, dtype=np.uint32)
-_CHUNKS = "row long, doc_id long, ord int, start long, length int, digest long"
-_CHUNKS_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("ord", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("digest", pa.int64())])
+_CHUNKS = "row long, doc_id long, start long, length int, digest long"
+_CHUNKS_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("digest", pa.int64())])
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -92,10 +92,9 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             start = np.concatenate([[0], stop[:-1]]) if len(stop) else stop
             firsts = (np.cumsum(n) - n)[n > 0]
             start[firsts] = 0
-            order = np.arange(len(stop)) - np.repeat(np.cumsum(n) - n, n)
             digest = np.fromiter((xxhash.xxh3_64_intdigest(t[a:z]) for t, x in zip(texts, ends) for a, z in zip([0, *x], x)), np.uint64, len(stop)).view(np.int64)
             take = pa.array(np.repeat(np.arange(len(texts)), n))
-            yield batch(_CHUNKS_ARROW, b.column("row").take(take), b.column("doc_id").take(take), order.astype(np.int32), start, (stop - start).astype(np.int32), digest)
+            yield batch(_CHUNKS_ARROW, b.column("row").take(take), b.column("doc_id").take(take), start, (stop - start).astype(np.int32), digest)
 
     return materialize(arrow_map(source, rows, _CHUNKS), "chunks")
 
@@ -106,11 +105,17 @@ def repeats(chunked: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     n_rows is the most occurrences that one of its chunks has; kept says whether this is the
     occurrence that stays, in all its chunks.
     """
-    groups = chunked.groupBy("digest").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    # A null doc_id ranks last.
+    ident = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    groups = chunked.groupBy("digest").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.count("*").alias("n"), F.min(F.struct(ident.alias("doc_id"), "row")).alias("first"))
     shared = groups.where("low <> high").select("digest", "n", F.col("first.doc_id").alias("first_doc_id"), F.col("first.row").alias("first_row"))
-    found = chunked.join(shared, "digest")
-    island = F.col("ord") - F.row_number().over(Window.partitionBy("row").orderBy("ord"))
-    spans = found.withColumn("island", island).groupBy("row", "island").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.count("*").alias("n_chunks"), F.max("n").alias("n_rows"), F.min("first_doc_id").alias("first_doc_id"), F.bool_and(F.col("first_row") == F.col("row")).alias("kept"))
+    # Only what places a chunk is dealt by digest; doc_ids of rows are looked up for the spans.
+    found = chunked.select("digest", "row", "start", "length").join(shared, "digest")
+    order = Window.partitionBy("row").orderBy("start")
+    apart = (F.coalesce(F.lag(F.col("start") + F.col("length")).over(order), F.lit(-1)) != F.col("start")).cast("int")
+    island = F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    spans = found.withColumn("apart", apart).withColumn("island", island).groupBy("row", "island").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.count("*").alias("n_chunks"), F.max("n").alias("n_rows"), F.min("first_doc_id").alias("first_doc_id"), F.bool_and(F.col("first_row") == F.col("row")).alias("kept"))
+    spans = spans.join(chunked.where("start = 0").select("row", "doc_id"), "row").withColumn("first_doc_id", F.when(F.col("first_doc_id") < (1 << 63) - 1, F.col("first_doc_id")))
     return spans.where(F.col("end") - F.col("start") >= min_bytes).drop("island")
 
 
