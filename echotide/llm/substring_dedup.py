@@ -5,7 +5,8 @@ every 32 bytes; a chunk above 1,024 bytes, as in text that repeats itself, is cu
 are. Cuts depend on nothing but these bytes, so an insertion
 moves no cut beyond its own chunk. A chunk whose digest occurs in several rows is a repeat;
 neighbouring repeats make a span, and spans of MIN_BYTES or more are reported, which
-chance repeats of short chunks do not reach. The occurrence in the smallest (doc_id, row) stays.
+chance repeats of short chunks do not reach. Of each chunk the occurrence in the smallest
+(doc_id, row, start) stays: a span is divided where its chunks begin or cease to be the ones that stay.
 
 Chunks are counted with map-side sums before they meet by digest, so a passage in a
 third of all rows is one row per task there; joining the few repeated digests to chunks is an
@@ -102,21 +103,26 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def repeats(chunked: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Spans of text that occur in several rows: doc_id, row, start, end, n_chunks, n_rows, first_doc_id, kept.
 
-    n_rows is the most occurrences that one of its chunks has; kept says whether this is the
-    occurrence that stays, in all its chunks.
+    n_rows is the most occurrences that one of its chunks has; kept says whether its chunks are
+    the occurrences that stay. Neighbouring spans count together for min_bytes.
     """
     # A null doc_id ranks last.
     ident = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    groups = chunked.groupBy("digest").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.count("*").alias("n"), F.min(F.struct(ident.alias("doc_id"), "row")).alias("first"))
-    shared = groups.where("low <> high").select("digest", "n", F.col("first.doc_id").alias("first_doc_id"), F.col("first.row").alias("first_row"))
+    groups = chunked.groupBy("digest").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.count("*").alias("n"), F.min(F.struct(ident.alias("doc_id"), "row", "start")).alias("first"))
+    shared = groups.where("low <> high").select("digest", "n", F.col("first.doc_id").alias("first_doc_id"), F.col("first.row").alias("first_row"), F.col("first.start").alias("first_start"))
     # Only what places a chunk is dealt by digest; doc_ids of rows are looked up for the spans.
     found = chunked.select("digest", "row", "start", "length").join(shared, "digest")
+    found = found.withColumn("kept", (F.col("first_row") == F.col("row")) & (F.col("first_start") == F.col("start")))
     order = Window.partitionBy("row").orderBy("start")
-    apart = (F.coalesce(F.lag(F.col("start") + F.col("length")).over(order), F.lit(-1)) != F.col("start")).cast("int")
-    island = F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    spans = found.withColumn("apart", apart).withColumn("island", island).groupBy("row", "island").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.count("*").alias("n_chunks"), F.max("n").alias("n_rows"), F.min("first_doc_id").alias("first_doc_id"), F.bool_and(F.col("first_row") == F.col("row")).alias("kept"))
+    running = order.rowsBetween(Window.unboundedPreceding, 0)
+    apart = F.coalesce(F.lag(F.col("start") + F.col("length")).over(order), F.lit(-1)) != F.col("start")
+    turned = apart | (F.lag("kept").over(order) != F.col("kept"))
+    found = found.withColumn("apart", apart.cast("int")).withColumn("turned", turned.cast("int")).withColumn("union", F.sum("apart").over(running)).withColumn("island", F.sum("turned").over(running))
+    spans = found.groupBy("row", "union", "island").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.count("*").alias("n_chunks"), F.max("n").alias("n_rows"), F.min("first_doc_id").alias("first_doc_id"), F.first("kept").alias("kept"))
+    whole = Window.partitionBy("row", "union")
+    spans = spans.withColumn("bytes", F.sum(F.col("end") - F.col("start")).over(whole)).where(F.col("bytes") >= min_bytes)
     spans = spans.join(chunked.where("start = 0").select("row", "doc_id"), "row").withColumn("first_doc_id", F.when(F.col("first_doc_id") < (1 << 63) - 1, F.col("first_doc_id")))
-    return spans.where(F.col("end") - F.col("start") >= min_bytes).drop("island")
+    return spans.drop("union", "island", "bytes")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -301,6 +301,33 @@ def test_substring_dedup(spark, awkward, nothing, docs):
     assert substring_dedup.repeats(substring_dedup.chunks(nothing)).count() == 0
 
 
+def test_one_occurrence_of_each_repeat_stays(spark):
+    """Copies that hold a passage of an earlier row lose no other text; a chunk twice in a row stays once."""
+    rng = np.random.default_rng(11)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(n))
+    passage, copy = words(60), words(60)
+    whole = f"{copy} {passage} {words(60)}"
+    rows = [(1, f"{words(40)} {passage} {words(40)}"), (5, whole), (9, whole), (12, f"{copy} {words(30)} {copy}"), (13, words(90))]
+    chunked = substring_dedup.chunks(spark.createDataFrame(rows, "doc_id long, text string"))
+    spans = collections.defaultdict(list)
+    for r in substring_dedup.repeats(chunked, 1).collect():
+        spans[r["row"]].append((r["start"], r["end"], r["kept"]))
+    found = collections.defaultdict(list)
+    for c in chunked.collect():
+        found[c["digest"]].append((c["doc_id"], c["row"], c["start"], c["start"] + c["length"]))
+    repeated = [v for v in found.values() if len({r for _, r, _, _ in v}) > 1]
+    assert len(repeated) > 20
+    for places in repeated:
+        kept = [[k for a, z, k in spans[row] if a <= start and end <= z] for _, row, start, end in sorted(places)]
+        assert kept == [[True]] + [[False]] * (len(places) - 1)
+    # What stays of rows 5 and 9 once spans with kept false go: everything but the passage, once.
+    out = {i: t.encode() for i, t in rows}
+    for r in sorted(substring_dedup.repeats(chunked).collect(), key=lambda r: -r["start"]):
+        if not r["kept"]:
+            out[r["doc_id"]] = out[r["doc_id"]][: r["start"]] + out[r["doc_id"]][r["end"] :]
+    assert len(out[5]) > len(whole) - len(passage) and out[9] == b"" and out[1] == rows[0][1].encode()
+
+
 # Classifiers -------------------------------------------------------------------------------------
 
 
