@@ -5,9 +5,13 @@ and only reported where what they hold has the structure of a secret:
 
 * jwt: a signed token, whose header and payload are JSON objects and whose header names an algorithm;
 * pem: an armoured key, whose body decodes to a key encoding, or to one that is encrypted by a stated cipher;
-* b64key, hexkey: DER of a key (PKCS#1, PKCS#8, SEC 1, encrypted PKCS#8) whose nested lengths
+* b64key, hexkey: DER of a key (PKCS#1, DSA, PKCS#8, SEC 1, encrypted PKCS#8) whose nested lengths
   fill their frames exactly, or the binary form of an OpenSSH key.
 
+A key may begin inside a run of letters, as after a path or a name, and run over line breaks,
+also escaped ones, each with the next line's indent; it ends where its outer frame says, and a letter or digit there means
+that it is none.
+
 Spans are in code points, end exclusive. Cases: null counts as empty, an empty text has
 no spans; texts are scanned whole, whatever their length; rows with null or repeated
 doc_id are kept; an empty table gives an empty result; other columns are ignored.
@@ -20,7 +24,7 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,9 +42,12 @@ MIN_ASSIGN, MIN_ACCESS = 12, 18
 #: Candidates of the structural kinds.
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----(.*?)-----END \1-----", re.DOTALL)
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]*)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-B64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-HEXDER = re.compile("(?i)(?<![0-9a-f])30[0-9a-f]{38,}(?![0-9a-f])")
+#: Starts of a DER sequence, letters of an encoding, and what may stand between them: line breaks, and the backslashes of escaped ones and of "\/".
+B64_START, B64_LETTERS = re.compile("M(?=[A-I][A-Za-z0-9+/_-]{14})"), re.compile("[A-Za-z0-9+/_-]{1,1024}")
+HEX_START, HEX_LETTERS = re.compile("30(?=[0-9A-Fa-f]{14})"), re.compile("[0-9A-Fa-f]{1,1024}")
+BETWEEN = re.compile(r"(?:\\+(?:[rn]|(?=/))|[\r\n])+[ \t]*")
 OPENSSH = b"openssh-key-v1\0"
+OPENSSH_B64, OPENSSH_HEX = re.compile("b3BlbnNzaC1rZXktdjE"), re.compile("(?i)" + OPENSSH.hex())
 
 
 def decode_base64(text: str) -> bytes | None:
@@ -91,6 +98,8 @@ def key_kind(data: bytes) -> str | None:
     tags = [t for t, _ in inner]
     if tags[:1] == [0x02] and len(tags) >= 9 and set(tags[:9]) == {0x02}:
         return "pkcs1"
+    if tags == [0x02] * 6 and inner[0][1] == b"\0":
+        return "dsa"
     if tags[:3] == [0x02, 0x30, 0x04]:
         algorithm = der_items(inner[1][1])
         return "pkcs8" if algorithm and algorithm[0][0] == 0x06 else None
@@ -111,13 +120,89 @@ def _is_jwt(header: str, payload: str) -> bool:
 
 
 def _is_pem(body: str) -> bool:
+    body = re.sub(r"\\+r", "", body.replace("\r\n", "\n"))
+    body = re.sub(r"\\+(?=/)", "", re.sub(r"\\+n", "\n", body))
     if "ENCRYPTED" in body and "DEK-Info:" in body:
-        body = body.partition("\n\n")[2]
-        return bool(decode_base64("".join(body.split())))
+        parts = re.split(r"\n[ \t]*\n", body, maxsplit=1)
+        return len(parts) == 2 and bool(decode_base64("".join(parts[1].split())))
     data = decode_base64("".join(body.split()))
     return bool(data) and key_kind(data) is not None
 
 
+def stated_length(data: bytes) -> int | None:
+    """Bytes of the DER sequence that begins here, by its outer frame; None where no key begins so."""
+    if len(data) < 8 or data[0] != 0x30:
+        return None
+    size = data[1] & 0x7F if data[1] & 0x80 else 0
+    if data[1] & 0x80 and not 1 <= size <= 4:
+        return None
+    n = int.from_bytes(data[2 : 2 + size], "big") if size else data[1]
+    return 2 + size + n if data[2 + size] in (0x02, 0x30) else None
+
+
+def openssh_length(data: bytes) -> int | None:
+    """Bytes of the OpenSSH key that begins here, by its fields; None where they don't fit."""
+    at, left, counted = len(OPENSSH), 3, False
+    while left:
+        at, left = at + 4 + int.from_bytes(data[at : at + 4], "big"), left - 1
+        if not left and not counted:
+            # Cipher and derivation come before the number of public keys; the private part comes after these.
+            left, counted, at = int.from_bytes(data[at : at + 4], "big") + 1, True, at + 4
+        if at > len(data):
+            return None
+    return at
+
+
+def _letters(text: str, at: int, letters: re.Pattern, count: int) -> tuple[str, int]:
+    """Up to count letters from here on without what stands between them, and where they end."""
+    out, have, end = [], 0, at
+    while have < count:
+        if m := letters.match(text, at):
+            out.append(m[0][: count - have])
+            have += len(out[-1])
+            at = end = at + len(out[-1])
+        elif m := BETWEEN.match(text, at):
+            at = m.end()
+        else:
+            break
+    return "".join(out), end
+
+
+def _from_hex(text: str) -> bytes:
+    return bytes.fromhex(text[: len(text) & ~1])
+
+
+def _keys(text: str, der: re.Pattern, openssh: re.Pattern, letters: re.Pattern, bits: int, decode: Callable[[str], bytes | None]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the keys whose letters carry so many bits each."""
+
+    def whole(at: int, length: int | None) -> int | None:
+        if length is None:
+            return None
+        count = -(-8 * length // bits)
+        run, end = _letters(text, at, letters, count)
+        following = text[end : end + 1]
+        if len(run) < count or (letters.match(following) and following.isalnum()):
+            return None
+        return end if key_kind((decode(run) or b"")[:length]) else None
+
+    last = 0
+    for m in der.finditer(text):
+        if m.start() >= last and (end := whole(m.start(), stated_length(decode(text[m.start() : m.start() + 16]) or b""))):
+            last = end
+            yield m.start(), end
+    for m in openssh.finditer(text):
+        if m.start() < last:
+            continue
+        run = _letters(text, m.start(), letters, len(text))[0]
+        end = whole(m.start(), openssh_length(decode(run[: len(run) & ~3]) or b""))
+        if not end:  # Fields that don't fit: what the line holds.
+            run = _letters(re.split("[\\r\\n\\\\]", text[m.start() :], maxsplit=1)[0], 0, letters, len(text))[0]
+            end = m.start() + len(run) if key_kind(decode(run) or b"") else None
+        if end:
+            last = end
+            yield m.start(), end
+
+
 def scan(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all spans by start, then kind as listed in KINDS."""
     found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= MIN_ASSIGN]
@@ -128,12 +213,10 @@ def scan(text: str) -> list[tuple[int, int, str]]:
         found += [(m.start(), m.end(), "pem") for m in PEM.finditer(text) if _is_pem(m[2])]
     if "eyJ" in text:
         found += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if _is_jwt(m[1], m[2])]
-    for m in B64.finditer(text):
-        if (data := decode_base64(m[0])) and key_kind(data):
-            found.append((m.start(), m.end(), "b64key"))
-    for m in HEXDER.finditer(text):
-        if not (m.end() - m.start()) % 2 and key_kind(bytes.fromhex(m[0])):
-            found.append((m.start(), m.end(), "hexkey"))
+    for start, end in _keys(text, B64_START, OPENSSH_B64, B64_LETTERS, 6, decode_base64):
+        padding = len(text[end : end + 2]) - len(text[end : end + 2].lstrip("="))
+        found.append((start, end + padding, "b64key"))
+    found += [(start, end, "hexkey") for start, end in _keys(text, HEX_START, OPENSSH_HEX, HEX_LETTERS, 4, _from_hex)]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

@@ -168,6 +168,38 @@ def test_secret_structures():
     assert secrets.redact("") == "" and secrets.scan("") == []
 
 
+DSA = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([k + 1] * 60)) for k in range(5)))
+
+
+def wrapped(text, width=64, by="\n"):
+    return by.join(text[k : k + width] for k in range(0, len(text), width))
+
+
+def test_secret_forms():
+    """Keys that are wrapped, glued to names, escaped or of further kinds, with their exact spans."""
+    field = lambda b: struct.pack(">I", len(b)) + b
+    ssh = b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + struct.pack(">I", 1) + field(bytes(51)) + field(b"\7" * 136)
+    spans = lambda text, kind: [text[a:z] for a, z, k in secrets.scan(text) if k == kind]
+    for key in (PKCS1, PKCS8, DSA, ssh):
+        for width in (64, 76):
+            for by in ("\n", "\r\n", "\n    ", "\\n", "\\r\\n"):
+                for url in (False, True):
+                    text = wrapped(b64(key, url), width, by)
+                    assert spans(f"see\n{text}\nEnd of file", "b64key") == [text]
+                    assert spans(f"dir/{text} x", "b64key") == spans(f"sk_{text}", "b64key") == [text]
+                text = wrapped(key.hex(), width, by)
+                assert spans(f"key {text}\nzero", "hexkey") == [text]
+        assert spans(f"ab{key.hex()}", "hexkey") == [key.hex()] and spans(key.hex().upper(), "hexkey") == [key.hex().upper()]
+        assert secrets.redact(f"a\n{wrapped(b64(key))}\nb") == "a\n[SECRET]\nb"
+    assert spans(f"{b64(PKCS1[:-7])}\nnext words here", "b64key") == [] and spans(PKCS1.hex() + "a", "hexkey") == []
+    for by in ("\n", "\r\n", "\\n", "\\r\\n"):
+        pem = lambda label, body: f"-----BEGIN {label}PRIVATE KEY-----{by}{body}{by}-----END {label}PRIVATE KEY-----"  # noqa: E731,B023
+        for text in (pem("DSA ", wrapped(b64(DSA), by=by)), pem("RSA ", wrapped(b64(PKCS1), by=by)), pem("", wrapped(b64(PKCS8).replace("/", "\\/"), by=by))):
+            assert spans(text, "pem") == [text]
+        text = pem("RSA ", f"Proc-Type: 4,ENCRYPTED{by}DEK-Info: AES-128-CBC,00{by}{by}{wrapped(b64(bytes(range(240))), by=by)}")
+        assert spans(text, "pem") == [text]
+
+
 def base_spans(text):
     """By definition: all leftmost matches of a kind, then those that fail dropped."""
     out = [(m.start(), 0, f"assign:{m.start()}:{m.end()}") for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 12]
