@@ -1,7 +1,8 @@
 """N-gram Jaccard join with Bayesian pruning of candidates.
 
-A document is the set of its runs of five words (lower case; letters, digits and
-underscores make words). Documents with equal sets are one representative from the start.
+A document is the set of its runs of five words (lower case; letters, digits and underscores
+of any script make words, as \\w+ does, and anything else parts them). Documents with equal
+sets are one representative from the start.
 MinHash values of representatives, in bands, name buckets. Within a bucket:
 
 1. every member is compared with one pivot, the pairs deduplicated over buckets;
@@ -27,6 +28,7 @@ doc_id ranks last as a class id; an empty table gives an empty result; other col
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +42,7 @@ from .common import arrow_map, batch, materialize, shuffle_partitions, table, te
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS, STEP, BLOCK = 40, 5, 25, 256
+_PARTING = re.compile(r"\W+")
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -51,7 +54,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[str], width: int = WORDS) -> list[np.ndarray]:
     """The distinct shingles of each text as ascending 64-bit hashes."""
-    parts = [t.lower().encode() for t in texts]
+    # In texts beyond ASCII whatever is no part of a word becomes a space; then bytes from 128 on are parts of words.
+    parts = [(t.lower() if t.isascii() else _PARTING.sub(" ", t.lower())).encode() for t in texts]
     data = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
     sizes = np.array([len(p) + 1 for p in parts], np.int64)
     first = np.cumsum(sizes) - sizes
@@ -73,7 +77,7 @@ def shingle_sets(texts: list[str], width: int = WORDS) -> list[np.ndarray]:
     bounds = np.searchsorted(starts, np.append(first, len(data)))
     out = []
     rolled = np.zeros(len(words), np.uint64)
-    for k in range(width):
+    for k in range(min(width, len(words))):
         rolled[: len(words) - k] = rolled[: len(words) - k] * _Q + words[k:]
     for a, z in zip(bounds.tolist(), bounds[1:].tolist()):
         if z - a >= width:

@@ -295,6 +295,17 @@ def test_ngram_join(spark, awkward, nothing, docs, monkeypatch):
     assert ngram_join.join(nothing).count() == 0 and ngram_join.drop_near_copies(nothing).count() == 0
 
 
+def test_ngram_join_words_of_any_script(spark, monkeypatch):
+    """Copies that differ in quotes, dashes or spaces beyond ASCII are linked, and all links are those of \\w+."""
+    monkeypatch.setitem(brute_links.__globals__, "shingles", lambda t: frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := re.findall(r"\w+", t.lower())) else frozenset([("no words", t)]))
+    plain = [" ".join(f"{a}{k}" for a in ("Wort", "élan", "слово", "it's", "x_y")) + "," for k in range(12)]
+    cjk = ["日本語の文章" + chr(0x4E00 + k) for k in range(60)]
+    rows = ['"' + '" "'.join(plain) + '"', "“" + "” “".join(plain) + "”", "«" + "»\u00a0— «".join(plain).replace(" ", "\u00a0").replace("'", "’") + "…»", "¿" + "?\u3000¡".join(plain) + "!", "。".join(cjk), "、".join(cjk), "，".join([*cjk[:57], "違う", *cjk[58:]]), "…", "—", "…", "İSTANBUL ΣΑΣ"]
+    got = collections.Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.join(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect())
+    assert got == brute_links(list(enumerate(rows)))
+    assert {(i, c) for i, c, _ in got if i < 7} == {(i, 0) for i in range(4)} | {(i, 4) for i in range(4, 7)}
+
+
 def test_pruning_keeps_links():
     least = ngram_join.least_matches()
     rng = np.random.default_rng(5)
