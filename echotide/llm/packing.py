@@ -39,11 +39,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
-        for b, ids, dtype in tokens.encoded(batches, path, end_id):
-            n = np.fromiter((len(x) // dtype.itemsize for x in ids), np.int64, len(ids))
-            starts = at + np.cumsum(n) - n
-            at += int(n.sum())
-            yield batch(_DOCS_ARROW, b.column("doc_id"), np.full(len(ids), part, np.int32), starts, n, np.full(len(ids), dtype.itemsize, np.int32), ids)
+        for b, ids, ends in tokens.encoded(batches, path, end_id):
+            starts, n = np.concatenate([[0], ends[:-1]]), np.diff(ends, prepend=0)
+            raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.append(starts, ends[-1]).astype(np.int32) * np.int32(ids.itemsize)), pa.py_buffer(ids)])
+            yield batch(_DOCS_ARROW, b.column("doc_id"), np.full(len(n), part, np.int32), at + starts, n, np.full(len(n), ids.itemsize, np.int32), raw)
+            at += int(ends[-1])
 
     return materialize(arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")), rows, _DOCS), "packing")
 

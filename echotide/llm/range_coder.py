@@ -4,11 +4,14 @@ A stream is cut into blocks that are coded independently. Within a block each id
 is coded from a mixture of three predictions: the id that last followed the two
 ids before it (order 2), the one that last followed the id before it (order 1),
 and the frequencies of ids so far (order 0). How much of the range the first two
-get follows how often predictions with the same run of hits were right so far. An
-id that the block hasn't shown yet is escaped and coded as it is. All arithmetic
+get follows how often predictions with the same run of hits were right so far; these shares and
+the frequencies are brought up to date at the places in UPDATES, predictions after every id. An
+id that the frequencies don't hold yet is escaped and coded as it is. All arithmetic
 is on integers, so every machine decodes alike.
 
-Many blocks are coded at once: each step of the loop codes one id of every block.
+Many blocks are coded at once. The encoder knows all ids, so it finds predictions and runs of
+hits by sorting contexts; only the arithmetic itself goes id by id. The decoder
+decodes one id of every block in each step of its loop.
 
 Frame of a block: magic, ids, shard, block, ids of the shard before it, crc32 of the
 ids, length and crc32 of the coded bytes; then these bytes. A damaged frame raises ValueError.
@@ -21,109 +24,115 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"TCM1"
+MAGIC = b"TCM2"
 HEADER = struct.Struct("<4sIIIQIII")
 BLOCK_IDS, LANES = 4096, 2048
-_HASH, _SLOTS, _TOTAL = 12, 2048, 13
-_REBUILD = frozenset([32, 96, 224, 480, 992, 1760, 2528, 3296])
-_TOP, _BOT, _WORD = np.uint64(1 << 24), np.uint64(1 << 16), np.uint64(0xFFFFFFFF)
-_U = np.uint64
-
-
-class _Model:
-    """Predictions of all blocks; the coder and the decoder drive it alike."""
-
-    def __init__(self, lanes: int):
-        self.row = np.arange(lanes)
-        self.at = self.row << _HASH
-        self.p1 = np.zeros(lanes, np.int64)
-        self.key2 = np.zeros(lanes, np.int64)
-        size = lanes << _HASH
-        # id that followed | run of hits << 16; id | its slot << 16, or -1
-        self.table2, self.table1 = np.zeros(size, np.int32), np.zeros(size, np.int32)
-        self.right2, self.right1 = (np.tile(np.array([0, 20000, 28000, 34000, 38000, 42000, 44000, 46000], np.int64), lanes) for _ in range(2))
-        self.entry = np.full(size, -1, np.int32)
-        self.id_at = np.zeros(lanes * _SLOTS, np.uint16)
-        self.count = np.zeros(lanes * _SLOTS, np.int32)
-        self.count[self.row * _SLOTS] = 1  # slot 0: the escape
-        self.used = np.ones(lanes, np.int64)
-        self.cum = np.zeros((lanes, _SLOTS + 1), np.int32)
-        self.flat, self.cum_at = self.cum.ravel(), self.row * (_SLOTS + 1)
-        self.ready = np.ones(lanes, np.int64)
-        self.table: np.ndarray | None = None
-        self.rebuild(False)
-
-    def rebuild(self, table: bool) -> None:
-        """Order-0 frequencies from the counts so far, scaled to a fixed sum; table: for the decoder."""
-        count = self.count.reshape(len(self.row), _SLOTS)
-        total = count.sum(1, dtype=np.int64)
-        most = int(self.used.max())
-        spare = (1 << _TOTAL) - self.used
-        scaled = (count[:, :most] * spare[:, None] // total[:, None]).astype(np.int32) + (count[:, :most] > 0)
-        np.cumsum(scaled, 1, out=self.cum[:, 1 : most + 1])
-        self.cum[:, 1 : most + 1] += ((1 << _TOTAL) - self.cum[:, most])[:, None]  # the rest goes to the escape
-        self.cum[:, most + 1 :] = 1 << _TOTAL
-        self.ready = self.used.copy()
-        if table:
-            self.table = np.repeat(np.tile(np.arange(most, dtype=np.int16), len(self.row)), np.diff(self.cum[:, : most + 1], axis=1).ravel())
-
-    def look(self) -> None:
-        """Before an id: both predictions and their shares of 2^16."""
-        self.k2, self.k1 = self.at + self.key2, self.at + ((self.p1 * 40503 >> 4) & 4095)
-        e2, e1 = self.table2[self.k2], self.table1[self.k1]
-        self.x2, self.x1 = e2 & 0xFFFF, e1 & 0xFFFF
-        self.c2, self.c1 = (self.row << 3) + (e2 >> 16), (self.row << 3) + (e1 >> 16)
-        self.w2 = self.right2[self.c2]
-        self.w1 = (self.right1[self.c1] * (57000 - self.w2)) >> 16
-
-    def place(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where ids are kept, and the slots of those that a rebuilt table knows; 0 for others."""
-        where = self.at + ((ids * 40503 >> 4) & 4095)
-        entry = self.entry[where]
-        slot = entry >> 16
-        return where, np.where(((entry & 0xFFFF) == ids) & (slot < self.ready) & (entry >= 0), slot, 0)
-
-    def learn(self, ids: np.ndarray, where: np.ndarray | None = None) -> None:
-        """After an id."""
-        for k, c, right, table, x in ((self.k2, self.c2, self.right2, self.table2, self.x2), (self.k1, self.c1, self.right1, self.table1, self.x1)):
-            state, hit = c & 7, x == ids
-            old = right[c]
-            right[c] = (old + ((hit * 56000 - old) >> 5)) * (state > 0)
-            table[k] = ids | ((hit * np.minimum(state, 6) + 1) << 16)
-        if where is None:
-            where = self.at + ((ids * 40503 >> 4) & 4095)
-        entry = self.entry[where]
-        new = np.flatnonzero((entry < 0) & (self.used < _SLOTS))
-        if len(new):
-            slot = self.used[new]
-            entry[new] = self.entry[where[new]] = ids[new] | (slot << 16)
-            self.id_at[new * _SLOTS + slot] = ids[new]
-            self.used[new] += 1
-        mine = np.flatnonzero(((entry & 0xFFFF) == ids) & (entry >= 0))
-        self.count[mine * _SLOTS + (entry[mine] >> 16)] += 1
-        self.key2 = ((self.p1 * 30011 + ids * 52361) >> 5) & 4095
-        self.p1 = ids
-
-    def interval(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Range of an order-0 slot behind the shares of the predictions."""
-        base = self.w2 + self.w1
+_PLANNED = 64  # blocks that the encoder looks through at a time
+UPDATES = (0, 32, 96, 224, 480, 992, 1760, 2528, 3296)
+_HASH, _STATES = 10, 8
+#: Frequencies add up to 2^12; shares to 2^16, of which order 0 keeps 2^12 so that none of its ids is left without range.
+_TOTAL, _SHARED = 12, (1 << 16) - (1 << 12)
+_LOW, _DRY = (1 << 32) - 1, 1 << 32
+_ESCAPE = 1 << 16
+#: Before anything is known: what share a prediction gets after 0, 1, ... hits, and the weight of that in later shares.
+_EXPECTED, _WEIGHT = np.array([0, 12000, 26000, 34000, 38000, 42000, 44000, 46000]), 24
+_HASHED = (np.arange(1 << 16) * 40503 >> 4) & ((1 << _HASH) - 1)
+#: State after one, with bit 0 for a hit: the run of hits, at most 7, and 1 after a miss.
+_NEXT = np.array([(min(s, _STATES - 2) if hit else 0) + 1 for s in range(_STATES) for hit in (0, 1)], np.int32) << 16
+
+
+def _shares(seen: np.ndarray) -> np.ndarray:
+    """Shares by lane and state from counts of misses and hits: (lanes, states, 2)."""
+    out = (seen[:, :, 1] * 56000 + _EXPECTED * _WEIGHT) // (seen.sum(2) + _WEIGHT)
+    out[:, 0] = 0
+    return out.astype(np.int32)
+
+
+def _mixed(share1: np.ndarray, w2: np.ndarray) -> np.ndarray:
+    """What order 1 gets of the range behind order 2."""
+    return (share1 >> 1) * (_SHARED - w2) >> 15
+
+
+def _scale(distinct: np.ndarray, seen: int) -> np.ndarray:
+    """By how much, times 2^16, to multiply counts of ids; what they leave of the total is the escape's."""
+    return (((1 << _TOTAL) - 1 - distinct) << 16) // (seen + distinct // 2 + 1)
+
+
+def _scaled(count: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Frequencies of ids that occurred count times."""
+    return (count * scale >> 16) + (count > 0)
+
+
+def _contexts(ids: np.ndarray, keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The id that last followed each key in its row, and the state of that prediction; 0 where there is none."""
+    order = (np.argsort(keys, axis=1, kind="stable") + rows).ravel()
+    k, x = keys.take(order), ids.take(order)
+    known = np.zeros(k.size, bool)
+    np.equal(k[1:], k[:-1], out=known[1:])
+    known[rows.ravel()] = False
+    hit = known.copy()
+    hit[1:] &= x[1:] == x[:-1]
+    at = np.arange(k.size, dtype=np.int32)
+    run = at - np.maximum.accumulate(np.where(hit, np.int32(0), at))
+    both = np.zeros(k.size, np.int32)
+    both[1:] = x[:-1] | np.minimum(run[:-1], _STATES - 2) + 1 << 16
+    both *= known
+    out = np.empty(k.size, np.int32)
+    out[order] = both
+    out = out.reshape(ids.shape)
+    return out & 0xFFFF, out >> 16
+
+
+def _plan(ids: np.ndarray, start: np.ndarray, size: np.ndarray, raw: np.ndarray) -> None:
+    """Start and size of each id's range out of 2^16, and whether it is escaped; ids has a block in each row, the results have one in each column."""
+    lanes, steps = ids.shape
+    row = np.arange(lanes, dtype=np.int32)[:, None]
+    rows = np.arange(lanes)[:, None] * steps
+    h = _HASHED.astype(np.uint16)[ids]
+    key1, key2 = np.zeros_like(h), np.zeros_like(h)
+    key1[:, 1:] = h[:, :-1]
+    key2[:, 1:] = h[:, :-1]
+    key2[:, 2:] += h[:, :-2] * np.uint16(1223)
+    (x1, s1), (x2, s2) = (_contexts(ids, k & np.uint16((1 << _HASH) - 1), rows) for k in (key1, key2))
+    # Each row's ids as numbers in ascending order.
+    order = (np.argsort(ids, axis=1, kind="stable") + rows).ravel()
+    x = ids.take(order)
+    new = np.zeros(x.size, bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    new[rows.ravel()] = False
+    rank = np.empty(x.size, np.int32)
+    rank[order] = np.cumsum(new.reshape(ids.shape), 1, dtype=np.int32).ravel()
+    width = int(rank.max(initial=0)) + 1
+    rank = rank.reshape(ids.shape) + row * width
+    count = np.zeros((lanes, width), np.int64)
+    seen2, seen1 = np.zeros((lanes, _STATES, 2), np.int64), np.zeros((lanes, _STATES, 2), np.int64)
+    cells = seen2.size
+    for a, z in zip(UPDATES, (*UPDATES[1:], steps)):
+        if a >= steps:
+            break
+        part = slice(a, min(z, steps))
+        state2, state1, known = s2[:, part] + row * _STATES, s1[:, part] + row * _STATES, rank[:, part]
+        w2 = _shares(seen2).take(state2)
+        w1 = _mixed(_shares(seen1).take(state1), w2)
+        by2 = (ids[:, part] == x2[:, part]) & (w2 > 0)
+        by1 = (ids[:, part] == x1[:, part]) & (w1 > 0) & ~by2
+        freq = _scaled(count, _scale((count > 0).sum(1)[:, None], a)).astype(np.int32)
+        upto = np.cumsum(freq, 1, dtype=np.int32)
+        f, hi = freq.take(known), upto.take(known)
+        no = f == 0
+        lo = np.where(no, upto[:, -1:], hi - f)
+        hi[no] = 1 << _TOTAL
+        base = w2 + w1
         rest = (1 << 16) - base
-        at = self.cum_at + slot
-        return base + (rest * self.flat[at] >> _TOTAL), base + (rest * self.flat[at + 1] >> _TOTAL)
-
-
-def _narrow(low: np.ndarray, span: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    part = span >> _U(16)
-    return (low + part * start) & _WORD, part * size
-
-
-def _settled(low: np.ndarray, span: np.ndarray) -> np.ndarray:
-    """Lanes whose first byte can go, after the span of those about to run dry was cut."""
-    same = (low ^ (low + span)) < _TOP
-    dry = ~same & (span < _BOT)
-    if dry.any():
-        span[dry] = (_U(1 << 32) - low[dry]) & _U(0xFFFF)
-    return np.flatnonzero(same | dry)
+        lo = base + (rest * lo >> _TOTAL)
+        hi = base + (rest * hi >> _TOTAL) - lo
+        start[part] = np.where(by2, 0, np.where(by1, w2, lo)).T
+        size[part] = np.where(by2, w2, np.where(by1, w1, hi)).T
+        raw[part] = (no & ~by2 & ~by1).T
+        seen2 += np.bincount((2 * state2 + by2).ravel(), minlength=cells).reshape(seen2.shape)
+        # What order 2 codes doesn't count for order 1.
+        seen1 += np.bincount((2 * np.where(by2, row * _STATES, state1) + by1).ravel(), minlength=cells).reshape(seen1.shape)
+        count += np.bincount(known.ravel(), minlength=count.size).reshape(count.shape)
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
@@ -140,64 +149,50 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
 def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     lens = np.array([len(b) for b in blocks])
     steps, lanes = int(lens.max(initial=0)), len(blocks)
-    ids = np.zeros((steps, lanes), np.int64)
+    ids = np.zeros((lanes, steps), np.uint16)
     for i, b in enumerate(blocks):
-        ids[: len(b), i] = b
-    m = _Model(lanes)
-    low, span = np.zeros(lanes, _U), np.full(lanes, _WORD, _U)
-    width = 5 * steps + 16
-    out, end = np.zeros(lanes * width, np.uint8), np.arange(lanes) * width
+        ids[i, : len(b)] = b
+    starts, sizes, raws = np.empty((steps, lanes), np.int32), np.empty((steps, lanes), np.int32), np.empty((steps, lanes), bool)
+    for at in range(0, lanes, _PLANNED):
+        part = slice(at, at + _PLANNED)
+        _plan(ids[part], starts[:, part], sizes[:, part], raws[:, part])
+    # low has 48 bits and, above them, a carry into the word last put out.
+    low, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
+    width = 2 * steps + 3
+    out, end = np.zeros(lanes * width, np.int32), np.arange(lanes) * width
     first = end.copy()
 
-    def put(rows: np.ndarray | None, start: np.ndarray, size: np.ndarray) -> None:
-        nonlocal low, span
-        if rows is None:
-            low, span = _narrow(low, span, start.astype(_U), size.astype(_U))
-            go = _settled(low, span)
-        else:
-            a, b = _narrow(low[rows], span[rows], start, size)
-            low[rows], span[rows] = a, b
-            go = rows[_settled(a, b)]
-            span[rows] = b
-        while len(go):
-            a = low[go]
-            out[end[go]] = a >> _U(24)
-            end[go] += 1
-            low[go] = a = (a << _U(8)) & _WORD
-            b = span[go] << _U(8)
-            more = _settled(a, b)
-            span[go] = b
-            go = go[more]
-
-    live = lanes
-    for t in range(steps):
-        while lens[live - 1] <= t:
-            live -= 1
-        if t in _REBUILD:
-            m.rebuild(False)
-        x = ids[t]
-        m.look()
-        where, slot = m.place(x)
-        lo, hi = m.interval(slot)
-        by2 = (m.x2 == x) & (m.w2 > 0)
-        by1 = ~by2 & (m.x1 == x) & (m.w1 > 0)
-        start = np.where(by2, 0, np.where(by1, m.w2, lo))
-        size = np.where(by2, m.w2, np.where(by1, m.w1, hi - lo))
-        if live < lanes:
-            rows = np.arange(live)
-            put(rows, start[:live].astype(_U), size[:live].astype(_U))
-        else:
-            put(None, start, size)
-        raw = np.flatnonzero((slot == 0) & ~by2 & ~by1)
-        raw = raw[raw < live]
-        if len(raw):
-            put(raw, x[raw].astype(_U), np.ones(len(raw), _U))
-        m.learn(x, where)
-    for _ in range(4):
-        out[end] = low >> _U(24)
-        low = (low << _U(8)) & _WORD
+    def shift(rows: np.ndarray) -> None:
+        if len(rows):
+            a = low[rows]
+            at = end[rows]
+            out[at] = a >> 32
+            end[rows] = at + 1
+            low[rows] = (a & _LOW) << 16
+            span[rows] <<= 16
+
+    live = np.searchsorted(-lens, -np.arange(steps), "left").tolist()  # blocks with an id at each step
+    for t, n in enumerate(live):
+        part = span[:n] >> 16
+        low[:n] += part * starts[t, :n].astype(np.int64)
+        np.multiply(part, sizes[t, :n].astype(np.int64), out=span[:n])
+        shift(np.flatnonzero(span[:n] < _DRY))
+        rows = np.flatnonzero(raws[t, :n])
+        if len(rows):
+            part = span[rows] >> 16
+            low[rows] += part * ids[rows, t]
+            span[rows] = part
+            shift(rows[part < _DRY])
+    for _ in range(3):
+        out[end] = low >> 32
+        low = (low & _LOW) << 16
         end += 1
-    return [out[a:b].tobytes() for a, b in zip(first, end)]
+    while len(over := np.flatnonzero(out >> 16)):
+        carry = out[over] >> 16
+        out[over] &= 0xFFFF
+        out[over - 1] += carry
+    words = out.astype("<u2")
+    return [words[a:b].tobytes() for a, b in zip(first.tolist(), end.tolist())]
 
 
 def decode_blocks(coded: list[bytes], lens: list[int]) -> list[np.ndarray]:
@@ -211,67 +206,98 @@ def decode_blocks(coded: list[bytes], lens: list[int]) -> list[np.ndarray]:
     return out
 
 
+def _frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each place in each row's total, which of its entries it belongs to; where a row's entries begin; their ids and ranges: low end | high end << 14."""
+    lanes, seen = ids.shape
+    x = np.sort(ids, axis=1, kind="stable").ravel()
+    new = np.ones(x.size, bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    new[np.arange(lanes) * seen if seen else []] = True
+    at = np.flatnonzero(new)
+    lane = at // max(seen, 1)
+    distinct = np.bincount(lane, minlength=lanes)
+    freq = _scaled(np.diff(at, append=x.size), _scale(distinct, seen)[lane])
+    used = np.bincount(lane, freq, lanes).astype(np.int64)
+    # The escape comes last in each lane.
+    last = np.cumsum(distinct)
+    freq = np.insert(freq, last, (1 << _TOTAL) - used)
+    entry = np.insert(x[at].astype(np.int32), last, _ESCAPE)
+    low = np.cumsum(freq) - freq & (1 << _TOTAL) - 1
+    first = last - distinct + np.arange(lanes)
+    number = (np.arange(len(freq)) - np.repeat(first, distinct + 1)).astype(np.uint16)
+    return np.repeat(number, freq), first, entry, (low | low + freq << 14).astype(np.int32)
+
+
 def _decode(coded: list[bytes], lens: np.ndarray) -> list[np.ndarray]:
     steps, lanes = int(lens.max(initial=0)), len(coded)
-    sizes = [len(c) + 8 for c in coded]
-    data = np.frombuffer(b"".join(c + bytes(8) for c in coded), np.uint8)
+    sizes = [len(c) // 2 + 2 for c in coded]
+    data = np.frombuffer(b"".join(c + bytes(4) for c in coded), "<u2").astype(np.int64)
     pos = np.cumsum(sizes) - sizes
-    low, span, code = np.zeros(lanes, _U), np.full(lanes, _WORD, _U), np.zeros(lanes, _U)
-    for _ in range(4):
-        code = (code << _U(8)) | data[pos]
+    # What the code is above the low end of the range.
+    over, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
+    for _ in range(3):
+        over = over << 16 | data[pos]
         pos = pos + 1
-    m = _Model(lanes)
-    m.rebuild(True)
+    row = np.arange(lanes)
+    tables, by_state, by_place = row << _HASH, (row * _STATES).astype(np.int32), row << _TOTAL
+    table1, table2 = np.zeros(lanes << _HASH, np.int32), np.zeros(lanes << _HASH, np.int32)
+    seen2, seen1 = np.zeros((lanes, _STATES, 2), np.int64), np.zeros((lanes, _STATES, 2), np.int64)
+    before, before2 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)  # hashes of the last ids
+    hashed = _HASHED.astype(np.int32)
     ids = np.zeros((steps, lanes), np.uint16)
-
-    def take(rows: np.ndarray | None, start: np.ndarray, size: np.ndarray) -> None:
-        nonlocal low, span
-        if rows is None:
-            low, span = _narrow(low, span, start.astype(_U), size.astype(_U))
-            go = _settled(low, span)
-        else:
-            a, b = _narrow(low[rows], span[rows], start, size)
-            low[rows] = a
-            go = rows[_settled(a, b)]
-            span[rows] = b
-        while len(go):
-            code[go] = ((code[go] << _U(8)) & _WORD) | data[pos[go]]
-            pos[go] += 1
-            low[go] = a = (low[go] << _U(8)) & _WORD
-            b = span[go] << _U(8)
-            more = _settled(a, b)
-            span[go] = b
-            go = go[more]
-
-    live = lanes
-    for t in range(steps):
-        while lens[live - 1] <= t:
-            live -= 1
-        if t in _REBUILD:
-            m.rebuild(True)
-        m.look()
-        v = (((code - low) & _WORD) // (span >> _U(16))).astype(np.int64)
-        base = m.w2 + m.w1
-        by2, by1 = v < m.w2, (v >= m.w2) & (v < base)
-        u, rest = np.maximum(v - base, 0), (1 << 16) - base
-        slot = m.table[(m.row << _TOTAL) + np.minimum((((u + 1) << _TOTAL) - 1) // rest, (1 << _TOTAL) - 1)].astype(np.int64)
-        lo, hi = m.interval(slot)
-        start = np.where(by2, 0, np.where(by1, m.w2, lo))
-        size = np.where(by2, m.w2, np.where(by1, m.w1, hi - lo))
-        x = np.where(by2, m.x2, np.where(by1, m.x1, m.id_at[m.row * _SLOTS + slot])).astype(np.int64)
-        raw = np.flatnonzero((slot == 0) & ~by2 & ~by1)
-        if live < lanes:
-            take(np.arange(live), start[:live].astype(_U), size[:live].astype(_U))
-            raw = raw[raw < live]
-        else:
-            take(None, start, size)
+    marks2, marks1 = np.zeros((steps, lanes), np.uint8), np.zeros((steps, lanes), np.uint8)
+
+    def shift(rows: np.ndarray) -> None:
+        if len(rows):
+            at = pos.take(rows)
+            over[rows] = over.take(rows) << 16 | data.take(at)
+            pos[rows] = at + 1
+            span[rows] = span.take(rows) << 16
+
+    live = np.searchsorted(-lens, -np.arange(steps), "left").tolist()
+    updates, done = frozenset(UPDATES), 0
+    for t, n in enumerate(live):
+        if t in updates:
+            for seen, marks in ((seen2, marks2), (seen1, marks1)):
+                seen += np.bincount((row * (2 * _STATES) + marks[done:t]).ravel(), minlength=seen.size).reshape(seen.shape)
+            done = t
+            share2, share1 = _shares(seen2).ravel(), _shares(seen1).ravel()
+            place, first, entry, ends = _frequencies(np.ascontiguousarray(ids[:t].T))
+        o, s, b1 = over[:n], span[:n], before[:n]
+        k1, k2 = tables[:n] + b1, tables[:n] + (before2[:n] * 1223 + b1 & (1 << _HASH) - 1)
+        e1, e2 = table1.take(k1), table2.take(k2)
+        x1, x2, s1, s2 = e1 & 0xFFFF, e2 & 0xFFFF, e1 >> 16, e2 >> 16
+        w2 = share2.take(by_state[:n] + s2)
+        base = w2 + _mixed(share1.take(by_state[:n] + s1), w2)
+        # Quotients of whole numbers below 2^49 whose integer part has at most 17 bits: exact in floats once cut.
+        part = s >> 16
+        v = (o / part).astype(np.int32)
+        rest, u = (1 << 16) - base, v - base
+        by2, by0 = v < w2, u >= 0
+        at = first[:n] + place.take(by_place[:n] + (((np.maximum(u, 0) + 1 << _TOTAL) - 1) / rest).astype(np.int32))
+        end = ends.take(at)
+        start = np.where(by0, base + (rest * (end & (1 << 14) - 1) >> _TOTAL), np.where(by2, 0, w2))
+        stop = np.where(by0, base + (rest * (end >> 14) >> _TOTAL), np.where(by2, w2, base))
+        x = np.where(by0, entry.take(at), np.where(by2, x2, x1))
+        o -= part * start.astype(np.int64)
+        np.multiply(part, (stop - start).astype(np.int64), out=s)
+        shift(np.flatnonzero(s < _DRY))
+        raw = np.flatnonzero(x == _ESCAPE)
         if len(raw):
-            got = np.minimum(((code[raw] - low[raw]) & _WORD) // (span[raw] >> _U(16)), _U(0xFFFF))
-            take(raw, got, np.ones(len(raw), _U))
-            x[raw] = got.astype(np.int64)
-        x[live:] = 0
-        ids[t] = x
-        m.learn(x)
+            part = span.take(raw) >> 16
+            got = over.take(raw) // part
+            over[raw] -= part * got
+            span[raw] = part
+            shift(raw[part < _DRY])
+            x[raw] = got & 0xFFFF
+        ids[t, :n] = x
+        m2, m1 = s2 + s2 + (x == x2).astype(np.int32), s1 + s1 + (x == x1).astype(np.int32)
+        marks2[t, :n] = m2
+        marks1[t, :n] = np.where(by2, 0, m1)
+        table2[k2] = x | _NEXT.take(m2)
+        table1[k1] = x | _NEXT.take(m1)
+        before2[:n] = b1
+        before[:n] = hashed.take(x)
     return [ids[:n, i].copy() for i, n in enumerate(lens)]
 
 

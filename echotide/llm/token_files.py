@@ -1,7 +1,7 @@
 """Token-id files: encode, write as range-coded blocks, read back.
 
-Documents are dealt by ranges of doc_id and sorted, so each partition writes one
-shard of consecutive documents. A shard is a series of frames (see range_coder),
+Documents are dealt by ranges of (doc_id, row) and sorted, so each partition writes one
+shard of consecutive documents, also where many rows share a doc_id. A shard is a series of frames (see range_coder),
 each of at most BLOCK_IDS ids, with an index of the documents that it holds parts
 of. The frames are rows of a Parquet table: Spark's commit then leaves the files of one
 attempt per task, however many executors are lost. Any frame can be decoded by
@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,73 +35,96 @@ _PARTS = "shard int, seq long, doc_id long, part long, start_in_shard long, n lo
 _PARTS_ARROW = pa.schema([("shard", pa.int32()), *((c, pa.int64()) for c in ("seq", "doc_id", "part", "start_in_shard", "n", "crc")), ("ids", pa.binary())])
 
 
-def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = tokens.END_ID, shards: int | None = None) -> DataFrame:
-    """The table of frames, written to the scratch folder in ascending doc_id order."""
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).repartitionByRange(shards or shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+class _Shard:
+    """Ids that wait to be written, and the documents that they are of."""
+
+    def __init__(self, number: int, block_ids: int):
+        self.number, self.block_ids, self.block, self.before = number, block_ids, 0, 0
+        self.ids: list[np.ndarray] = []
+        self.doc_ids: list[pa.Array] = []
+        self.sizes: list[np.ndarray] = []  # ids of each document that are left
+        self.seq, self.part = 0, 0  # of the first document that waits
+        self.waiting = 0
+
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, ends: np.ndarray) -> None:
+        self.ids.append(ids)
+        self.doc_ids.append(doc_ids)
+        self.sizes.append(np.diff(ends, prepend=0))
+        self.waiting += len(ids)
+
+    def cut(self, last: bool) -> pa.RecordBatch | None:
+        """The frames of all whole blocks; at the end, of what is left too."""
+        size = self.block_ids
+        whole = self.waiting if last else self.waiting // size * size
+        if not whole:
+            return None
+        ids, doc_ids, sizes = np.concatenate(self.ids), pa.concat_arrays(self.doc_ids), np.concatenate(self.sizes)
+        ends = np.cumsum(sizes)
+        # Pieces lie between neighbouring ends of documents or blocks.
+        stops = np.unique(np.concatenate([ends[ends <= whole], np.arange(size, whole, size), [whole]]))
+        starts = np.concatenate([[0], stops[:-1]])
+        doc = np.searchsorted(ends, starts, "right")
+        part = np.arange(len(doc)) - np.searchsorted(doc, doc) + np.where(doc == 0, self.part, 0)
+        pieces = pa.StructArray.from_arrays([doc_ids.take(pa.array(doc)), pa.array(self.seq + doc), pa.array(part), pa.array(stops - starts)], fields=list(_DOC))
+        n_blocks = -(-whole // size)
+        offsets = np.searchsorted(starts, np.append(np.arange(n_blocks) * size, whole)).astype(np.int32)
+        blocks = [(self.number, self.block + k, self.before + k * size, ids[k * size : min((k + 1) * size, whole)]) for k in range(n_blocks)]
+        out = batch(_FRAMES_ARROW, *zip(*((b[0], b[1], len(b[3]), f) for b, f in zip(blocks, range_coder.frames(blocks)))), pa.ListArray.from_arrays(pa.array(offsets), pieces))
+        done = int(np.searchsorted(ends, whole, "right"))  # documents written to their end
+        split = done < len(ends) and whole > (ends[done - 1] if done else 0)
+        self.part = int(part[-1]) + 1 if split else 0
+        left = sizes[done:].copy()
+        if split:
+            left[0] = ends[done] - whole
+        self.ids, self.doc_ids, self.sizes = [ids[whole:]], [doc_ids.slice(done)], [left]
+        self.seq, self.block, self.before, self.waiting = self.seq + done, self.block + n_blocks, self.before + whole, self.waiting - whole
+        return out
+
+
+def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = tokens.END_ID, shards: int | None = None, block_ids: int = range_coder.BLOCK_IDS, lanes: int = range_coder.LANES) -> DataFrame:
+    """The table of frames, written to the scratch folder in ascending doc_id order; lanes blocks are coded at a time."""
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    dealt = named.repartitionByRange(shards or shuffle_partitions(docs.sparkSession), "doc_id", "row").sortWithinPartitions("doc_id", "row").drop("row")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, block, before, seq = TaskContext.get().partitionId(), 0, 0, 0
-        held: list[np.ndarray] = []  # ids not written yet, and the documents they are of
-        index: list[list[int]] = []
-        size = range_coder.BLOCK_IDS
-
-        def cut(last: bool) -> pa.RecordBatch:
-            nonlocal held, index, block, before
-            ids = np.concatenate(held) if held else np.zeros(0, np.uint16)
-            whole = len(ids) if last else len(ids) // size * size
-            blocks, docs_of, k = [], [], 0
-            left = index[0][3] if index else 0
-            for at in range(0, whole, size):
-                n = min(size, whole - at)
-                blocks.append((shard, block + len(blocks), before + at, ids[at : at + n]))
-                here = []
-                while n:
-                    doc, s, part, _ = index[k]
-                    took = min(n, left)
-                    here.append({"doc_id": doc, "seq": s, "part": part, "n": took})
-                    n, left = n - took, left - took
-                    index[k][2] += 1
-                    if not left:
-                        k += 1
-                        left = index[k][3] if k < len(index) else 0
-                docs_of.append(here)
-            index = index[k:]
-            if index:
-                index[0][3] = left
-            held = [ids[whole:]]
-            out = batch(_FRAMES_ARROW, *zip(*((b[0], b[1], len(b[3]), f, d) for b, f, d in zip(blocks, range_coder.frames(blocks), docs_of)))) if blocks else None
-            block, before = block + len(blocks), before + whole
-            return out
-
-        for b, coded, dtype in tokens.encoded(batches, path, end_id):
-            for doc, raw in zip(b.column("doc_id").to_pylist(), coded):
-                ids = np.frombuffer(raw, dtype)
-                held.append(ids)
-                index.append([doc, seq, 0, len(ids)])
-                seq += 1
-            if sum(map(len, held)) >= range_coder.LANES * size and (out := cut(False)) is not None:
+        shard = _Shard(TaskContext.get().partitionId(), block_ids)
+        for b, ids, ends in tokens.encoded(batches, path, end_id):
+            shard.add(b.column("doc_id"), ids, ends)
+            if shard.waiting >= lanes * block_ids and (out := shard.cut(False)) is not None:
                 yield out
-        if (out := cut(True)) is not None:
+        if (out := shard.cut(True)) is not None:
             yield out
 
     return materialize(arrow_map(dealt, rows, _FRAMES), "token-files")
 
 
-def read_parts(files: DataFrame, with_ids: bool = False) -> DataFrame:
-    """The parts of documents in each frame, decoded: place in the shard, number, crc32 and, if asked for, ids (16 bits each)."""
+def read_parts(files: DataFrame, with_ids: bool = False, lanes: int = range_coder.LANES) -> DataFrame:
+    """The documents in the frames, decoded: place in the shard, number, crc32 and, if asked for, ids (16 bits each).
+
+    A document is in parts only where its frames are decoded apart, lanes frames at a time.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, range_coder.LANES):
-                b = whole.slice(at, range_coder.LANES)
-                out = []
-                for (shard, _, before, ids), docs in zip(range_coder.read_frames(b.column("frame").to_pylist()), b.column("docs").to_pylist()):
-                    pos = 0
-                    for d in docs:
-                        part = ids[pos : pos + d["n"]]
-                        out.append((shard, d["seq"], d["doc_id"], d["part"], before + pos, d["n"], tokens.crc32_of(part), part.astype("<u2").tobytes() if with_ids else None))
-                        pos += d["n"]
-                yield batch(_PARTS_ARROW, *zip(*out))
+            for at in range(0, whole.num_rows, lanes):
+                b = whole.slice(at, lanes)
+                out: list[list] = []
+                for (shard, _, before, ids), docs in zip(range_coder.read_frames(b.column("frame").to_pylist()), b.column("docs")):
+                    d = docs.values.flatten()
+                    pos, wide = 0, ids.astype("<u4")
+                    for doc, seq, part, n in zip(*(x.to_pylist() for x in d)):
+                        piece = wide[pos : pos + n]
+                        last = out[-1] if out else None
+                        if last and (last[0], last[1], last[4] + last[5]) == (shard, seq, before + pos):
+                            last[5] += n
+                            last[6] = tokens.crc32_of(piece, last[6])
+                        else:
+                            out.append([shard, seq, doc, part, before + pos, n, tokens.crc32_of(piece), []])
+                        if with_ids:
+                            out[-1][7].append(ids[pos : pos + n].astype("<u2").tobytes())
+                        pos += n
+                *columns, ids = zip(*out)
+                yield batch(_PARTS_ARROW, *columns, [b"".join(x) if with_ids else None for x in ids])
 
     parts = arrow_map(files, rows, _PARTS)
     return parts if with_ids else parts.drop("ids")
@@ -118,36 +141,24 @@ def _times(a: int, b: int) -> int:
     return p
 
 
-#: x^(8 * 2^k): what appending 2^k zero bytes multiplies by.
-_SQUARES = [1 << 23]
-for _ in range(63):
-    _SQUARES.append(_times(_SQUARES[-1], _SQUARES[-1]))
-
-
-def _crc32_joined(parts: list[tuple[int, int, int]]) -> int:
-    """crc32 of bytes joined, from (part, ids, crc32) of each."""
-    total = 0
-    for _, n, crc in sorted(parts):
-        for k in range((4 * n).bit_length()):
-            if total and 4 * n >> k & 1:
-                total = _times(_SQUARES[k], total)
-        total ^= crc
-    return total
+def _crc32_joined(parts: Column) -> Column:
+    """crc32 of ids joined, from structs of part, n (ids) and crc; appending n ids multiplies a crc32 by a power of x."""
+    power, table = 1 << 23, []  # x^8: what appending a byte multiplies by
+    for _ in range(40):
+        table += [_times(power, 1 << bit) for bit in range(32)]
+        power = _times(power, power)
+    shifted = "aggregate(sequence(0, 39), done, (c, k) -> if(shiftright(4 * p.n, k) & 1 = 1, aggregate(sequence(0, 31), 0L, (a, b) -> if(shiftright(c, b) & 1 = 1, a ^ powers[k * 32 + b], a)), c))"
+    folded = F.expr(f"aggregate(ordered, 0L, (done, p) -> {shifted.replace('powers', 'array(' + ', '.join(f'{x}L' for x in table) + ')')} ^ p.crc)".replace("ordered", "sort_array(parts)"))
+    return F.when(F.size(parts) == 1, parts[0]["crc"]).otherwise(folded)
 
 
-def document_crcs(files: DataFrame) -> DataFrame:
+def document_crcs(files: DataFrame, lanes: int = range_coder.LANES) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
     shards = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     bases = shards.select("shard", (F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))
-    parts = read_parts(files)
-    docs = parts.groupBy("shard", "seq").agg(F.first("doc_id").alias("doc_id"), F.min("start_in_shard").alias("at"), F.sum("n").alias("n_tokens"), F.collect_list(F.struct("part", "n", "crc")).alias("parts"))
-
-    @F.udf("long")
-    def joined(parts):
-        return _crc32_joined(parts) if len(parts) > 1 else parts[0][2]
-
+    docs = read_parts(files, lanes=lanes).groupBy("shard", "seq").agg(F.first("doc_id").alias("doc_id"), F.min("start_in_shard").alias("at"), F.sum("n").alias("n_tokens"), F.collect_list(F.struct("part", "n", "crc")).alias("parts"))
     # One row per shard, whose number the caller sets.
-    return docs.join(F.broadcast(bases), "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", joined("parts").alias("ids_crc32"))
+    return docs.join(F.broadcast(bases), "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", _crc32_joined(F.col("parts")).alias("ids_crc32"))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

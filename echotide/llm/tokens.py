@@ -1,8 +1,14 @@
 """Word-cached encoding with a tokenizer of the `tokenizers` library.
 
-Its pre-tokenizer never lets a piece cross a space or a line feed, so the ids of
-a text are those of its words one after another. Words recur; each is encoded once
-and looked up after that. The lookup table has a bounded size.
+Its pre-tokenizer never lets a piece cross white space, so the ids of a text are those of its
+words one after another. Arrow splits a batch of texts into words and numbers the distinct
+ones; each of these is looked up, or encoded once and kept, and the ids of all words are then
+gathered in array operations. The lookup table has a bounded size.
+
+A text is lower-cased beforehand only where the normalizer does just that: where all of it is
+Latin-1 and no special token can be in it. Marks behind a word are looked up apart from it
+only where it ends in a letter or digit that the normalizer leaves as it is; the apostrophe and the
+marks of special tokens stay with their word.
 """
 
 from __future__ import annotations
@@ -10,27 +16,62 @@ from __future__ import annotations
 import functools
 import gc
 import os
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words kept by a worker; characters of text handled at a time.
-KEPT_WORDS, SLICE_CHARS = 450_000, 2_000_000
+#: Words kept by a worker; bytes of text handled at a time, and encoded at a time.
+KEPT_WORDS, SLICE_CHARS, ENCODED_CHARS = 450_000, 2_000_000, 8_000_000
 END_ID = 1
-#: Letters, and marks after letters, are pieces of their own.
-_LETTERS, _MARKED = re.compile("[a-zß-öø-ÿ]+"), re.compile("([a-zß-öø-ÿ]+)([.,;:!?]+)")
+#: Words that are one piece and that the normalizer leaves alone; words that marks can be cut off from.
+_LETTERS, _MARKED = "^[a-zß-öø-ÿ]+$", r"(?s)^(?P<bare>.*[a-zß-öø-ÿ0-9])(?P<marks>[!-&(-/:;=?@\[-`{}~]+)$"
 
-#: A stop or comma that isn't behind a letter or digit, and so may be of one piece with what is before it.
-_BEHIND_MARK = re.compile(r"[.,](?<![^\W_].)")
+#: Stands for the end of a text in the table of words; no word is white space.
+_END = "\n"
+
+
+def gathered(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at starts and are sizes long, one run after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def _listed(words: pa.Array) -> list[str]:
+    """Words without white space as a list; quicker than one by one."""
+    if not len(words):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), pa.scalar(" ", words.type))[0].as_py().split(" ")
+
+
+class _Store:
+    """Ids of words, one after another in one array."""
+
+    def __init__(self, dtype: np.dtype):
+        self.index: dict[str, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, dtype), 0
+        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Where the new words are kept."""
+        at, to = len(self.index), len(self.index) + len(words)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while to > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[at:to] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[at:to] = sizes
+        self.used += len(ids)
+        self.index.update(zip(words, range(at, to)))
+        return np.arange(at, to)
 
 
 class WordEncoder:
-    """Ids of whole texts, as little-endian unsigned 16- or 32-bit bytes."""
+    """Ids of whole texts."""
 
     def __init__(self, path: str, keep: int = KEPT_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -40,58 +81,74 @@ class WordEncoder:
         for t in (self.tokenizer, self.plain):
             t.no_truncation()
             t.no_padding()
-        # Lower-case Latin letters are one piece, and the normalizer leaves them alone.
+        # Takes many words of lower-case Latin letters at once.
         self.plain.normalizer = normalizers.Sequence([])
-        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = os.path.commonprefix(special) or None
         self.dtype = np.dtype("<u2" if len(self.ends) <= 1 << 16 else "<u4")
-        self.keep, self.known = keep, {}
-
-    def _learn(self, words: set[str]) -> None:
-        """Of a word with marks behind, the word is looked up or learnt by itself: it recurs more often."""
-        new = words.difference(self.known)
-        if len(self.known) + len(new) > self.keep:
-            self.known, new = {}, words
-        marked = [m for m in map(_MARKED.fullmatch, new) if m]
-        new = (new.difference(m[0] for m in marked) | {x for m in marked for x in m.groups()}).difference(self.known)
-        plain = list(filter(_LETTERS.fullmatch, new))
-        if plain:
-            ids = np.array(self.plain.encode(plain, is_pretokenized=True, add_special_tokens=False).ids, self.dtype)
-            stops = ((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()
-            if len(stops) == len(plain):
-                raw = ids.tobytes()
-                self.known.update(zip(plain, map(lambda a, b: raw[a:b], [0, *stops[:-1]], stops)))
-        rest = [x for x in new if x not in self.known]
-        for word, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.known[word] = np.array(found.ids, self.dtype).tobytes()
-        for m in marked:
-            self.known[m[0]] = self.known[m[1]] + self.known[m[2]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_spaced(_lowered(t)).replace("\n", " ").split(" ") for t in texts]
-        self._learn(set(chain.from_iterable(split)))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-
-def _spaced(text: str) -> str:
-    """The text with stops and commas at ends of words set apart, unless one stands behind anything but a letter or digit."""
-    if _BEHIND_MARK.search(text):
-        return text
-    text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n").replace(",\n", " ,\n")
-    return f"{text[:-1]} {text[-1]}" if text.endswith((".", ",")) else text
-
-
-def _lowered(text: str) -> str:
-    """Latin text in lower case, as the normalizer makes it; other text as it is."""
-    if not text.isascii():
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
+        self.keep, self.known = keep, _Store(self.dtype)
+
+    def _lowered(self, text: str) -> str:
+        if self.special is None or self.special in text:
             return text
-    return text.lower()
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text
+        return text.lower()
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where the store keeps each of these distinct words, learnt if need be."""
+        listed = _listed(words)
+        at = np.fromiter(map(self.known.index.get, listed, repeat(-1)), np.int64, len(listed))
+        new = np.flatnonzero(at < 0)
+        if len(self.known.index) + len(new) > self.keep:
+            self.known, new = _Store(self.dtype), np.arange(len(listed))
+        if not len(new):
+            return at
+        fresh = words.take(pa.array(new))
+        simple = pc.match_substring_regex(fresh, _LETTERS)
+        plain = fresh.filter(simple)
+        simple = simple.to_numpy(zero_copy_only=False)
+        ids = np.array(self.plain.encode_batch_fast([" ".join(_listed(plain))], add_special_tokens=False)[0].ids, self.dtype)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(plain):  # A vocabulary without an end in each word: no shortcut.
+            simple, ids, stops = np.zeros(len(new), bool), ids[:0], stops[:0]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(_listed(fresh.filter(pa.array(~simple))), add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.concatenate([ids, np.fromiter(chain.from_iterable(found), self.dtype, int(sizes.sum()))])
+        order = np.concatenate([new[simple], new[~simple]])
+        at[order] = self.known.add(_listed(fresh.take(pa.array(np.argsort(~simple, kind="stable")))), ids, np.concatenate([np.diff(stops, prepend=0), sizes]))
+        return at
+
+    def encode(self, texts: list[str], end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, end_id behind each, and where each text's ids end."""
+        split = pc.ascii_split_whitespace(pa.array([self._lowered(t) for t in texts], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        words, index = coded.dictionary, coded.indices.to_numpy()
+        # A distinct word is one entry of the store, or two: what is before the marks behind it, and these.
+        cut = pc.extract_regex(words, _MARKED)
+        marked = cut.is_valid()
+        bare = pc.if_else(marked, pc.struct_field(cut, "bare"), words)
+        both = pa.concat_arrays([bare, pc.struct_field(cut, "marks").filter(marked)]).dictionary_encode()
+        place = self._places(both.dictionary)[both.indices.to_numpy()]
+        marked = marked.to_numpy(zero_copy_only=False)
+        entries = np.insert(place[: len(words)], np.flatnonzero(marked) + 1, place[len(words) :])
+        n = marked + 1
+        taken = n[index]
+        ends = np.concatenate([[0], np.cumsum(taken)])[split.offsets.to_numpy()[1:]]
+        entry = entries[gathered((np.cumsum(n) - n)[index], taken)]
+        if _END not in self.known.index:
+            self.known.add([_END], np.array([end_id], self.dtype), np.array([1]))
+        entry = np.insert(entry, ends, self.known.index[_END])
+        sizes = self.known.sizes[entry]
+        ids = self.known.flat[gathered(self.known.starts[entry], sizes)]
+        return ids, np.cumsum(sizes)[ends + np.arange(len(texts))]
 
 
 @functools.lru_cache(maxsize=2)
@@ -119,9 +176,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int =
             at = to
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int = END_ID) -> Iterator[tuple[pa.RecordBatch, list[bytes], np.dtype]]:
-    """Each part of the batches with the ids of its texts, end_id last."""
+def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int = END_ID) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Each part of the batches with the ids of its texts, end_id behind each, and where each text's ids end."""
     enc = encoder(path)
-    end = np.array([end_id], enc.dtype).tobytes()
-    for part in slices(batches):
-        yield part, [x + end for x in enc.encode([t or "" for t in part.column("text").to_pylist()])], enc.dtype
+    for part in slices(batches, chars=ENCODED_CHARS):
+        yield part, *enc.encode([t or "" for t in part.column("text").to_pylist()], end_id)

@@ -50,13 +50,40 @@ def library_ids(path):
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
-ODD = ["", " ", "a  b", "İSTANBUL ΣΑΣ Σ", "don't I'M we'Ll", "x<|endoftext|>y <|startoftext|>", "é é Å", "a\x1cb\x85c　d", "ß123!?…", "日本 語", "word,word. word!", "ÀÉ þÿ", " x y"]
+ODD = ["", " ", "see <|ENDOFTEXT|> here", "İ. a", "क़. x שּׁ, y", "a  b", "İSTANBUL ΣΑΣ Σ", "don't I'M we'Ll", "x<|endoftext|>y <|startoftext|>", "é é Å", "a\x1cb\x85c　d", "ß123!?…", "日本 語", "word,word. word!", "ÀÉ þÿ", " x y"]
+
+
+def same_ids(e, ref, texts):
+    ids, ends = e.encode(texts)
+    assert np.split(ids, ends)[-1].size == 0 and [x.tolist() for x in np.split(ids, ends)[:-1]] == [[*ref(t), 1] for t in texts]
 
 
 def test_word_encoder():
     e, ref = tokens.WordEncoder(WORD, keep=40), library_ids(WORD)
     for batch in (ODD, [LONG, *ODD], ODD):
-        assert [np.frombuffer(b, e.dtype).tolist() for b in e.encode(batch)] == [ref(t) for t in batch]
+        same_ids(e, ref, batch)
+
+
+def spellings(token):
+    """The token with each letter in either case, a sample of all ways; letters that lower-case to ASCII too."""
+    rng = np.random.default_rng(7)
+    out = [token, token.upper(), token.title(), token.replace("s", "ſ"), token.replace("i", "İ"), f"{token[:-1]} {token[-1]}", token + token, f"a{token}.", f"A{token.upper()}b, {token};"]
+    return out + ["".join(c.upper() if rng.random() < 0.5 else c for c in token) for _ in range(100)]
+
+
+def test_word_ids_of_all_code_points_and_special_tokens():
+    e, ref = tokens.WordEncoder(WORD), library_ids(WORD)
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    ascii_only = every[:127]
+    for form in ("a{}. x", "a{}, x", "A{}!? {}.", "{}b's{}"):
+        same_ids(e, ref, [form.replace("{}", c) for c in every[:0x3000]] + [form.replace("{}", c) for c in ascii_only])
+        # Of other code points, many to a text: a text with any of them isn't lower-cased beforehand.
+        more = every[0x3000:0x32000] if form == "a{}. x" else every[0x3000:0x32000:37]
+        same_ids(e, ref, [" ".join(form.replace("{}", c) for c in more[k : k + 200]) for k in range(0, len(more), 200)])
+    for token in ("<|startoftext|>", "<|endoftext|>"):
+        same_ids(e, ref, [f.replace("{}", s) for s in spellings(token) for f in ("{}", "See {} here", "x{}y. Z", "{}, {}.")])
+    pairs = ["".join(p) for p in np.random.default_rng(8).choice(["a", "H", "i", "I", "\u0331", "\u0301", "\u0307", ".", ",", "'", "s", " ", "\n", "\t", "\u00a0", "\x1c", "\x85", "<|", "|>", "É", "ß", "1"], (4000, 8))]
+    same_ids(e, ref, pairs)
 
 
 def test_packing(spark, awkward, nothing, docs):
@@ -108,11 +135,24 @@ def test_token_files(awkward, nothing, docs):
         expected.append((i, start, len(ids), zlib.crc32(ids)))
         start += len(ids)
     assert got == expected
+    parts = token_files.read_parts(token_files.write(docs, WORD), with_ids=True).orderBy("shard", "seq", "part").collect()
+    assert np.frombuffer(b"".join(r["ids"] for r in parts), "<u2").tolist() == [x for _, t in sorted(texts(docs)) for x in (*ref(t), 1)]
     odd = token_files.document_crcs(token_files.write(awkward, WORD)).collect()
     assert collections.Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in odd) == collections.Counter((i, len(ref(t)) + 1, zlib.crc32(np.array([*ref(t), 1], "<u4"))) for i, t in texts(awkward))
     assert token_files.document_crcs(token_files.write(nothing, WORD)).count() == 0
 
 
+def test_token_files_in_small_blocks(spark):
+    """Documents over many frames, whose parts are decoded apart; many rows with one doc_id over several shards."""
+    ref, rng = library_ids(WORD), np.random.default_rng(4)
+    rows = [(None if k % 3 == 0 else 7, " ".join(f"w{x}" for x in rng.integers(0, 99, rng.integers(0, 90)))) for k in range(60)] + [(9, "end " * 700)]
+    files = token_files.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), WORD, shards=4, block_ids=16, lanes=3)
+    assert files.count() > 100 and files.select("shard").distinct().count() == 4
+    found = token_files.document_crcs(files, lanes=2).orderBy("start").collect()
+    assert collections.Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in found) == collections.Counter((i, len(ref(t)) + 1, zlib.crc32(np.array([*ref(t), 1], "<u4"))) for i, t in rows)
+    assert [r["doc_id"] for r in found] == [None] * 20 + [7] * 40 + [9] and [r["start"] for r in found] == [0, *np.cumsum([r["n_tokens"] for r in found])[:-1].tolist()]
+
+
 def test_byte_bpe(awkward, nothing, docs):
     from tokenizers import Tokenizer
 
