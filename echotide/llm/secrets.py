@@ -40,7 +40,7 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{16,}")  # runs are maximal, so shorter ones need no match to be dropped
 MIN_ASSIGN, MIN_ACCESS = 12, 18
 #: Candidates of the structural kinds.
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----(.*?)-----END \1-----", re.DOTALL)
+PEM_START = re.compile("-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]*)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
 #: Starts of a DER sequence, letters of an encoding, and what may stand between them: line breaks, and the backslashes of escaped ones and of "\/".
 B64_START, B64_LETTERS = re.compile("M(?=[A-I][A-Za-z0-9+/_-]{14})"), re.compile("[A-Za-z0-9+/_-]{1,1024}")
@@ -129,6 +129,16 @@ def _is_pem(body: str) -> bool:
     return bool(data) and key_kind(data) is not None
 
 
+def _pems(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the armoured keys; each ends before the next begins, so a text is read once."""
+    starts = list(PEM_START.finditer(text))
+    for m, stop in zip(starts, [*(n.start() for n in starts[1:]), len(text)]):
+        last = f"-----END {m[1]}-----"
+        end = text.find(last, m.end(), stop)
+        if end >= 0 and _is_pem(text[m.end() : end]):
+            yield m.start(), end + len(last)
+
+
 def stated_length(data: bytes) -> int | None:
     """Bytes of the DER sequence that begins here, by its outer frame; None where no key begins so."""
     if len(data) < 8 or data[0] != 0x30:
@@ -153,15 +163,16 @@ def openssh_length(data: bytes) -> int | None:
     return at
 
 
-def _letters(text: str, at: int, letters: re.Pattern, count: int) -> tuple[str, int]:
-    """Up to count letters from here on without what stands between them, and where they end."""
+def _letters(text: str, at: int, letters: re.Pattern, count: int, stop: int | None = None) -> tuple[str, int]:
+    """Up to count letters from here on, but not beyond stop, without what stands between them, and where they end."""
     out, have, end = [], 0, at
+    stop = len(text) if stop is None else stop
     while have < count:
-        if m := letters.match(text, at):
+        if m := letters.match(text, at, stop):
             out.append(m[0][: count - have])
             have += len(out[-1])
             at = end = at + len(out[-1])
-        elif m := BETWEEN.match(text, at):
+        elif m := BETWEEN.match(text, at, stop):
             at = m.end()
         else:
             break
@@ -190,13 +201,14 @@ def _keys(text: str, der: re.Pattern, openssh: re.Pattern, letters: re.Pattern,
         if m.start() >= last and (end := whole(m.start(), stated_length(decode(text[m.start() : m.start() + 16]) or b""))):
             last = end
             yield m.start(), end
-    for m in openssh.finditer(text):
+    starts = list(openssh.finditer(text))
+    for m, stop in zip(starts, [*(n.start() for n in starts[1:]), len(text)]):
         if m.start() < last:
             continue
-        run = _letters(text, m.start(), letters, len(text))[0]
+        run = _letters(text, m.start(), letters, len(text), stop)[0]
         end = whole(m.start(), openssh_length(decode(run[: len(run) & ~3]) or b""))
         if not end:  # Fields that don't fit: what the line holds.
-            run = _letters(re.split("[\\r\\n\\\\]", text[m.start() :], maxsplit=1)[0], 0, letters, len(text))[0]
+            run = _letters(re.split("[\\r\\n\\\\]", text[m.start() : stop], maxsplit=1)[0], 0, letters, len(text))[0]
             end = m.start() + len(run) if key_kind(decode(run) or b"") else None
         if end:
             last = end
@@ -210,7 +222,7 @@ def scan(text: str) -> list[tuple[int, int, str]]:
         found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     if "-----BEGIN " in text:
-        found += [(m.start(), m.end(), "pem") for m in PEM.finditer(text) if _is_pem(m[2])]
+        found += [(start, end, "pem") for start, end in _pems(text)]
     if "eyJ" in text:
         found += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if _is_jwt(m[1], m[2])]
     for start, end in _keys(text, B64_START, OPENSSH_B64, B64_LETTERS, 6, decode_base64):
