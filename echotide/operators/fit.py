@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,9 @@ from echotide.schema import CURVE_KEY
 
 #: Names of the results, in the order of the keys.
 NAMES = ["AUC", "PE", "TP", "MTT", "T0", "Mu", "Sigma", "PE_Ix"]
-MAX_STEPS = 400
+MAX_STEPS, TRIAL_STEPS, RESTART = 400, 12, 1e-4
+#: Frames, padding included, that are fitted at a time.
+CELLS = 1 << 16
 
 
 def model(t: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -37,33 +40,13 @@ def _jacobian(t: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.stack([unit, y * z / sigma**2, y * (z**2 / sigma**3 - 1 / sigma), y * (1 / s + z / (sigma**2 * s))], -1)
 
 
-def fit(t: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Results (curves x NAMES) for curves of n frames each, padded on the right. NaN where a fit isn't possible.
-
-    Values are shifted to a minimum of 0 and scaled to a maximum of 1. Bounds: auc and mu from 0, sigma 0.01 to 5,
-    t0 from 0 to the last time. A peak in the first frame leaves no start value for mu, so such a fit fails.
-    """
-    inside = np.arange(t.shape[1]) < n[:, None]
-    out = np.full((len(t), len(NAMES)), np.nan)
-    low = np.where(inside, y, np.inf).min(1, initial=np.inf)
-    shifted = np.where(inside, y - np.where(np.isfinite(low), low, 0)[:, None], 0.0)
-    high = shifted.max(1, initial=0.0)
-    peak = np.where(inside, shifted, -1.0).argmax(1)
-    good = np.flatnonzero((n > 1) & np.isfinite(high) & (high > 0) & (peak > 0) & ~np.isnan(np.where(inside, y, 0)).any(1))
-    if not len(good):
-        return out
-    t, inside, n, peak = t[good], inside[good], n[good], peak[good]
-    y = shifted[good] / high[good][:, None]
-    last = t[np.arange(len(t)), n - 1]
-    floor = np.array([0.0, 0.0, 0.01, 0.0])
-    ceil = np.column_stack([np.full(len(t), np.inf), np.full(len(t), np.inf), np.full(len(t), 5.0), last])
-    p = np.column_stack([y.sum(1) * (t[:, 1] - t[:, 0]), np.log(peak), np.full(len(t), 0.5), 0.15 * t[np.arange(len(t)), peak]])
+def _descend(t: np.ndarray, y: np.ndarray, weight: np.ndarray, p: np.ndarray, floor: np.ndarray, ceil: np.ndarray, steps: int = MAX_STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """Parameters and losses after damped least-squares steps from p within the bounds."""
     p = np.clip(p, floor, ceil)
-    weight = inside.astype(float)
     loss = (((model(t, p) - y) * weight) ** 2).sum(1)
     damp = np.full(len(t), 1e-3)
     active = np.ones(len(t), bool)
-    for _ in range(MAX_STEPS):
+    for _ in range(steps):
         k = np.flatnonzero(active)
         if not len(k):
             break
@@ -87,6 +70,51 @@ def fit(t: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
         active[k] = np.where(better, moved & (gain > 1e-14 * (1e-30 + loss[k])), damp[k] < 1e10)
         loss[k] = np.where(better, newer, loss[k])
         damp[k] = np.where(better, np.maximum(damp[k] / 5, 1e-12), damp[k] * 4)
+    return p, loss
+
+
+def fit(t: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Results (curves x NAMES) for curves of n frames each, padded on the right. NaN where a fit isn't possible.
+
+    Values are shifted to a minimum of 0 and scaled to a maximum of 1. Bounds: auc and mu from 0, sigma 0.01 to 5,
+    t0 from 0 to the last time. A peak in the first frame leaves no start value for mu, so such a fit fails.
+    Where the one start leaves more than RESTART of a curve's energy, a few steps are tried from further starts that
+    put the mode at the peak, from onsets between 0 and the curve's first rise, and the best of these is followed to
+    its end; the lesser loss counts.
+    """
+    inside = np.arange(t.shape[1]) < n[:, None]
+    out = np.full((len(t), len(NAMES)), np.nan)
+    low = np.where(inside, y, np.inf).min(1, initial=np.inf)
+    shifted = np.where(inside, y - np.where(np.isfinite(low), low, 0)[:, None], 0.0)
+    high = shifted.max(1, initial=0.0)
+    peak = np.where(inside, shifted, -1.0).argmax(1)
+    good = np.flatnonzero((n > 1) & np.isfinite(high) & (high > 0) & (peak > 0) & ~np.isnan(np.where(inside, y, 0)).any(1))
+    if not len(good):
+        return out
+    t, inside, n, peak = t[good], inside[good], n[good], peak[good]
+    y = shifted[good] / high[good][:, None]
+    each = np.arange(len(t))
+    last, top, apart = t[each, n - 1], t[each, peak], t[:, 1] - t[:, 0]
+    floor = np.array([0.0, 0.0, 0.01, 0.0])
+    ceil = np.column_stack([np.full(len(t), np.inf), np.full(len(t), np.inf), np.full(len(t), 5.0), last])
+    weight = inside.astype(float)
+    area = y.sum(1) * apart
+    p, loss = _descend(t, y, weight, np.column_stack([area, np.log(peak), np.full(len(t), 0.5), 0.15 * top]), floor, ceil)
+    energy = (y**2).sum(1)
+    rise = t[each, np.maximum((y > 0.01).argmax(1) - 1, 0)]
+    again = np.flatnonzero(loss > RESTART * energy)
+    best, least = p[again], np.full(len(again), np.inf)
+    for onset in (0.0, 0.5, 0.9, 1.0):
+        for sigma in (0.25, 0.7):
+            t0 = onset * rise[again]
+            start = np.column_stack([area[again], np.log(np.maximum(top[again] - t0, 0.1 * apart[again])) + sigma**2, np.full(len(again), sigma), t0])
+            new, newer = _descend(t[again], y[again], weight[again], start, floor, ceil[again], TRIAL_STEPS)
+            better = newer < least
+            best[better], least[better] = new[better], newer[better]
+    if len(again):
+        best, least = _descend(t[again], y[again], weight[again], best, floor, ceil[again])
+        better = least < loss[again]
+        p[again[better]] = best[better]
     auc, mu, sigma, t0 = p.T
     fitted = np.where(inside, model(t, p), -1.0)
     out[good] = np.column_stack([auc, fitted.max(1), np.exp(mu - sigma**2), np.exp(mu + sigma**2 / 2), np.maximum(t0, 0), mu, sigma, fitted.argmax(1)])
@@ -95,24 +123,27 @@ def fit(t: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def fit_curves(curves: DataFrame) -> DataFrame:
     """One row per curve with the results of its fit; T0 is 0 where the fit failed, the others NaN."""
-    packed = pack(curves)
+    packed = pack(curves).select(*CURVE_KEY, F.transform("points", lambda q: q["time_s"]).alias("t"), F.transform("points", lambda q: q["value"].cast("double")).alias("y"))
     kinds = dict(packed.dtypes)
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in CURVE_KEY), *(f"{n} double" for n in NAMES)])
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, len(whole), 512):
-                pdf = whole.iloc[at : at + 512].reset_index(drop=True)
-                n = pdf["points"].map(len).to_numpy()
-                t, y = (np.zeros((len(pdf), max(2, n.max(initial=2)))) for _ in "ty")
-                for k, points in enumerate(pdf["points"]):
-                    for i, q in enumerate(points):
-                        t[k, i], y[k, i] = q["time_s"], np.nan if q["value"] is None else q["value"]
-                found = pd.DataFrame(fit(t, y, n), columns=NAMES)
-                found["T0"] = found["T0"].fillna(0.0)
-                yield pd.concat([pdf[CURVE_KEY], found], axis=1)
-
-    return packed.mapInPandas(rows, schema)
+            sizes = pc.list_value_length(whole.column("t")).fill_null(0).to_numpy(zero_copy_only=False)
+            at = 0
+            while at < whole.num_rows:  # as many curves as fill CELLS with the longest of them, at least one
+                widest = np.maximum.accumulate(sizes[at:])
+                count = max(1, int(np.searchsorted(widest * np.arange(1, len(widest) + 1), CELLS, "right")))
+                part, n = whole.slice(at, count), sizes[at : at + count]
+                inside = np.arange(max(2, n.max())) < n[:, None]
+                t, y = np.zeros(inside.shape), np.zeros(inside.shape)
+                t[inside] = pc.list_flatten(part.column("t")).to_numpy(zero_copy_only=False)
+                y[inside] = pc.list_flatten(part.column("y")).to_numpy(zero_copy_only=False)
+                found = fit(t, y, n)
+                found[np.isnan(found[:, NAMES.index("T0")]), NAMES.index("T0")] = 0.0
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in CURVE_KEY), *(pa.array(x) for x in found.T)], names=[*CURVE_KEY, *NAMES])
+                at += count
+
+    return packed.mapInArrow(rows, ", ".join([*(f"{c} {kinds[c]}" for c in CURVE_KEY), *(f"{n} double" for n in NAMES)]))
 
 
 def lognormal_fit_full(curves: DataFrame, curves_to_fit: Sequence[str] = ("TIC",)) -> DataFrame:

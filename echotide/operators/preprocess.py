@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Sequence
 from functools import reduce
 
@@ -138,23 +137,29 @@ def crop(mask: DataFrame, axis: str, size: int) -> DataFrame:
     return mask.where(F.col(axis) < size)
 
 
-def _filled(mask: np.ndarray) -> np.ndarray:
-    """Background that no path of neighbouring background cells joins to the border becomes foreground."""
-    outside = np.zeros([n + 2 for n in mask.shape], bool)
-    free = np.ones_like(outside)
-    free[tuple(slice(1, -1) for _ in mask.shape)] = ~mask
-    start = (0,) * mask.ndim
-    outside[start] = True
-    queue = deque([start])
-    while queue:
-        at = queue.popleft()
-        for axis in range(mask.ndim):
-            for step in (-1, 1):
-                to = at[:axis] + (at[axis] + step,) + at[axis + 1 :]
-                if 0 <= to[axis] < outside.shape[axis] and free[to] and not outside[to]:
-                    outside[to] = True
-                    queue.append(to)
-    return ~outside[tuple(slice(1, -1) for _ in mask.shape)]
+def _filled(mask: np.ndarray, axes: Sequence[int] | None = None) -> np.ndarray:
+    """Background that no path of neighbouring background cells joins to the border becomes foreground.
+
+    Paths and border are those of the given axes (all by default), other axes number slices. The outside spreads along
+    a whole run of background in one array operation, so rounds count turns of a path, not its cells.
+    """
+    axes = range(mask.ndim) if axes is None else axes
+    free = ~mask
+    outside = np.zeros_like(free)
+    for axis in axes:
+        edge = np.moveaxis(outside, axis, 0)
+        edge[0] = edge[-1] = True
+    outside &= free
+    while True:
+        before = int(outside.sum())
+        for axis in axes:
+            for way in (1, -1):
+                o, f = (np.moveaxis(x, axis, 0)[::way] for x in (outside, free))
+                at = np.arange(len(o)).reshape(-1, *(1,) * (o.ndim - 1))
+                seen, wall = (np.maximum.accumulate(np.where(x, at, -1), 0) for x in (o, ~f))
+                o |= seen > wall
+        if int(outside.sum()) == before:
+            return ~outside
 
 
 def fill_holes(mask: DataFrame, dims: int, slicewise: bool = True) -> DataFrame:
@@ -170,7 +175,7 @@ def fill_holes(mask: DataFrame, dims: int, slicewise: bool = True) -> DataFrame:
         grid[where] = pdf["m"] > 0
         grid = _filled(grid)
         for axis in range(dims) if slicewise and dims == 3 else ():
-            grid = np.moveaxis(np.stack([_filled(s) for s in np.moveaxis(grid, axis, 0)]), 0, axis)
+            grid = _filled(grid, [a for a in range(dims) if a != axis])
         return pdf.assign(m=grid[where].astype("int16"))
 
     kinds = dict(mask.dtypes)

@@ -146,15 +146,15 @@ def duplicate_curve_check(spark, d):
     return C.duplicates(e).select("scan_id", "curve_name", "frame", "n")
 
 
-@query("curves_wide", f"""WITH {CURVE} SELECT scan_id, frame, time_s, {{columns}} FROM timed GROUP BY ALL""")
+EVENT_KINDS = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("curves_wide", f"""WITH {CURVE} SELECT scan_id, frame, time_s, {', '.join(f"max(value) FILTER (event_type = '{k}') AS {k}" for k in EVENT_KINDS)} FROM timed GROUP BY scan_id, frame, time_s""")
 def curves_wide(spark, d):
     names = X.event_kinds(spark, d)
     return tables.curves_wide(X.curves_multi(spark, d), names).select("scan_id", "frame", "time_s", *names)
 
 
-ORACLES["curves_wide"] = f"WITH {CURVE}, one AS (SELECT scan_id, frame, time_s, event_type, value FROM timed) PIVOT one ON event_type USING first(value) GROUP BY scan_id, frame, time_s"
-
-
 @query("curves_unpivot", f"""WITH {CURVE}, kinds AS (SELECT DISTINCT event_type AS curve_name FROM events)
 SELECT scan_id, frame, curve_name, CASE WHEN event_type = curve_name THEN value END AS value FROM timed, kinds""")
 def curves_unpivot(spark, d):
@@ -260,10 +260,58 @@ def cmus_firstorder(spark, d):
     return quantify.cmus_first_order(c, quantify.peaks(fit.lognormal_fit_full(c))).select("scan_id", "key", number(F.col("value")).alias("value"))
 
 
+# Fits to curves whose parameters are known.
+BOLUS = """
+made AS (SELECT user_id::VARCHAR AS scan_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS frame,
+  1 + user_id % 10 * 0.1::DOUBLE AS mu, 0.4::DOUBLE + user_id % 5 * 0.05::DOUBLE AS sigma, (user_id % 3 + 1)::DOUBLE AS t0 FROM events),
+bolus AS (SELECT *, frame * 0.5::DOUBLE AS time_s, CASE WHEN frame * 0.5::DOUBLE > t0 THEN 12.5::DOUBLE / ((frame * 0.5::DOUBLE - t0) * sigma * sqrt(2 * pi()))
+  * exp(-power(ln(frame * 0.5::DOUBLE - t0) - mu, 2) / (2 * sigma * sigma)) ELSE 0 END AS value FROM made)"""
+BOLUS_FIT = """
+one AS (SELECT scan_id, any_value(mu) AS mu, any_value(sigma) AS sigma, any_value(t0) AS t0, max(value) AS top, arg_max(frame, (value, -frame)) AS ix FROM picked GROUP BY scan_id),
+keys AS (SELECT scan_id, unnest([{'k': 'AUC', 'v': 12.5::DOUBLE / top}, {'k': 'PE', 'v': 1.0::DOUBLE}, {'k': 'TP', 'v': exp(mu - sigma * sigma)}, {'k': 'MTT', 'v': exp(mu + sigma * sigma / 2)},
+  {'k': 'T0', 'v': t0}, {'k': 'Mu', 'v': mu}, {'k': 'Sigma', 'v': sigma}, {'k': 'PE_Ix', 'v': ix::DOUBLE}]) AS x FROM one)"""
+
+
+def _fit_sql(part: str, where: str = "") -> str:
+    return f"WITH {BOLUS}, picked AS (SELECT * FROM bolus {where}), {BOLUS_FIT} SELECT scan_id, x.k || '_{part}_TIC' AS key, round(x.v, 5) + 0.0 AS value FROM keys"
+
+
+@query("lognormal_fit_full_known", _fit_sql("full"))
+def lognormal_fit_full_known(spark, d):
+    return fit.lognormal_fit_full(X.boluses(spark, d)).select("scan_id", "key", number(F.col("value"), 5).alias("value"))
+
+
+@query("lognormal_fit_select_known", _fit_sql("select", "WHERE time_s <= 20"))
+def lognormal_fit_select_known(spark, d):
+    return fit.lognormal_fit_select(X.boluses(spark, d), ["tic"], 0.0, END).select("scan_id", "key", number(F.col("value"), 5).alias("value"))
+
+
+BOLUS_PEAK = f"""{BOLUS}, flash AS (SELECT scan_id, arg_max(frame, (value, -frame)) AS flash, count(*)::INT AS n FROM bolus GROUP BY scan_id),
+pts AS (SELECT bolus.*, n, flash, greatest(flash - 5, 0) AS pre, least(flash + 5, n - 1) AS post FROM bolus JOIN flash USING (scan_id))"""
+
+
+@query("wash_rates_known", f"""WITH {BOLUS_PEAK}, s AS (SELECT scan_id, any_value(flash) AS pe, any_value(n) AS n, regr_slope(value, frame::DOUBLE) FILTER (frame < flash) AS a, regr_slope(value, frame::DOUBLE) FILTER (frame >= flash) AS b FROM pts GROUP BY scan_id)
+SELECT scan_id, round(CASE WHEN pe > 1 THEN a END, 6) + 0.0 AS wash_in, round(CASE WHEN pe < n - 1 THEN b END, 6) + 0.0 AS wash_out FROM s""")
+def wash_rates_known(spark, d):
+    c = X.boluses(spark, d)
+    w = quantify.wide(quantify.wash_rates(c, quantify.peaks(fit.lognormal_fit_full(c))), ["WashInRate_TIC", "WashOutRate_TIC"])
+    return w.select("scan_id", number(F.col("WashInRate_TIC"), 6).alias("wash_in"), number(F.col("WashOutRate_TIC"), 6).alias("wash_out"))
+
+
+@query("cmus_sections_known", f"""WITH {BOLUS_PEAK}, p AS (SELECT *, CASE WHEN flash < post THEN flash ELSE post - 1 END AS pe FROM pts),
+parts AS (SELECT scan_id, 'WashIn' AS section, value FROM p WHERE frame < pe UNION ALL SELECT scan_id, 'WashOutPreFlash', value FROM p WHERE frame >= pe AND frame < pre
+UNION ALL SELECT scan_id, 'PostFlash', value FROM p WHERE frame >= post)
+SELECT scan_id, section || '_Mean_TIC' AS key, round(avg(value), 6) + 0.0 AS value FROM parts GROUP BY scan_id, section""")
+def cmus_sections_known(spark, d):
+    c = X.boluses(spark, d)
+    q = quantify.cmus_first_order(c, quantify.peaks(fit.lognormal_fit_full(c))).where(F.col("key").endswith("_Mean_TIC"))
+    return q.select("scan_id", "key", number(F.col("value"), 6).alias("value"))
+
+
 # Preprocessing ------------------------------------------------------------------------------
 
 
-@query("standardize", f"WITH {CINE2}, s AS (SELECT avg(value) AS mean, stddev_pop(value) AS std FROM vox) SELECT frame, ax, sag, round((value - mean) / std, 6) + 0.0 AS z FROM vox, s")
+@query("standardize", f"WITH {CINE2} SELECT frame, ax, sag, round((value - avg(value) OVER ()) / stddev_pop(value) OVER (), 6) + 0.0 AS z FROM vox")
 def standardize(spark, d):
     return preprocess.standardize(X.cine(spark, d, 2)).select("frame", "ax", "sag", number(F.col("value"), 6).alias("z"))
 
@@ -291,8 +339,8 @@ def _resample_sql(dims: int, interp: str, old, new, value="value", keys="frame,
 OLD, NEW = (1.0, 1.0, 1.0), (1.5, 0.8, 0.75)
 
 
-def _resampled(spark, d, dims, interp):
-    out = preprocess.resample(X.cine(spark, d, dims), X.shape(spark, d, dims), OLD[:dims], NEW[:dims], interp)
+def _resampled(spark, d, dims, interp, new=NEW):
+    out = preprocess.resample(X.cine(spark, d, dims), X.shape(spark, d, dims), OLD[:dims], new[:dims], interp)
     return out.select("frame", *["ax", "sag", "cor"][:dims], number(F.col("value"), 6).alias("value"))
 
 
@@ -301,7 +349,37 @@ for _dims in (2, 3):
         query(f"resample_{_interp}_{_dims}d", _resample_sql(_dims, _interp, OLD, NEW))(lambda spark, d, dims=_dims, interp=_interp: _resampled(spark, d, dims, interp))
 
 
-@query("resample_cubic_2d")
+def _cubic_axis_sql(name: str, old: float, new: float) -> str:
+    """Weights of an axis: its spline's coefficients are the samples, mirrored without end, times powers of sqrt(3) - 2."""
+    n = f"(SELECT max({name}) + 1 FROM cells)"
+    grid = f"SELECT i, least(i * {new}::DOUBLE / {old}::DOUBLE, ({n} - 1)::DOUBLE) AS x FROM (SELECT unnest(range(0, round_even({n} * {old}::DOUBLE / {new}::DOUBLE, 0)::BIGINT)) AS i)"
+    near = f"SELECT i, x, floor(x)::BIGINT + k AS c, abs(x - floor(x) - k) AS far FROM ({grid}), (SELECT unnest([-1, 0, 1, 2]) AS k)"
+    wide = f"SELECT i, CASE WHEN far < 1 THEN 2 / 3::DOUBLE - far * far + far * far * far / 2 WHEN far < 2 THEN power(2 - far, 3) / 6 ELSE 0 END AS b, j, (c + j + 1000 * 2 * ({n} - 1)) % (2 * ({n} - 1)) AS spot FROM ({near}), (SELECT unnest(range(-40, 41)) AS j)"
+    return f"to_{name} AS (SELECT i::INT AS t_{name}, least(spot, 2 * ({n} - 1) - spot)::INT AS {name}, sum(b * sqrt(3::DOUBLE) * power(sqrt(3::DOUBLE) - 2, abs(j))) AS w_{name} FROM ({wide}) GROUP BY ALL)"
+
+
+def _cubic_sql(dims: int, new=NEW) -> str:
+    names = ["ax", "sag", "cor"][:dims]
+    steps, source, done = [], "vox", ["frame"]
+    for k, c in enumerate(names):
+        rest = names[k + 1 :]
+        kept = ", ".join([*done, f"t_{c}", *rest])
+        steps.append(f"step{k} AS (SELECT {kept}, sum(value * w_{c}) AS value FROM {source} JOIN to_{c} USING ({c}) GROUP BY {kept})")
+        source, done = f"step{k}", [*done, f"t_{c}"]
+    axes = ", ".join(_cubic_axis_sql(c, o, n) for c, o, n in zip(names, OLD, new))
+    return f"WITH {CINE2 if dims == 2 else CINE3}, {axes}, {', '.join(steps)} SELECT frame, {', '.join(f't_{c} AS {c}' for c in names)}, round(value, 6) + 0.0 AS value FROM {source}"
+
+
+#: A spacing at which no value lies halfway between two roundings.
+UNEVEN = (1.3717, 0.7331, 0.9177)
+
+
+@query("resample_cubic_3d", _cubic_sql(3, UNEVEN))
+def resample_cubic_3d(spark, d):
+    return _resampled(spark, d, 3, "cubic", UNEVEN)
+
+
+@query("resample_cubic_2d", _cubic_sql(2))
 def resample_cubic_2d(spark, d):
     return _resampled(spark, d, 2, "cubic")
 
@@ -350,7 +428,24 @@ def fill_holes(spark, d):
     return preprocess.fill_holes(m, 2).select("ax", "sag", "m")
 
 
-@query("bolus_mask")
+def _filled_sql(number: int, axis: str | None) -> str:
+    """mask{number} from the mask before it: what its border doesn't reach, in all of it or in its slices along an axis."""
+    names = [c for c in ("ax", "sag", "cor") if c != axis]
+    border = " OR ".join(f"m.{c} IN (0, max_{c})" for c in names)
+    near = f"abs(m.{names[0]} - o.{names[0]})" + "".join(f" + abs(m.{c} - o.{c})" for c in names[1:]) + " = 1" + (f" AND m.{axis} = o.{axis}" if axis else "")
+    before = f"mask{number - 1}"
+    return f"""outside{number} AS (SELECT m.ax, m.sag, m.cor FROM {before} m, ends WHERE m = 0 AND ({border})
+  UNION SELECT m.ax, m.sag, m.cor FROM outside{number} o JOIN {before} m ON {near} WHERE m.m = 0),
+mask{number} AS (SELECT m.ax, m.sag, m.cor, (o.ax IS NULL)::SMALLINT AS m FROM {before} m LEFT JOIN outside{number} o USING (ax, sag, cor))"""
+
+
+BOLUS_MASK = f"""WITH RECURSIVE {CINE3.strip()}, mask0 AS (SELECT ax, sag, cor, (max((value > 108)::INT) > 0)::SMALLINT AS m FROM vox WHERE sag < 8 GROUP BY ax, sag, cor),
+ends AS (SELECT max(ax) AS max_ax, max(sag) AS max_sag, max(cor) AS max_cor FROM mask0),
+{", ".join(_filled_sql(k, axis) for k, axis in enumerate((None, "ax", "sag", "cor"), 1))}
+SELECT ax, sag, cor, m FROM mask4"""
+
+
+@query("bolus_mask", BOLUS_MASK)
 def bolus_mask(spark, d):
     return preprocess.bolus_mask(_moving_mask(spark, d), 8).select("ax", "sag", "cor", "m")
 

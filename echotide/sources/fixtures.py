@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from echotide.functions import lognormal
+
 #: Spatial shape of a fixture but for its first axis, which grows with the table.
 WIDTH_2D, COR_3D, AX_3D = 25, 5, 10
 
@@ -55,6 +57,13 @@ def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("user_id").cast("string").alias("scan_id"), F.lit("roi").alias("seg_id"), F.lit(None).cast("int").alias("window_ix"), F.lit("TIC").alias("curve_name"), "frame", (F.col("frame") * 0.5).alias("time_s"), "value")
 
 
+def boluses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log-normal bolus per user on the frames of its events, whose parameters follow from the user's number."""
+    c, user = curves(spark, sf_dir), F.col("scan_id").cast("int")
+    mu, sigma, t0 = F.lit(1.0) + user % 10 * F.lit(0.1), F.lit(0.4) + user % 5 * F.lit(0.05), (user % 3 + 1).cast("double")
+    return c.withColumn("value", lognormal(F.col("time_s"), F.lit(12.5), mu, sigma, t0))
+
+
 def curves_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A curve per user and kind of event, null on frames of other kinds."""
     p = _points(spark, sf_dir)
