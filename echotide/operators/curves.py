@@ -14,6 +14,8 @@ from echotide.schema import CURVE_KEY, ROI, axes
 
 #: A curve type: aggregates over the voxels of one frame, by curve name.
 CurveType = Callable[[Column], dict[str, Column]]
+#: A curve type that needs more than a frame's values: from cells, dimensions and keys to (keys, curve_name, value).
+TableType = Callable[[DataFrame, int, Sequence[str]], DataFrame]
 
 
 def tic(value: Column) -> dict[str, Column]:
@@ -56,6 +58,24 @@ def window_curves(voxels: DataFrame, mask: DataFrame, step: Sequence[int], types
     return _long(wide, list(aggregates), F.lit(rate), F.col("window_ix"))
 
 
+def _timed(found: DataFrame, rate: Column | float) -> DataFrame:
+    return found.select(*CURVE_KEY, "frame", time_s(F.col("frame"), F.lit(rate)).alias("time_s"), F.col("value").cast("double").alias("value"))
+
+
+def roi_texture(voxels: DataFrame, mask: DataFrame, dims: int, texture: TableType, names: Sequence[str], rate: Column | float, frames: DataFrame) -> DataFrame:
+    """Curves (names) of whole regions by a type that looks at whole frames; a frame without a result has null. Cells equal to 1 count."""
+    cells = voxels.join(mask.where("m = 1").select(*ROI, *axes(dims)), ["scan_id", *axes(dims)])
+    found = texture(cells, dims, [*ROI, "frame"])
+    spine = frames.join(mask.select(*ROI).distinct(), "scan_id").withColumn("curve_name", F.explode(F.array(*map(F.lit, names))))
+    return _timed(spine.join(found, [*ROI, "frame", "curve_name"], "left").withColumn("window_ix", F.lit(None).cast("int")), rate)
+
+
+def window_texture(voxels: DataFrame, mask: DataFrame, step: Sequence[int], texture: TableType, rate: Column | float) -> DataFrame:
+    """Curves of each window by a type that looks at whole frames."""
+    cells = voxels.join(window_cells(mask, window_grid(mask, step), step), ["scan_id", *axes(len(step))])
+    return _timed(texture(cells, len(step), [*ROI, "window_ix", "frame"]), rate)
+
+
 def fill_gaps(curves: DataFrame, key: Sequence[str] = CURVE_KEY) -> DataFrame:
     """A missing value repeats the last one; a missing first frame takes the value of the second."""
     order = Window.partitionBy(*key).orderBy("frame")

@@ -106,6 +106,14 @@ def _spline(n: int, old: float, new: float) -> np.ndarray:
     return matrix(at) @ np.linalg.inv(matrix(np.arange(n, dtype=float)))
 
 
+def to_pixel_type(voxels: DataFrame, pixel_type: str, value: str = "value") -> DataFrame:
+    """Values as the pixel type (a NumPy name) can hold them: whole numbers are rounded to even and kept in its range."""
+    if np.dtype(pixel_type).kind not in "iu":
+        return voxels
+    info = np.iinfo(pixel_type)
+    return voxels.withColumn(value, F.least(F.greatest(F.rint(value), F.lit(float(info.min))), F.lit(float(info.max))))
+
+
 def resample_scan(scan: DataFrame, new: Sequence[float]) -> DataFrame:
     """Scan metadata after resampling: the old spacing is kept, the new one set."""
     return scan.withColumn("original_pixdim", F.coalesce("original_pixdim", "pixdim")).withColumn("pixdim", F.array(*(F.lit(float(x)) for x in new)))

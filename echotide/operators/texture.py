@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from echotide.schema import axes
 
@@ -31,15 +34,16 @@ def offsets(dims: int) -> list[tuple[int, ...]]:
     return [o for o in out if o > (0,) * dims]
 
 
-def glcm(levels: DataFrame, dims: int, distance: int = 1, keys: Sequence[str] = ("scan_id", "seg_id", "frame")) -> DataFrame:
+def glcm(levels: DataFrame, dims: int, distance: int = 1, keys: Sequence[str] = ("scan_id", "seg_id", "frame"), by_angle: bool = False) -> DataFrame:
     """(keys, i, j, p): shares of pairs of levels of neighbouring cells of the mask, both ways round.
 
-    Neighbours meet in an equi-join on shifted coordinates.
+    Neighbours meet in an equi-join on shifted coordinates. by_angle makes a matrix of each direction, numbered by angle.
     """
-    inside = levels.where("m = 1").select(*keys, *axes(dims), "level")
+    keys = [*keys, "angle"] if by_angle else list(keys)
+    inside = levels.where("m = 1").select(*(k for k in keys if k != "angle"), *axes(dims), "level")
     shifts = F.array(*(F.struct(*(F.lit(d * distance).alias(f"d_{c}") for c, d in zip(axes(dims), o))) for o in offsets(dims)))
-    left = inside.withColumnRenamed("level", "i").withColumn("o", F.explode(shifts)).withColumns({c: F.col(c) + F.col(f"o.d_{c}") for c in axes(dims)}).drop("o")
-    pairs = left.join(inside.withColumnRenamed("level", "j"), [*keys, *axes(dims)]).groupBy(*keys, "i", "j").agg(F.count("*").alias("n"))
+    left = inside.withColumnRenamed("level", "i").select("*", F.posexplode(shifts).alias("angle", "o")).withColumns({c: F.col(c) + F.col(f"o.d_{c}") for c in axes(dims)}).drop("o")
+    pairs = left.join(inside.withColumnRenamed("level", "j"), [*(k for k in keys if k != "angle"), *axes(dims)]).groupBy(*keys, "i", "j").agg(F.count("*").alias("n"))
     both = pairs.unionByName(pairs.select(*keys, F.col("j").alias("i"), F.col("i").alias("j"), "n")).groupBy(*keys, "i", "j").agg(F.sum("n").alias("n"))
     total = both.groupBy(*keys).agg(F.sum("n").alias("total"))
     return both.join(total, list(keys)).select(*keys, "i", "j", (F.col("n") / F.col("total")).alias("p"))
@@ -62,6 +66,86 @@ def radiomics_first_order(value: Column) -> dict[str, Column]:
     return {"firstorder_Mean": F.avg(value), "firstorder_Variance": F.var_pop(value), "firstorder_Energy": F.sum(value * value), "firstorder_Range": F.max(value) - F.min(value)}
 
 
+#: Names of the features of each class of a radiomics configuration.
+GLCM = ("Contrast", "JointEnergy", "JointEntropy", "Idm", "DifferenceAverage")
+FIRST_ORDER = ("10Percentile", "90Percentile", "Energy", "Entropy", "InterquartileRange", "Kurtosis", "Maximum", "MeanAbsoluteDeviation", "Mean", "Median", "Minimum", "Range", "RobustMeanAbsoluteDeviation", "RootMeanSquared", "Skewness", "TotalEnergy", "Uniformity", "Variance")
+CLASSES = {"firstorder": FIRST_ORDER, "glcm": GLCM}
+
+
+def first_order_features(levels: DataFrame, keys: Sequence[str], width: float, volume: float) -> DataFrame:
+    """FIRST_ORDER of the levels inside the mask, from a histogram per key; width is that of the bins of Entropy and Uniformity."""
+    x, n, of = F.col("level"), F.col("n"), Window.partitionBy(*keys)
+    bins = F.floor(x / width)
+    share = lambda p: F.expr(f"percentile(level, {p}, n)")
+    hist = levels.where("m = 1").groupBy(*keys, "level").agg(F.count("*").alias("n"))
+    hist = hist.withColumns({"count": F.sum(n).over(of), "mean": F.sum(x * n).over(of) / F.sum(n).over(of), "low": share(0.1).over(of), "high": share(0.9).over(of), "bin": F.sum(n).over(Window.partitionBy(*keys, bins))})
+    middle = F.when(x.between(F.col("low"), F.col("high")), n)
+    hist = hist.withColumn("center", F.sum(middle * x).over(of) / F.sum(middle).over(of))
+    moment = lambda k: F.sum(n * F.pow(x - F.col("mean"), F.lit(k))) / F.sum(n)
+    in_bin = F.col("bin") / F.col("count")
+    out = hist.groupBy(*keys).agg(
+        share(0.1).alias("10Percentile"), share(0.9).alias("90Percentile"), F.sum(n * x * x).cast("double").alias("Energy"),
+        (-F.sum(n / F.col("count") * F.log2(in_bin))).alias("Entropy"), (share(0.75) - share(0.25)).alias("InterquartileRange"),
+        moment(4).alias("m4"), moment(3).alias("m3"), F.max(x).cast("double").alias("Maximum"), (F.sum(n * F.abs(x - F.col("mean"))) / F.sum(n)).alias("MeanAbsoluteDeviation"),
+        F.first("mean").alias("Mean"), share(0.5).alias("Median"), F.min(x).cast("double").alias("Minimum"), (F.max(x) - F.min(x)).cast("double").alias("Range"),
+        (F.sum(middle * F.abs(x - F.col("center"))) / F.sum(middle)).alias("RobustMeanAbsoluteDeviation"), F.sqrt(F.sum(n * x * x) / F.sum(n)).alias("RootMeanSquared"),
+        F.sum(n / F.col("count") * in_bin).alias("Uniformity"), moment(2).alias("Variance"))
+    flat = F.col("Variance") == 0
+    return out.withColumns({"Kurtosis": F.when(flat, 0.0).otherwise(F.col("m4") / F.pow("Variance", F.lit(2))), "Skewness": F.when(flat, 0.0).otherwise(F.col("m3") / F.pow("Variance", F.lit(1.5))), "TotalEnergy": F.col("Energy") * volume}).select(*keys, *FIRST_ORDER)
+
+
+@dataclass(frozen=True)
+class Radiomics:
+    """A curve type over whole frames: features of the discretised intensities, by configuration (name, its entries)."""
+
+    configs: Sequence[tuple[str, Mapping]]
+    min_intensity: float
+    binwidth: float
+    volume: float = 1.0
+
+    def wanted(self) -> list[tuple[str, float, str, str]]:
+        """(configuration, width of its bins, class, feature) of all features asked for; unknown ones raise ValueError."""
+        out = []
+        for name, config in self.configs:
+            width = float((config.get("setting") or {}).get("binWidth", 25))
+            for kind, features in (config.get("featureClass") or dict.fromkeys(CLASSES)).items():
+                if kind not in CLASSES:
+                    raise ValueError(f"unknown radiomics class: {kind}; known: {', '.join(sorted(CLASSES))}")
+                if bad := set(features or ()) - set(CLASSES[kind]):
+                    raise ValueError(f"unknown {kind} features: {', '.join(sorted(bad))}; known: {', '.join(CLASSES[kind])}")
+                out += [(name, width, kind, f) for f in features or CLASSES[kind]]
+            if bad := set(config.get("imageType") or {"Original"}) - {"Original"}:
+                raise ValueError(f"unknown radiomics image types: {', '.join(sorted(bad))}; known: Original")
+        return out
+
+    def names(self) -> list[str]:
+        """Names of the curves."""
+        return [f"{name}_original_{kind}_{feature}" for name, _, kind, feature in self.wanted()]
+
+    def curves(self, cells: DataFrame, dims: int, keys: Sequence[str]) -> DataFrame:
+        """(keys, curve_name, value) from cells (keys, spatial columns, value) of the mask.
+
+        Each frame's first cell has the value 0 and counts as part of the mask. Co-occurrence features are means over directions.
+        """
+        names, keys = axes(dims), list(keys)
+        origin = reduce(lambda a, b: a & b, [F.col(c) == 0 for c in names])
+        corner = cells.select(*keys).distinct().select(*keys, *(F.lit(0).alias(c) for c in names), F.lit(0.0).alias("value"))
+        cells = cells.where(~origin).select(*keys, *names, F.col("value").cast("double").alias("value")).unionByName(corner)
+        levels = discretize(cells.withColumn("m", F.lit(1)), self.binwidth, self.min_intensity)
+        out, wanted = None, self.wanted()
+        for name, width, kind in dict.fromkeys(w[:3] for w in wanted):
+            features = [f for w in wanted if w[:3] == (name, width, kind) for f in w[3:]]
+            if kind == "glcm":
+                matrix = glcm(levels.withColumn("level", F.floor(F.col("level") / width).cast("int")), dims, keys=keys, by_angle=True)
+                table = glcm_features(matrix, [*keys, "angle"]).groupBy(*keys).agg(*(F.avg(f"glcm_{f}").alias(f) for f in GLCM))
+            else:
+                table = first_order_features(levels, keys, width, self.volume)
+            part = table.select(*keys, *(F.col(f"`{f}`").cast("double").alias(f"{name}_original_{kind}_{f}") for f in features))
+            part = part.unpivot(keys, part.columns[len(keys) :], "curve_name", "value")
+            out = part if out is None else out.unionByName(part)
+        return without_diagnostics(out)
+
+
 def without_diagnostics(features: DataFrame) -> DataFrame:
     """Rows of features (curve_name, value) that are numbers and no diagnostics."""
     return features.where(~F.contains("curve_name", F.lit("diagnostics")) & F.col("value").cast("double").isNotNull())

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ class Image:
     pixdim: tuple[float, ...]
     frame_rate: float = 1.0
     original_pixdim: tuple[float, ...] | None = None
+    pixel_type: str = "uint8"
 
     @property
     def dims(self) -> int:
@@ -57,11 +59,11 @@ class Analysis:
 
 def _loader(kind: str):
     def load(spark: SparkSession, path: str, **options) -> Image:
-        scans, voxels = images.read_dicom_folder(spark, path) if kind == "dicom" else images.read_scans(spark, path, kind, **options)
+        scans, voxels = images.read_dicom_folder(spark, path, **options) if kind == "dicom" else images.read_scans(spark, path, kind, **options)
         s = scans.first()
         if s is None:
             raise ValueError(f"nothing to read at {path}")
-        return Image(s["scan_id"], voxels, tuple(s["shape"]), tuple(s["pixdim"]), s["frame_rate"])
+        return Image(s["scan_id"], voxels, tuple(s["shape"]), tuple(s["pixdim"]), s["frame_rate"], pixel_type=s["pixel_type"])
 
     return load
 
@@ -96,7 +98,7 @@ def _standardize(image: Image, arr_to_standardize: str = "both", **_) -> Image:
     if arr_to_standardize not in ("both", "intensities", "pixel_data"):
         raise ValueError("arr_to_standardize must be 'both', 'intensities' or 'pixel_data'")
     wanted = {"both": ("value", "pixel"), "intensities": ("value",), "pixel_data": ("pixel",)}[arr_to_standardize]
-    return replace(image, voxels=preprocess.standardize(image.voxels, [c for c in wanted if c in image.voxels.columns]))
+    return replace(image, voxels=preprocess.standardize(image.voxels, [c for c in wanted if c in image.voxels.columns]), pixel_type="float64")
 
 
 def _spacing(values: Sequence[float], dims: int) -> list[float]:
@@ -108,6 +110,7 @@ def _spacing(values: Sequence[float], dims: int) -> list[float]:
 def _resample(image: Image, target_vox_size: Sequence[float], interp: str = "linear", **_) -> Image:
     old, new = _spacing(image.pixdim, image.dims), _spacing(target_vox_size, image.dims)
     voxels = preprocess.resample(image.voxels.drop("cor") if image.dims == 2 else image.voxels, image.size, old, new, interp)
+    voxels = preprocess.to_pixel_type(voxels, image.pixel_type)
     sizes = [preprocess.new_size(n, o, w) for n, o, w in zip(image.size, old, new)]
     shape = (image.shape[0], *sizes) if image.dims == 2 else (sizes[1], sizes[2], sizes[0], image.shape[3])
     return replace(image, voxels=voxels, shape=shape, pixdim=tuple(target_vox_size[: image.dims]), original_pixdim=image.original_pixdim or image.pixdim)
@@ -125,10 +128,37 @@ CURVE_TYPES.add("tic")(lambda image, **_: C.tic)
 CURVE_TYPES.add("firstorder")(lambda image, **_: texture.radiomics_first_order)
 
 
+@CURVE_TYPES.add("pyradiomics", required=("pyradiomics_config_paths", "min_intensity", "binwidth"))
+def _radiomics(image: Image, pyradiomics_config_paths: Sequence[str], min_intensity: float, binwidth: float, **_) -> texture.Radiomics:
+    """Features of each frame, named by configuration file. Features that aren't known raise ValueError before any work."""
+    import yaml
+
+    if isinstance(pyradiomics_config_paths, str):
+        raise ValueError("pyradiomics_config_paths must be a list of paths")
+    spark = image.voxels.sparkSession
+    configs = [(images.stem(p), yaml.safe_load("\n".join(r[0] for r in spark.read.option("wholetext", True).text(p).collect())) or {}) for p in pyradiomics_config_paths]
+    out = texture.Radiomics(configs, float(min_intensity), float(binwidth), math.prod(image.pixdim))
+    out.wanted()
+    return out
+
+
+def _both(image: Image, types: Sequence, columns, tables_of) -> DataFrame:
+    """Curves of types over values and of those over whole frames; a name that two of them give is an error."""
+    over_frames = [t for t in types if isinstance(t, texture.Radiomics)]
+    names = [n for t in over_frames for n in t.names()]
+    if len(set(names)) < len(names):
+        raise ValueError(f"duplicate curve names: {sorted({n for n in names if names.count(n) > 1})}")
+    over_values = [t for t in types if not isinstance(t, texture.Radiomics)]
+    parts = ([columns(over_values)] if over_values else []) + [tables_of(t) for t in over_frames]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @ANALYSES.add("curves")
 def _roi(image: Image, mask: DataFrame, types, **_) -> Analysis:
+    """A frame without a result repeats the one before it."""
     frames = image.voxels.sparkSession.range(image.frames).select(F.lit(image.scan_id).alias("scan_id"), F.col("id").cast("int").alias("frame"))
-    return Analysis(C.roi_curves(image.voxels, mask, image.dims, types, image.frame_rate, frames), mask=mask, image=image)
+    found = _both(image, types, lambda t: C.roi_curves(image.voxels, mask, image.dims, t, image.frame_rate, frames), lambda t: C.roi_texture(image.voxels, mask, image.dims, t.curves, t.names(), image.frame_rate, frames))
+    return Analysis(C.fill_gaps(found), mask=mask, image=image)
 
 
 @ANALYSES.add("curves_paramap", required=("ax_vox_len", "sag_vox_len", "cor_vox_len", "ax_vox_ovrlp", "sag_vox_ovrlp", "cor_vox_ovrlp"))
@@ -136,7 +166,8 @@ def _windowed(image: Image, mask: DataFrame, types, axis_res: Sequence[float] |
     """Resolutions are pixdim in its own order (ax, sag, cor), unless axis_res names them."""
     names = ["ax", "sag", "cor"][: image.dims]
     step = windows.steps([k[f"{c}_vox_len"] for c in names], [k[f"{c}_vox_ovrlp"] for c in names], axis_res or image.pixdim)
-    return Analysis(C.window_curves(image.voxels, mask, step, types, image.frame_rate), windows.window_grid(mask, step), mask, tuple(step), image)
+    found = _both(image, types, lambda t: C.window_curves(image.voxels, mask, step, t, image.frame_rate), lambda t: C.window_texture(image.voxels, mask, step, t.curves, image.frame_rate))
+    return Analysis(found, windows.window_grid(mask, step), mask, tuple(step), image)
 
 
 @QUANTIFIERS.add("first_order_full")
@@ -257,6 +288,8 @@ def visualization_step(analysis: Analysis, quants: DataFrame, visual: str = "par
     if folder and not options.get("hide_all_visualizations", False):
         for name, d in out.items():
             (d.write.partitionBy("param") if "param" in d.columns else d.write).parquet(f"{folder}/{name}")
+        if analysis.image is not None:
+            tables.export_image(analysis.image.voxels, analysis.mask, analysis.image.scan_id, analysis.image.pixdim, folder)
     return out
 
 

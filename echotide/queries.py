@@ -458,6 +458,26 @@ def largest_file_pick(spark, d):
 # Texture and spectra ---------------------------------------------------------------------------
 
 
+RADIOMICS = f"""WITH {CINE2}, lev AS (SELECT frame, ax, sag, (floor(((CASE WHEN ax = 0 AND sag = 0 THEN 0 ELSE value END) - 80) / 5) + 1)::INT AS level FROM vox WHERE m = 1 OR (ax = 0 AND sag = 0)),
+hist AS (SELECT frame, level, count(*)::DOUBLE AS n, (sum(count(*)) OVER (PARTITION BY frame))::DOUBLE AS total FROM lev GROUP BY frame, level),
+parts AS (SELECT frame, 'firstorder_Mean' AS name, avg(level) AS value FROM lev GROUP BY frame UNION ALL SELECT frame, 'firstorder_Energy', sum(level * level)::DOUBLE FROM lev GROUP BY frame
+  UNION ALL SELECT frame, 'firstorder_90Percentile', quantile_cont(level::DOUBLE, 0.9) FROM lev GROUP BY frame UNION ALL SELECT frame, 'firstorder_Entropy', -sum(n / total * log2(n / total)) FROM hist GROUP BY frame
+  UNION ALL SELECT frame, 'firstorder_Uniformity', sum(power(n / total, 2)) FROM hist GROUP BY frame),
+dirs(angle, da, ds) AS (VALUES (0, 0, 1), (1, 1, -1), (2, 1, 0), (3, 1, 1)),
+pairs AS (SELECT a.frame, angle, avg(power(a.level - b.level, 2)) AS contrast, avg(abs(a.level - b.level)) AS away FROM lev a, dirs JOIN lev b ON b.frame = a.frame AND b.ax = a.ax + da AND b.sag = a.sag + ds GROUP BY a.frame, angle),
+every AS (FROM parts UNION ALL SELECT frame, 'glcm_Contrast', avg(contrast) FROM pairs GROUP BY frame UNION ALL SELECT frame, 'glcm_DifferenceAverage', avg(away) FROM pairs GROUP BY frame)
+SELECT frame, frame * 0.5::DOUBLE AS time_s, 'r_original_' || name AS curve_name, round(value, 6) + 0.0 AS value FROM every"""
+
+
+@query("radiomics_curves", RADIOMICS)
+def radiomics_curves(spark, d):
+    config = {"setting": {"binWidth": 1}, "featureClass": {"firstorder": ["Mean", "Energy", "90Percentile", "Entropy", "Uniformity"], "glcm": ["Contrast", "DifferenceAverage"]}}
+    cine = X.cine(spark, d, 2)
+    kind = texture.Radiomics([("r", config)], 80.0, 5.0)
+    found = C.roi_texture(cine, X.mask(spark, d, 2), 2, kind.curves, kind.names(), 0.5, cine.select("scan_id", "frame").distinct())
+    return found.select("frame", "time_s", "curve_name", number(F.col("value"), 6).alias("value"))
+
+
 def _levels(spark, d):
     both = X.cine(spark, d, 2).join(X.mask(spark, d, 2), ["scan_id", "ax", "sag"])
     return texture.discretize(texture.phantom_voxel(both, 2), 5.0, 80.0)

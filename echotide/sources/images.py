@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: NIfTI-1 data types by code.
 NIFTI_TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
 _VOXELS = "scan_id string, frame int, ax int, sag int, cor int, value double"
-_SCANS = "scan_id string, scan_path string, spatial_dims int, shape array<int>, pixdim array<double>, frame_rate double"
+_SCANS = "scan_id string, scan_path string, spatial_dims int, shape array<int>, pixdim array<double>, frame_rate double, pixel_type string"
 
 
 def stem(path: str) -> str:
@@ -184,7 +184,7 @@ def read_scans(spark: SparkSession, path: str, kind: str = "nifti", decoder: Cal
         for pdf in batches:
             for p, data in zip(pdf["path"], pdf["content"]):
                 cine, pixdim, rate = decode(data)
-                yield pd.DataFrame({"scan_id": [stem(p)], "scan_path": [p], "spatial_dims": [cine.ndim - 1], "shape": [list(cine.shape)], "pixdim": [pixdim], "frame_rate": [rate]})
+                yield pd.DataFrame({"scan_id": [stem(p)], "scan_path": [p], "spatial_dims": [cine.ndim - 1], "shape": [list(cine.shape)], "pixdim": [pixdim], "frame_rate": [rate], "pixel_type": [cine.dtype.name]})
 
     def voxels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -200,13 +200,16 @@ def largest_file(files: DataFrame, prefix: str = "A") -> DataFrame:
     return files.where(name.startswith(prefix)).orderBy(F.desc("length"), "path").limit(1)
 
 
-def read_dicom_folder(spark: SparkSession, folder: str, prefix: str = "A") -> tuple[DataFrame, DataFrame]:
-    """(scans, voxels) of the largest file of a folder whose name starts with a prefix. Contents of others aren't read."""
+def read_dicom_folder(spark: SparkSession, folder: str, prefix: str = "A", decoder: Callable | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """(scans, voxels) of the largest file of a folder whose name starts with a prefix. Contents of others aren't read.
+
+    decoder reads what parse_dicom doesn't: compressed pixels and implicit value representations.
+    """
     listing = spark.read.format("binaryFile").load(folder)
     chosen = largest_file(listing.select("path", "length"), prefix).first()
     if chosen is None:
         raise ValueError(f"no file in {folder} starts with {prefix}")
-    return read_scans(spark, chosen["path"], "dicom")
+    return read_scans(spark, chosen["path"], "dicom", decoder, **options)
 
 
 def read_masks(spark: SparkSession, path: str, scan_id: str, files: DataFrame | None = None) -> DataFrame:

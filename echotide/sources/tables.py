@@ -81,9 +81,8 @@ def to_array(maps: DataFrame, param: str, shape: Sequence[int]) -> np.ndarray:
     return out if len(shape) == 2 else np.transpose(out, (1, 2, 0))
 
 
-def export_visualizations(maps: DataFrame, mask: DataFrame, voxels: DataFrame, scans: DataFrame, path: str) -> None:
-    """Tables that a viewer needs: image, segmentation, pix_dims, numerical maps."""
+def export_image(voxels: DataFrame, mask: DataFrame, scan_id: str, pixdim: Sequence[float], path: str) -> None:
+    """What a viewer needs beside maps: image, segmentation and pix_dims."""
     voxels.write.partitionBy("frame").parquet(f"{path}/image")
     mask.write.parquet(f"{path}/segmentation")
-    scans.select("scan_id", "pixdim").write.parquet(f"{path}/pix_dims")
-    save_paramap(maps, f"{path}/numerical")
+    voxels.sparkSession.range(1).select(F.lit(scan_id).alias("scan_id"), F.array(*(F.lit(float(x)) for x in pixdim)).alias("pixdim")).write.parquet(f"{path}/pix_dims")

@@ -105,10 +105,61 @@ def test_run_over_windows(spark, tmp_path):
     assert out["analysis"].windows.count() > 0
     maps = tables.load_paramap(spark, str(tmp_path / "maps/paramap"))
     assert maps.where("value is not null").count() > 0
+    assert spark.read.parquet(str(tmp_path / "maps/image")).count() == out["analysis"].image.voxels.count()
+    assert spark.read.parquet(str(tmp_path / "maps/segmentation")).count() == out["analysis"].mask.count()
+    assert spark.read.parquet(str(tmp_path / "maps/pix_dims")).first()["pixdim"] == list(out["analysis"].image.pixdim)
     array = tables.to_array(maps, "Mean_full_TIC", out["analysis"].image.size)
     assert array.shape == (4, 7, 6) and np.isfinite(array).any() and np.isnan(array[0]).all()
 
 
+def test_run_with_radiomics(spark, tmp_path):
+    """The sample run with texture curves over a DICOM folder's shape of configuration, against NumPy."""
+    v, m, c = config(tmp_path)
+    (tmp_path / "feat.yml").write_text("setting: {binWidth: 1}\nfeatureClass:\n  firstorder:\n  glcm: [Contrast, JointEnergy]\n")
+    kwargs = {"curves_output_path": str(tmp_path / "curves.csv"), "binwidth": 25, "min_intensity": 0, "pyradiomics_config_paths": [str(tmp_path / "feat.yml")]}
+    out = P.main_dict(spark, c | {"analysis_funcs": ["tic", "pyradiomics"], "analysis_kwargs": kwargs})
+    got = {(r["curve_name"], r["frame"]): r["value"] for r in out["analysis"].curves.collect()}
+    assert len(got) == 12 * (1 + 18 + 2)
+    for f in range(12):
+        grid, inside = v[..., f].astype(float).copy(), m == 1
+        grid[0, 0, 0], inside[0, 0, 0] = 0, True
+        levels = np.floor(grid / 25) + 1
+        x = levels[inside]
+        _, n = np.unique(x, return_counts=True)
+        p = n / n.sum()
+        mid = x[(x >= np.percentile(x, 10)) & (x <= np.percentile(x, 90))]
+        expected = {"Mean": x.mean(), "Variance": x.var(), "Energy": (x**2).sum(), "Entropy": -(p * np.log2(p)).sum(), "Uniformity": (p**2).sum(), "10Percentile": np.percentile(x, 10), "Median": np.median(x), "MeanAbsoluteDeviation": abs(x - x.mean()).mean(), "RobustMeanAbsoluteDeviation": abs(mid - mid.mean()).mean(), "RootMeanSquared": np.sqrt((x**2).mean())}
+        for k, e in expected.items():
+            assert got[f"feat_original_firstorder_{k}", f] == pytest.approx(e)
+        contrast = []
+        for o in [(a, b, d) for a in (-1, 0, 1) for b in (-1, 0, 1) for d in (-1, 0, 1) if (a, b, d) > (0, 0, 0)]:
+            pairs = [(levels[tuple(q)], levels[tuple(q + o)]) for q in np.argwhere(inside) if all(0 <= z < s for z, s in zip(q + o, m.shape)) and inside[tuple(q + o)]]
+            if pairs:
+                contrast.append(np.mean([(a - b) ** 2 for a, b in pairs]))
+        assert got["feat_original_glcm_Contrast", f] == pytest.approx(np.mean(contrast))
+    (tmp_path / "bad.yml").write_text("featureClass: {glszm: }")
+    with pytest.raises(ValueError, match="unknown radiomics class: glszm"):
+        P.main_dict(spark, c | {"analysis_funcs": ["pyradiomics"], "analysis_kwargs": kwargs | {"pyradiomics_config_paths": [str(tmp_path / "bad.yml")]}})
+    with pytest.raises(ValueError, match="needs"):
+        P.main_dict(spark, c | {"analysis_funcs": ["pyradiomics"], "analysis_kwargs": {}})
+
+
+def test_resampled_scans_keep_their_pixel_type(spark, tmp_path):
+    _, _, c = config(tmp_path)
+    image = P.scan_loading_step(spark, "nifti", c["scan_path"])
+    assert image.pixel_type == "uint8"
+    out = P.scan_preprocessing_step(["resample"], image, target_vox_size=[0.7, 0.8, 0.9], interp="cubic")
+    assert out.voxels.where("value <> rint(value) or value < 0 or value > 255").count() == 0
+    z = P.scan_preprocessing_step(["standardize", "resample"], image, target_vox_size=[0.7, 0.8, 0.9], interp="linear")
+    assert z.pixel_type == "float64" and z.voxels.where("value <> rint(value)").count() > 0
+
+
+def test_dicom_decoder(spark, tmp_path):
+    (tmp_path / "A1").write_bytes(b"whatever")
+    image = P.scan_loading_step(spark, "custom_dicom", str(tmp_path), decoder=lambda data: (np.full((2, 3, 4), len(data), np.uint8), [1.0, 2.0], 0.5))
+    assert image.shape == (2, 3, 4) and {r["value"] for r in image.voxels.collect()} == {8.0}
+
+
 def test_validation(spark, tmp_path):
     _, _, c = config(tmp_path)
     with pytest.raises(ValueError, match="unknown scan loader"):
