@@ -5,9 +5,14 @@ apart. Each window of a document is compressed with either; the byte by which th
 dictionary wins, over all windows, give a few statistics, which a logistic
 function calibrated on labelled rows turns into a score.
 
-Training sees at most `per_class` labelled rows of each class (lowest hash first), at most
-UNITS word beginnings, WORDS words and PIECES pieces of text; dictionaries come from one
-fold, the calibration from another, weighted to the shares of the classes. Scoring covers all
+The toxic dictionary is trained on words of toxic texts that a comparison of the two classes
+selects, not on these texts as they are: toxic words are so few in them that dictionaries of whole
+texts find hardly any (README has the figures of both). The ordinary dictionary stands behind it, so that ordinary
+words cost the same with either.
+
+Training sees a bounded sample of labelled rows; the bounds are parameters of `train`: per_class rows of each class
+(lowest hash first), and of these at most so many word beginnings (units), words and pieces of text. Dictionaries come
+from one fold, the calibration from another, weighted to the shares of the classes. Scoring covers all
 windows of all texts.
 
 Cases: null counts as empty; an empty text is one empty window; without labelled rows of
@@ -30,7 +35,9 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import arrow_map, batch, table, text_of
 
-PER_CLASS, UNITS, WORDS, PIECES, DRAWS = 10_000, 512, 4096, 20_000, 4000
+#: Defaults of the bounds on what training sees.
+PER_CLASS, UNITS, WORDS, PIECES = 10_000, 512, 4096, 20_000
+DRAWS = 4000
 WINDOW_WORDS, PIECE_BYTES, UNIT_LETTERS = 8, 160, (4, 5, 6, 7, 8)
 ORDINARY_BYTES, TOXIC_BYTES = 6144, 1024
 #: A word beginning sets toxic text apart where it is in this share of toxic rows, so many times more often than in
@@ -113,8 +120,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[list[float],
     return mean.tolist(), scale.tolist(), beta.tolist()
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = PER_CLASS) -> Model | None:
-    """A model from the rows that aren't held out; None without both classes in both folds."""
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = PER_CLASS, n_units: int = UNITS, n_words: int = WORDS, n_pieces: int = PIECES) -> Model | None:
+    """A model from the rows that aren't held out; None without both classes in both folds.
+
+    It learns from at most per_class labelled rows of each class; the dictionaries from at most n_units beginnings of
+    words (most evidence first) and n_words words (most frequent first) of the toxic ones, and n_pieces pieces of
+    PIECE_BYTES characters (lowest hash first) of the others.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"), fold().alias("fold")).where("y in (0, 1) and fold <> 1")
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "fold").limit(per_class) for y in (0, 1)]
@@ -129,9 +141,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_clas
         counts = words.select("y", F.explode(_starts(F.col("words"))).alias("unit")).groupBy("unit").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("plain"))
         n1, n0 = sizes[1, 0], sizes[0, 0]
         odds = (F.col("toxic") / n1) / ((F.col("plain") + 0.5) / n0)
-        units = counts.where((F.col("toxic") >= max(3, MIN_SHARE * n1)) & (odds >= MIN_ODDS)).withColumn("evidence", F.col("toxic") * F.log(odds)).where(F.col("evidence") >= MIN_EVIDENCE).orderBy(F.desc("evidence"), "unit").limit(UNITS)
-        found = words.where("y = 1").select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).withColumn("unit", F.explode(_starts(F.array("word")))).join(F.broadcast(units), "unit").groupBy("word").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "word").limit(WORDS).collect()
-        pieces = first.where("y = 0").select(F.explode(F.expr(f"transform(sequence(0, length(text) div {PIECE_BYTES}), i -> substring(text, i * {PIECE_BYTES} + 1, {PIECE_BYTES}))")).alias("piece")).orderBy(F.xxhash64("piece"), "piece").limit(PIECES)
+        units = counts.where((F.col("toxic") >= max(3, MIN_SHARE * n1)) & (odds >= MIN_ODDS)).withColumn("evidence", F.col("toxic") * F.log(odds)).where(F.col("evidence") >= MIN_EVIDENCE).orderBy(F.desc("evidence"), "unit").limit(n_units)
+        found = words.where("y = 1").select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).withColumn("unit", F.explode(_starts(F.array("word")))).join(F.broadcast(units), "unit").groupBy("word").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "word").limit(n_words).collect()
+        pieces = first.where("y = 0").select(F.explode(F.expr(f"transform(sequence(0, length(text) div {PIECE_BYTES}), i -> substring(text, i * {PIECE_BYTES} + 1, {PIECE_BYTES}))")).alias("piece")).orderBy(F.xxhash64("piece"), "piece").limit(n_pieces)
         plain = [p.encode() for (p,) in pieces.collect() if p] or [b" "]
         model = Model(*_dictionaries(plain, [(r["word"].encode(), r["n"]) for r in found]), [], [], [])
         second = features(rows.where("fold = 2"), model, extra=("y",)).select("f", "y").collect()
