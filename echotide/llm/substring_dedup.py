@@ -9,8 +9,12 @@ chance repeats of short chunks do not reach. Of each chunk the occurrence in the
 (doc_id, row, start) stays: a span is divided where its chunks begin or cease to be the ones that stay.
 
 Chunks are counted with map-side sums before they meet by digest, so a passage in a
-third of all rows is one row per task there; joining the few repeated digests to chunks is an
-ordinary join, which adaptive execution splits where a digest is frequent.
+third of all rows is one row per task there. Chunks of the HEAVY most frequent digests, which a sketch of bounded size
+names and an exact count verifies, are told their group where they are read; those of other digests
+meet it in a shuffle, where none holds more than about 1/HEAVY of all chunks.
+
+Digests have 64 bits. Two unlike chunks of one digest are expected among some 10^10 different ones; such a chance repeat is
+one chunk, and is only reported where its true neighbours repeat too, so that the span reaches MIN_BYTES.
 
 Cases: null counts as empty; an empty text has no chunks; equal
 rows and rows with equal or null doc_id are told apart, and repeat one another; an empty table
@@ -32,6 +36,8 @@ from . import tokens
 from .common import arrow_map, batch, materialize, table, text_of
 
 REACH, ZERO_BITS, MIN_BYTES, MAX_BYTES = 32, 5, 96, 1024
+#: Most digests that are broadcast, and counters in the sketch that names them.
+HEAVY, TRACKED = 1024, 16384
 _GEAR = np.random.default_rng(32).integers(0, 1 << 32, 256, dtype=np.uint32)
 _CHUNKS = "row long, doc_id long, start long, length int, digest long"
 _CHUNKS_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("digest", pa.int64())])
@@ -100,18 +106,33 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return materialize(arrow_map(source, rows, _CHUNKS), "chunks")
 
 
-def repeats(chunked: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+def _shared(chunked: DataFrame) -> DataFrame:
+    """Digests that occur in several rows: n, and the occurrence that stays."""
+    # A null doc_id ranks last.
+    ident = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    groups = chunked.groupBy("digest").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.count("*").alias("n"), F.min(F.struct(ident.alias("doc_id"), "row", "start")).alias("first"))
+    return groups.where("low <> high").select("digest", "n", F.col("first.doc_id").alias("first_doc_id"), F.col("first.row").alias("first_row"), F.col("first.start").alias("first_start"))
+
+
+def _repeated(chunked: DataFrame, heavy: int, tracked: int) -> DataFrame:
+    """The chunks that occur in several rows, with their digest's n and first occurrence."""
+    named = chunked.agg(F.expr(f"approx_top_k(digest, {heavy}, {tracked})").alias("top")).select(F.explode("top").alias("t")).where("t.count > 1").select(F.col("t.item").alias("digest"))
+    # At most `heavy` rows each.
+    named = F.broadcast(materialize(named, "frequent-chunks"))
+    frequent = F.broadcast(materialize(_shared(chunked.join(named, "digest", "left_semi")), "frequent-chunks"))
+    # Only what places a chunk is dealt by digest; doc_ids of rows are looked up for the spans.
+    places = chunked.select("digest", "row", "start", "length")
+    rest = places.join(named, "digest", "left_anti").join(_shared(chunked.join(named, "digest", "left_anti")), "digest")
+    return places.join(frequent, "digest").unionByName(rest)
+
+
+def repeats(chunked: DataFrame, min_bytes: int = MIN_BYTES, heavy: int = HEAVY, tracked: int = TRACKED) -> DataFrame:
     """Spans of text that occur in several rows: doc_id, row, start, end, n_chunks, n_rows, first_doc_id, kept.
 
     n_rows is the most occurrences that one of its chunks has; kept says whether its chunks are
     the occurrences that stay. Neighbouring spans count together for min_bytes.
     """
-    # A null doc_id ranks last.
-    ident = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    groups = chunked.groupBy("digest").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.count("*").alias("n"), F.min(F.struct(ident.alias("doc_id"), "row", "start")).alias("first"))
-    shared = groups.where("low <> high").select("digest", "n", F.col("first.doc_id").alias("first_doc_id"), F.col("first.row").alias("first_row"), F.col("first.start").alias("first_start"))
-    # Only what places a chunk is dealt by digest; doc_ids of rows are looked up for the spans.
-    found = chunked.select("digest", "row", "start", "length").join(shared, "digest")
+    found = _repeated(chunked, heavy, tracked)
     found = found.withColumn("kept", (F.col("first_row") == F.col("row")) & (F.col("first_start") == F.col("start")))
     order = Window.partitionBy("row").orderBy("start")
     running = order.rowsBetween(Window.unboundedPreceding, 0)
