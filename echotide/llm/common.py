@@ -56,6 +56,17 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def frequent(rows: DataFrame, item: str, most: int, tracked: int) -> DataFrame:
+    """At most `most` values of a column that occur more than once, among them all that a sketch with so many counters can tell are frequent.
+
+    Sketches of tasks meet in groups first, so that no task merges many of them.
+    """
+    groups = max(1, round(shuffle_partitions(rows.sparkSession) ** 0.5))
+    parts = rows.groupBy((F.spark_partition_id() % groups).alias("g")).agg(F.expr(f"approx_top_k_accumulate({item}, {tracked})").alias("s"))
+    top = parts.groupBy(F.lit("all").alias("g")).agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s")).select(F.explode(F.expr(f"approx_top_k_estimate(s, {most})")).alias("t"))
+    return top.where("t.count > 1").select(F.col("t.item").alias(item))
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

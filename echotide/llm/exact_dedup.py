@@ -1,10 +1,11 @@
 """Exact dedup with a heavy-hitter split, in DataFrame operations only.
 
-A Misra-Gries sketch (`approx_top_k`, a mergeable frequent-items summary of
+A Misra-Gries sketch (`approx_top_k_accumulate`, a mergeable frequent-items summary of
 bounded size) names digests that may be frequent. Their groups are counted
 exactly with map-side sums, and the at most `heavy` winners are broadcast: rows
 of those digests are settled where they are read. Rows of all other digests are
-shuffled by digest, and none of these can hold more than about 1/`tracked` of all rows.
+shuffled by digest. Of these the largest group is at most the one ranked behind the winners, so it holds less than
+1/`heavy` of all rows, give or take the sketch's error of about 1/`tracked` of them.
 
 Cases: null text counts as empty; equal texts with equal (or null) doc_id keep
 exactly one row; a null doc_id ranks below any other; an empty table gives an
@@ -15,8 +16,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import materialize, table, text_of
+from .common import frequent, materialize, table, text_of, unused
 
 #: Most digests that are broadcast, and counters in the sketch.
 HEAVY, TRACKED = 1024, 16384
@@ -34,8 +36,7 @@ def _groups(keys: DataFrame) -> DataFrame:
 
 def _winners(keys: DataFrame, heavy: int, tracked: int) -> DataFrame:
     """Exact groups of the digests that the sketch names: at most `heavy` rows."""
-    named = keys.select(F.hex("digest").alias("item")).agg(F.expr(f"approx_top_k(item, {heavy}, {tracked})").alias("top"))
-    named = named.select(F.explode("top").alias("t")).where("t.count > 1").select(F.unhex("t.item").alias("digest"))
+    named = frequent(keys.select(F.hex("digest").alias("item")), "item", heavy, tracked).select(F.unhex("item").alias("digest"))
     return materialize(_groups(keys.join(F.broadcast(named), "digest", "left_semi")).where("group_size > 1"), "heavy")
 
 
@@ -55,20 +56,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY, tracked: int = TRACKED) -> DataFrame:
-    """docs with one row of each text, all columns kept.
+    """docs with one row of each text, all columns kept: the one with the largest doc_id.
 
-    Rows of a frequent text that don't stay are dropped where they are read;
-    what is left meets by digest, where one of several equal rows goes on.
+    Rows of a frequent text that don't stay are dropped where they are read. What is left meets
+    by digest, the only exchange of texts; each task sends on one row of a text at most.
     """
-    keys = digests(docs, id_col, text_col)
-    winners = _winners(keys, heavy, tracked)
-    heavies = F.broadcast(winners.select(F.col("digest").alias("__digest"), F.col("keep.doc_id").alias("__keep")))
-    marked = docs.withColumn("__digest", F.unhex(F.sha2(text_of(text_col).cast("binary"), 256))).join(heavies, "__digest", "left")
-    left = marked.where(F.col("__keep").isNull() | (F.col(id_col) == F.col("__keep"))).drop("__keep")
-    rest = keys.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
-    groups = _groups(rest).unionByName(winners).select(F.col("digest").alias("__digest"), F.col("keep.doc_id").alias("__keep"))
-    kept = left.join(groups, "__digest").where(F.col(id_col).eqNullSafe(F.col("__keep")))
-    return kept.dropDuplicates(["__digest"]).select(docs.columns)
+    digest, keep, rank = unused(docs, "digest", "keep", "rank")
+    winners = _winners(digests(docs, id_col, text_col), heavy, tracked)
+    heavies = F.broadcast(winners.select(F.col("digest").alias(digest), F.col("keep.doc_id").alias(keep)))
+    marked = docs.withColumn(digest, F.unhex(F.sha2(text_of(text_col).cast("binary"), 256))).join(heavies, digest, "left")
+    left = marked.where(F.col(keep).isNull() | (F.col(id_col).cast("long") == F.col(keep)))
+    best = Window.partitionBy(digest).orderBy(F.col(id_col).cast("long").desc_nulls_last())
+    return left.withColumn(rank, F.row_number().over(best)).where(F.col(rank) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ MinHash values of representatives, in bands, name buckets. Within a bucket:
 Comparing is incremental: 25 MinHash values at a time, and a pair is dropped once the
 posterior probability of a similarity at the threshold or above falls below the
 tolerance. The pairs left connect candidates into groups. Within a group every pair is verified
-exactly on the sets of shingles, in blocks of bounded size; a task emits one row per member of its
+exactly on the sets of shingles, in blocks bounded in members and bytes; a task emits one row per member of its
 blocks, with its number of links and one link of a spanning forest. Classes are the connected
 components of verified links. Counting all links of a group of g different texts takes in the order of
 g^2 / BLOCK rows of work, whatever their classes; groups of equal texts take none.
@@ -34,14 +34,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import arrow_map, batch, materialize, shuffle_partitions, table, text_of
+from .common import arrow_map, batch, materialize, shuffle_partitions, table, text_of, unused
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
-BANDS, ROWS, STEP, BLOCK = 40, 5, 25, 256
+BANDS, ROWS, STEP = 40, 5, 25
+#: Members, and bytes of shingle sets, that a block has on average at most.
+BLOCK, BLOCK_BYTES = 256, 1 << 25
 _PARTING = re.compile(r"\W+")
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -212,12 +214,13 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _in_blocks(rows: DataFrame, group: str) -> DataFrame:
+def _in_blocks(rows: DataFrame, group: str, carried: Column | None = None) -> DataFrame:
     """Each row once for every pair of blocks of its group that it takes part in: (group, i, j, block).
 
-    rows has group, rep and size (members of the group); blocks have about BLOCK members.
+    rows has group, rep and size (members of the group); blocks have about BLOCK members, and about
+    BLOCK_BYTES where carried says how many bytes all members of the group carry.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.lit(0.0) if carried is None else carried / BLOCK_BYTES)).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int")
     return rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
 
@@ -285,9 +288,9 @@ def _forest(linked: np.ndarray) -> np.ndarray:
 
 def _links(groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """A table of (rep, linked, root) per member and pair of blocks: documents of other members that are linked with it
-    there, and a member that links connect it to. groups: rep, comp, size, copies.
+    there, and a member that links connect it to. groups: rep, comp, size, shingles (of all members), copies.
     """
-    rows = _in_blocks(groups.where("size > 1").join(sets, "rep"), "comp")
+    rows = _in_blocks(groups.where("size > 1").join(sets, "rep"), "comp", F.col("shingles") * 8)
     schema = pa.schema([("rep", pa.int64()), ("linked", pa.int64()), ("root", pa.int64())])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,11 +328,14 @@ def _shared(hashes: list[np.ndarray]) -> np.ndarray:
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Per row: doc_id, row, text_md5, class_id (smallest doc_id of the class), comp, first (whether it is the class's first row) and n_links.
 
-    n_links is the number of other rows with a similarity at the threshold or above.
+    n_links is the number of other rows with a similarity at the threshold or above, which is THRESHOLD at least:
+    the bands are laid out for that, and would miss links below it.
     """
+    if threshold < THRESHOLD:
+        raise ValueError(f"bands find links from a similarity of {THRESHOLD} on, not {threshold}")
     signed = sign(docs, id_col, text_col)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "text_md5", "signature", "bands", "n")).alias("f")
-    reps = materialize(signed.groupBy("digest").agg(first, F.count("*").alias("copies")).select(F.col("f.row").alias("rep"), F.col("f.doc_id").alias("id"), F.col("f.text_md5").alias("md5"), "f.signature", "f.bands", "copies", "digest"), "representatives")
+    reps = materialize(signed.groupBy("digest").agg(first, F.count("*").alias("copies")).select(F.col("f.row").alias("rep"), F.col("f.doc_id").alias("id"), F.col("f.text_md5").alias("md5"), "f.signature", "f.bands", "f.n", "copies", "digest"), "representatives")
     entries = reps.select("rep", F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1")
     members = materialize(entries.join(buckets, "key"), "buckets")
@@ -337,9 +343,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     alike = materialize(_pruned(star, reps, threshold), "candidates")
     more = materialize(_unconnected(members, components(alike), reps, threshold), "candidates")
     groups = components(alike.unionByName(more)).withColumnRenamed("id", "rep")
-    sizes = groups.groupBy("comp").agg(F.count("*").alias("size"))
+    groups = groups.join(reps.select("rep", "copies", "n"), "rep")
+    sizes = groups.groupBy("comp").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
     sets = _sets(docs, groups.select("rep").join(reps, "rep").select("rep", "id", "md5"), id_col, text_col)
-    links = _links(groups.join(sizes, "comp").join(reps.select("rep", "copies"), "rep"), sets, threshold)
+    links = _links(groups.join(sizes, "comp"), sets, threshold)
     labels = components(links.where("rep <> root").select(F.col("root").alias("a"), F.col("rep").alias("b")))
     known = reps.select("rep", "id", "copies", "digest").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     known = materialize(known, "classes")
@@ -353,10 +360,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each class (its smallest doc_id), all columns kept."""
-    kept = join(docs, id_col, text_col, threshold).where("first").select(F.col("doc_id").alias("__id"), F.col("text_md5").alias("__md5"))
-    marked = docs.withColumn("__own", F.unhex(F.md5(text_of(text_col).cast("binary"))))
-    out = marked.join(kept, F.col("__own").eqNullSafe(F.col("__md5")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
-    return out.dropDuplicates(["__own", "__id"]).select(docs.columns)
+    (own,) = unused(docs, "own")
+
+    def key(md5: Column, doc_id: Column) -> Column:  # One column, so that dropping equal rows needs no further exchange.
+        return F.md5(F.concat(md5, F.coalesce(doc_id.cast("string"), F.lit("none")).cast("binary")))
+
+    kept = join(docs, id_col, text_col, threshold).where("first").select(key(F.col("text_md5"), F.col("doc_id")).alias(own))
+    marked = docs.withColumn(own, key(F.unhex(F.md5(text_of(text_col).cast("binary"))), F.col(id_col).cast("long")))
+    return marked.join(kept, own).dropDuplicates([own]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

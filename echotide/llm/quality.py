@@ -14,10 +14,12 @@ columns are ignored; texts are read whole, whatever their length.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,6 +65,13 @@ def stats_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return materialize(arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")), rows, "doc_id long, s array<double>"), "statistics")
 
 
+@functools.lru_cache(maxsize=1)
+def _directions() -> tuple[np.ndarray, np.ndarray]:
+    """Directions and phases of the cosines: fixed, so that they need no place in a model."""
+    rng = np.random.default_rng(20_240)
+    return rng.standard_normal((STATISTICS, COSINES)) / np.sqrt(STATISTICS), rng.uniform(0, 2 * np.pi, COSINES)
+
+
 @dataclass
 class Model:
     mean: np.ndarray
@@ -72,10 +81,9 @@ class Model:
     value: np.ndarray = field(default_factory=lambda: np.array([0.5]))
 
     def cosines(self, s: np.ndarray) -> np.ndarray:
-        rng = np.random.default_rng(20_240)
-        w = rng.standard_normal((STATISTICS, COSINES)) / np.sqrt(STATISTICS)
+        w, phase = _directions()
         z = np.clip((s.reshape(-1, STATISTICS) - self.mean) / self.scale, -6, 6)
-        return np.column_stack([np.cos(z @ w + rng.uniform(0, 2 * np.pi, COSINES)) * np.sqrt(2 / COSINES), np.ones(len(z))])
+        return np.column_stack([np.cos(z @ w + phase) * np.sqrt(2 / COSINES), np.ones(len(z))])
 
     def raw(self, s: np.ndarray) -> np.ndarray:
         return self.cosines(s) @ self.weights
@@ -172,7 +180,7 @@ def keep_good(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD
 
     @F.pandas_udf("boolean")
     def good(texts):
-        return texts.map(lambda t: bool(model.score(np.array(statistics(t or "")))[0] >= threshold))
+        return pd.Series(model.score(np.array([statistics(t or "") for t in texts]).reshape(-1, STATISTICS)) >= threshold)
 
     return docs.where(good(text_of(text_col)))
 

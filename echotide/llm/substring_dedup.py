@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import tokens
-from .common import arrow_map, batch, materialize, table, text_of
+from .common import arrow_map, batch, frequent, materialize, table, text_of
 
 REACH, ZERO_BITS, MIN_BYTES, MAX_BYTES = 32, 5, 96, 1024
 #: Most digests that are broadcast, and counters in the sketch that names them.
@@ -116,14 +116,13 @@ def _shared(chunked: DataFrame) -> DataFrame:
 
 def _repeated(chunked: DataFrame, heavy: int, tracked: int) -> DataFrame:
     """The chunks that occur in several rows, with their digest's n and first occurrence."""
-    named = chunked.agg(F.expr(f"approx_top_k(digest, {heavy}, {tracked})").alias("top")).select(F.explode("top").alias("t")).where("t.count > 1").select(F.col("t.item").alias("digest"))
     # At most `heavy` rows each.
-    named = F.broadcast(materialize(named, "frequent-chunks"))
-    frequent = F.broadcast(materialize(_shared(chunked.join(named, "digest", "left_semi")), "frequent-chunks"))
+    named = F.broadcast(materialize(frequent(chunked, "digest", heavy, tracked), "frequent-chunks"))
+    settled = F.broadcast(materialize(_shared(chunked.join(named, "digest", "left_semi")), "frequent-chunks"))
     # Only what places a chunk is dealt by digest; doc_ids of rows are looked up for the spans.
     places = chunked.select("digest", "row", "start", "length")
     rest = places.join(named, "digest", "left_anti").join(_shared(chunked.join(named, "digest", "left_anti")), "digest")
-    return places.join(frequent, "digest").unionByName(rest)
+    return places.join(settled, "digest").unionByName(rest)
 
 
 def repeats(chunked: DataFrame, min_bytes: int = MIN_BYTES, heavy: int = HEAVY, tracked: int = TRACKED) -> DataFrame:

@@ -368,6 +368,16 @@ def test_ngram_join_words_of_any_script(spark, monkeypatch):
     assert {(i, c) for i, c, _ in got if i < 7} == {(i, 0) for i in range(4)} | {(i, 4) for i in range(4, 7)}
 
 
+def test_ngram_join_in_blocks_of_few_bytes(spark, monkeypatch):
+    """Long texts, a block each, give the links of brute force; a threshold below that of the bands is refused."""
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 10_000)
+    group = spark.createDataFrame(list(enumerate(near_copies(12, words=1500))), "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.join(group).collect())
+    assert got == brute_links(texts(group)) and max(n for _, _, n in got) == 11
+    with pytest.raises(ValueError, match="0.8"):
+        ngram_join.join(group, threshold=0.5)
+
+
 def test_pruning_keeps_links():
     least = ngram_join.least_matches()
     rng = np.random.default_rng(5)
@@ -417,6 +427,8 @@ def test_one_occurrence_of_each_repeat_stays(spark):
     spans = collections.defaultdict(list)
     for r in substring_dedup.repeats(chunked, 1).collect():
         spans[r["row"]].append((r["start"], r["end"], r["kept"]))
+    few = [sorted(map(str, substring_dedup.repeats(chunked, 1, heavy).collect())) for heavy in (1, 3, 1024)]
+    assert few[0] == few[1] == few[2]
     found = collections.defaultdict(list)
     for c in chunked.collect():
         found[c["digest"]].append((c["doc_id"], c["row"], c["start"], c["start"] + c["length"]))
