@@ -67,7 +67,7 @@ def _descend(t: np.ndarray, y: np.ndarray, weight: np.ndarray, p: np.ndarray, fl
         moved = np.abs(new - p[k]).max(1) > 1e-10 * (1 + np.abs(p[k]).max(1))
         gain = loss[k] - newer
         p[k[better]] = new[better]
-        active[k] = np.where(better, moved & (gain > 1e-14 * (1e-30 + loss[k])), damp[k] < 1e10)
+        active[k] = np.where(better, moved & (gain > 1e-10 * (1e-30 + loss[k])), damp[k] < 1e10)
         loss[k] = np.where(better, newer, loss[k])
         damp[k] = np.where(better, np.maximum(damp[k] / 5, 1e-12), damp[k] * 4)
     return p, loss
@@ -124,6 +124,8 @@ def fit(t: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
 def fit_curves(curves: DataFrame) -> DataFrame:
     """One row per curve with the results of its fit; T0 is 0 where the fit failed, the others NaN."""
     packed = pack(curves).select(*CURVE_KEY, F.transform("points", lambda q: q["time_s"]).alias("t"), F.transform("points", lambda q: q["value"].cast("double")).alias("y"))
+    # Dealt by a stated number: a fit takes far longer than its few bytes suggest, so small partitions must not be merged.
+    packed = packed.repartition(int(curves.sparkSession.conf.get("spark.sql.shuffle.partitions")), *CURVE_KEY)
     kinds = dict(packed.dtypes)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

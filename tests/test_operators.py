@@ -132,6 +132,18 @@ def test_wash_rates_and_sections(spark):
     assert any(k.startswith("PostFlash_") for k in keys) and not any(k.startswith("WashIn_") for k in keys)
 
 
+def test_fit_of_many_curves():
+    """No start is right for all curves; none of 2,000 ends away from its curve."""
+    rng = np.random.default_rng(1)
+    t = np.tile(np.arange(120) * 0.5, (2000, 1))
+    p = np.column_stack([np.full(2000, 10.0), rng.uniform(0.5, 2.5, 2000), rng.uniform(0.2, 0.9, 2000), rng.uniform(0, 3, 2000)])
+    p[0, 1:] = 0.5, 0.5, 2.6875
+    y = fit.model(t, p)
+    shifted = (y - y.min(1, keepdims=True)) / np.ptp(y, axis=1)[:, None]
+    found = fit.fit(t, y, np.full(2000, 120))
+    assert np.abs(fit.model(t, found[:, [0, 5, 6, 4]]) - shifted).max() < 0.02
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.floats(0.5, 2.5), st.floats(0.2, 0.9), st.floats(0.0, 3.0))
 def test_fit_recovers_parameters(mu, sigma, t0):
