@@ -578,6 +578,38 @@ def test_matroska_lacing_and_unknown_sizes():
 # Pipeline -----------------------------------------------------------------------------------------
 
 
+def test_pipeline_stages_by_brute_force(spark, sf_dir):
+    """Each stage's rows, from those of its predecessor, by plain Python."""
+    import corpus_pipeline as p
+
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train_on(docs, table(spark, sf_dir, "labels"))
+    before, ref = dict(texts(docs)), library_ids(WORD)
+    after = {}
+    for name, stage in p.STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), "stage")
+        if name == "packing":
+            pieces = collections.defaultdict(list)
+            for r in docs.orderBy("sequence_id", "offset").collect():
+                pieces[r["doc_id"]] += np.frombuffer(r["ids"], "<u2").tolist()
+            assert pieces == {i: [*ref(t), 1] for i, t in before.items()}
+            continue
+        after = dict(texts(docs))
+        if name == "quality classifier":
+            expected = {i: t for i, t in before.items() if model.score(np.array([quality.statistics(t)]))[0] >= 0.5}
+        elif name == "exact dedup":
+            expected = {max(i for i in before if before[i] == t): t for t in set(before.values())}
+        elif name == "n-gram Jaccard join":
+            expected = {low: before[low] for _, low, _ in brute_links(list(before.items()))}
+        else:
+            expected = {i: t if not secrets.scan(t) else after[i] for i, t in before.items()}
+            assert not any(base_spans(t) for t in after.values()) and any(base_spans(t) for t in before.values())
+            assert all(r["n_chars"] == len(r["text"]) for r in docs.collect())
+        assert after == expected, (name, len(before), set(after) ^ set(expected))
+        assert len(after) > 20
+        before = after
+
+
 def test_pipeline(spark, awkward, nothing, sf_dir):
     import corpus_pipeline as p
 
