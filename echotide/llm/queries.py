@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, exact_dedup, matroska, ngram_join, packing, quality, secrets, substring_dedup, token_files, toxicity
+from . import byte_bpe, decontaminate, exact_dedup, filter_audit, matroska, ngram_join, packing, quality, secrets, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op10_substring_dedup": substring_dedup.op10,
@@ -16,9 +16,11 @@ QUERIES = {
     "op4_packing": packing.op4,
     "op7_exact_dedup": exact_dedup.op7,
     "op11_decontaminate": decontaminate.op11,
+    "op12_filter_audit": filter_audit.op12,
 }
 
 ORACLES = {
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op11_decontaminate": decontaminate.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
 }
