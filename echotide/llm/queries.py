@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, exact_dedup, filter_audit, matroska, ngram_join, packing, quality, secrets, substring_dedup, token_files, toxicity
+from . import byte_bpe, decontaminate, exact_dedup, filter_audit, matroska, ngram_join, packing, quality, secrets, substring_dedup, token_files, toxicity, yinyang
 
 QUERIES = {
     "op10_substring_dedup": substring_dedup.op10,
@@ -17,10 +17,12 @@ QUERIES = {
     "op7_exact_dedup": exact_dedup.op7,
     "op11_decontaminate": decontaminate.op11,
     "op12_filter_audit": filter_audit.op12,
+    "op13_yinyang": yinyang.op13,
 }
 
 ORACLES = {
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op11_decontaminate": decontaminate.ORACLE,
     "op12_filter_audit": filter_audit.ORACLE,
+    "op13_yinyang": yinyang.ORACLE,
 }
