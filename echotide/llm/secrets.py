@@ -14,18 +14,22 @@ that it is none.
 
 Spans are in code points, end exclusive. Cases: null counts as empty, an empty text has
 no spans; texts are scanned whole, whatever their length; rows with null or repeated
-doc_id are kept; an empty table gives an empty result; other columns are ignored.
+doc_id are kept; an empty table gives an empty result; other columns are ignored. Work is in proportion to a text's
+length whatever it holds: nested, broken and repeated candidates included.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,62 +65,129 @@ def decode_base64(text: str) -> bytes | None:
         return None
 
 
-def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
-    """(tag, content) of DER elements that fill the data exactly; None where lengths don't fit."""
-    out, at = [], 0
-    while at < len(data):
-        if at + 2 > len(data):
+#: Most elements that the frame of a key or of an algorithm may hold, by their standards.
+MOST_ELEMENTS = 10
+
+
+def der_items(data: bytes, at: int = 0, end: int | None = None) -> list[tuple[int, int, int]] | None:
+    """(tag, start and end of the content) of the DER elements that fill [at, end) exactly; None where lengths don't fit, or there are more than any key has."""
+    out, end = [], len(data) if end is None else end
+    while at < end:
+        if at + 2 > end or len(out) == MOST_ELEMENTS:
             return None
         tag, n = data[at], data[at + 1]
         at += 2
         if n & 0x80:
             size = n & 0x7F
-            if not 1 <= size <= 4 or at + size > len(data):
+            if not 1 <= size <= 4 or at + size > end:
                 return None
             n = int.from_bytes(data[at : at + size], "big")
             at += size
             if n < 0x80 or n >> 8 * (size - 1) == 0:
                 return None  # DER wants the shortest form
-        if at + n > len(data):
+        if at + n > end:
             return None
-        out.append((tag, data[at : at + n]))
+        out.append((tag, at, at + n))
         at += n
     return out
 
 
-def key_kind(data: bytes) -> str | None:
-    """The key encoding that the bytes are, by its nested structure."""
-    if data.startswith(OPENSSH):
-        n = int.from_bytes(data[15:19], "big")
-        return "openssh" if 0 < n <= 64 and len(data) > 19 + n else None
-    outer = der_items(data)
+def _algorithm(data: bytes, at: int, end: int) -> list[int]:
+    """Tags of an algorithm's identifier: an object's, and that of what goes with it."""
+    items = der_items(data, at, end)
+    return [t for t, _, _ in items] if items and items[0][0] == 0x06 else []
+
+
+def key_kind(data: bytes, at: int = 0, end: int | None = None) -> str | None:
+    """The key encoding that the bytes of [at, end) are, by its nested structure."""
+    end = len(data) if end is None else end
+    if data.startswith(OPENSSH, at, end):
+        n = int.from_bytes(data[at + 15 : min(at + 19, end)], "big")
+        return "openssh" if 0 < n <= 64 and end - at > 19 + n else None
+    outer = der_items(data, at, end)
     if not outer or len(outer) != 1 or outer[0][0] != 0x30:
         return None
-    inner = der_items(outer[0][1])
+    return frame_kind(data, *outer[0][1:])
+
+
+def frame_kind(data: bytes, at: int, end: int) -> str | None:
+    """The key encoding whose outer frame holds [at, end)."""
+    inner = der_items(data, at, end)
     if not inner:
         return None
-    tags = [t for t, _ in inner]
-    if tags[:1] == [0x02] and len(tags) >= 9 and set(tags[:9]) == {0x02}:
+    tags, first = [t for t, _, _ in inner], data[inner[0][1] : min(inner[0][2], inner[0][1] + 2)]
+    if tags[:9] == [0x02] * 9:
         return "pkcs1"
-    if tags == [0x02] * 6 and inner[0][1] == b"\0":
+    if tags == [0x02] * 6 and first == b"\0":
         return "dsa"
     if tags[:3] == [0x02, 0x30, 0x04]:
-        algorithm = der_items(inner[1][1])
-        return "pkcs8" if algorithm and algorithm[0][0] == 0x06 else None
-    if tags[:2] == [0x02, 0x04] and inner[0][1] == b"\x01" and len(inner[1][1]) >= 16:
+        return "pkcs8" if _algorithm(data, *inner[1][1:]) else None
+    if tags[:2] == [0x02, 0x04] and first == b"\x01" and inner[1][2] - inner[1][1] >= 16:
         return "sec1"
     if tags == [0x30, 0x04]:
-        algorithm = der_items(inner[0][1])
-        return "pkcs8-encrypted" if algorithm and len(algorithm) == 2 and algorithm[0][0] == 0x06 and algorithm[1][0] == 0x30 else None
+        return "pkcs8-encrypted" if _algorithm(data, *inner[0][1:]) == [0x06, 0x30] else None
     return None
 
 
-def _is_jwt(header: str, payload: str) -> bool:
+#: One token of JSON: a mark (brackets may be many), a string, or another value.
+JSON_TOKEN = re.compile(r'[ \t\n\r]*(?:(\[+|\]+|[{},:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4}))*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false|null|NaN|-?Infinity))')
+
+
+def deep_object(text: str) -> dict | None:
+    """The names of a JSON object, with their values where these are strings (others: None); None where the text is no object. Takes any depth of nesting."""
+    at, stack, out, name, want = 0, bytearray(), {}, None, "value"
+    while m := JSON_TOKEN.match(text, at):
+        at, (mark, string, _) = m.end(), m.groups()
+        top = len(stack) == 1
+        if not mark:
+            if string and want in ("name", "name or end"):
+                if top:
+                    name = json.loads(string)
+                    out[name] = None
+                want = "colon"
+                continue
+            if not stack or want not in ("value", "value or end"):
+                return None
+            if top:
+                out[name] = json.loads(string) if string else None
+            want = "next"
+        elif mark[0] in "[{":
+            if want not in ("value", "value or end") or not stack and mark[0] == "[":
+                return None
+            stack += mark.encode()
+            want = "value or end" if mark[0] == "[" else "name or end"
+        elif mark[0] in "]}":
+            opened = (b"[" if mark[0] == "]" else b"{") * len(mark)
+            if want not in ("value or end" if mark[0] == "]" else "name or end", "next") or not stack.endswith(opened):
+                return None
+            del stack[len(stack) - len(mark) :]
+            if not stack:
+                return out if not text[at:].strip(" \t\n\r") else None
+            want = "next"
+        elif mark == "," and want == "next":
+            want = "value" if stack.endswith(b"[") else "name"
+        elif mark == ":" and want == "colon":
+            want = "value"
+        else:
+            return None
+    return None
+
+
+def _object(letters: str) -> dict | None:
+    """The JSON object that a part of a token holds."""
+    data = decode_base64(letters) or b""
     try:
-        first, second = (json.loads(decode_base64(x) or b"") for x in (header, payload))
+        found = json.loads(data)
+        return found if isinstance(found, dict) else None
     except ValueError:
-        return False
-    return isinstance(first, dict) and isinstance(first.get("alg"), str) and isinstance(second, dict)
+        return None
+    except RecursionError:
+        return deep_object(data.decode(json.detect_encoding(data), "surrogatepass"))
+
+
+def _is_jwt(header: str, payload: str) -> bool:
+    first = _object(header)
+    return first is not None and isinstance(first.get("alg"), str) and _object(payload) is not None
 
 
 def _is_pem(body: str) -> bool:
@@ -139,17 +210,6 @@ def _pems(text: str) -> Iterator[tuple[int, int]]:
             yield m.start(), end + len(last)
 
 
-def stated_length(data: bytes) -> int | None:
-    """Bytes of the DER sequence that begins here, by its outer frame; None where no key begins so."""
-    if len(data) < 8 or data[0] != 0x30:
-        return None
-    size = data[1] & 0x7F if data[1] & 0x80 else 0
-    if data[1] & 0x80 and not 1 <= size <= 4:
-        return None
-    n = int.from_bytes(data[2 : 2 + size], "big") if size else data[1]
-    return 2 + size + n if data[2 + size] in (0x02, 0x30) else None
-
-
 def openssh_length(data: bytes) -> int | None:
     """Bytes of the OpenSSH key that begins here, by its fields; None where they don't fit."""
     at, left, counted = len(OPENSSH), 3, False
@@ -183,8 +243,60 @@ def _from_hex(text: str) -> bytes:
     return bytes.fromhex(text[: len(text) & ~1])
 
 
+class _Run:
+    """A maximal run of letters from a place on, without what stands between them. Each of its letters is decoded once for each way that groups may begin."""
+
+    def __init__(self, text: str, at: int, letters: re.Pattern, bits: int, decode: Callable[[str], bytes | None]):
+        self.starts, self.before, pieces, have = [], [], [], 0
+        self.group, self.bytes, self.bits, self.decode = (4, 3, bits, decode) if bits == 6 else (2, 1, bits, decode)
+        while True:
+            if m := letters.match(text, at):
+                self.starts.append(at)
+                self.before.append(have)
+                pieces.append(m[0])
+                have, at = have + len(m[0]), m.end()
+                self.end = at
+            elif m := BETWEEN.match(text, at):
+                at = m.end()
+            else:
+                break
+        self.letters = "".join(pieces)
+
+    def framed(self, starts: np.ndarray) -> list[tuple[int, int, bytes, int, int, int]]:
+        """(place in the text, number of the letter, data, start and end of the content in it, whole length) of those DER sequences whose stated length is within the run, and in the shortest form."""
+        piece = np.searchsorted(self.starts, starts, "right") - 1
+        numbers = np.asarray(self.before)[piece] + starts - np.asarray(self.starts)[piece]
+        found = []
+        for way in range(self.group):
+            mine = np.flatnonzero(numbers % self.group == way)
+            if not len(mine):
+                continue
+            letters = self.letters[way:]
+            data = self.decode(letters[:-1] if self.bits == 6 and len(letters) % 4 == 1 else letters) or b""
+            raw, at = np.frombuffer(data, np.uint8).astype(np.int64), numbers[mine] // self.group * self.bytes
+            first = raw[at + 1]
+            size = np.where(first & 0x80, first & 0x7F, 0)
+            n = np.where(first & 0x80, 0, first)
+            for k in range(4):
+                n = np.where(k < size, n << 8 | raw[at + 2 + k], n)
+            fine = (first != 0x80) & (size <= 4) & ((size == 0) | (n >= 0x80) & (raw[at + 2] > 0))
+            length = 2 + np.minimum(size, 4) + n
+            fine &= np.isin(raw[at + length - n], (0x02, 0x30)) & (at + length <= len(raw))
+            mine, end = mine[fine], (at + length)[fine]
+            found += zip(starts[mine].tolist(), numbers[mine].tolist(), repeat(data), (end - n[fine]).tolist(), end.tolist(), length[fine].tolist())
+        return sorted(found, key=lambda f: f[0])
+
+    def place(self, number: int) -> int:
+        """Where in the text a letter is."""
+        piece = bisect.bisect_right(self.before, number) - 1
+        return self.starts[piece] + number - self.before[piece]
+
+
 def _keys(text: str, der: re.Pattern, openssh: re.Pattern, letters: re.Pattern, bits: int, decode: Callable[[str], bytes | None]) -> Iterator[tuple[int, int]]:
-    """(start, end) of the keys whose letters carry so many bits each."""
+    """(start, end) of the keys whose letters carry so many bits each.
+
+    A candidate of DER costs the elements of its frames, however long these are: runs are decoded once.
+    """
 
     def whole(at: int, length: int | None) -> int | None:
         if length is None:
@@ -196,11 +308,19 @@ def _keys(text: str, der: re.Pattern, openssh: re.Pattern, letters: re.Pattern,
             return None
         return end if key_kind((decode(run) or b"")[:length]) else None
 
-    last = 0
-    for m in der.finditer(text):
-        if m.start() >= last and (end := whole(m.start(), stated_length(decode(text[m.start() : m.start() + 16]) or b""))):
-            last = end
-            yield m.start(), end
+    last, i, places = 0, 0, np.array([m.start() for m in der.finditer(text)], np.int64)
+    while i < len(places):
+        run = _Run(text, int(places[i]), letters, bits, decode)
+        stop = int(np.searchsorted(places, run.end))
+        for at, number, data, inner, outer, length in run.framed(places[i:stop]):
+            if at < last or not frame_kind(data, inner, outer):
+                continue
+            end = run.place(number - (-8 * length // bits) - 1) + 1
+            following = text[end : end + 1]
+            if not (letters.match(following) and following.isalnum()):
+                last = end
+                yield at, end
+        i = stop
     starts = list(openssh.finditer(text))
     for m, stop in zip(starts, [*(n.start() for n in starts[1:]), len(text)]):
         if m.start() < last:
@@ -217,7 +337,7 @@ def _keys(text: str, der: re.Pattern, openssh: re.Pattern, letters: re.Pattern,
 
 def scan(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all spans by start, then kind as listed in KINDS."""
-    found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= MIN_ASSIGN]
+    found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= MIN_ASSIGN] if ":" in text or "=" in text else []
     if "AKIA" in text:
         found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]

@@ -253,6 +253,55 @@ def test_secrets_read_long_texts_once():
     assert [text for text in ("x" + line + pem,) for a, z, k in secrets.scan(text) if k == "pem" and text[a:z] == pem]
 
 
+def timed(text, seconds=5):
+    """Spans that aren't base ones."""
+    import time
+
+    began = time.process_time()
+    out = [(text[a:z], k) for a, z, k in secrets.scan(text) if k not in secrets.KINDS[:3]]
+    assert time.process_time() - began < seconds
+    return out
+
+
+def test_secrets_of_der_starts_in_linear_time():
+    """Frames without number, each of which states a length, in or beyond the text; keys among them are found as elsewhere."""
+    n = 2_000_000
+    for head in (b"\x30\x83\x0f\xff\xff\x02\x01\x00", b"\x30\x83\x00\xff\xff\x02", b"\x30\x82\x10\x00\x02\x00", b"\x30\x0a\x02\x00\x02\x00", b"\x30\x81\x80\x30\x7e\x06\x00"):
+        raw = head * (n // 2 // len(head))
+        assert not timed(raw.hex()) and not timed(b64(raw)[: n])
+        tail = (b"\x30\x82\xff\xff\x02\x82\x80\x00" + head) * 2000
+        text = f"{b64(tail)} {b64(PKCS1)} {tail.hex()} {PKCS1.hex()}"
+        assert timed(text) == [(b64(PKCS1), "b64key"), (PKCS1.hex(), "hexkey")]
+        wrapped = "\n".join([b64(raw[:60000])[i : i + 64] for i in range(0, 80000, 64)])
+        assert not timed(wrapped * 100)
+
+
+def test_secrets_of_deep_json(spark):
+    """Headers and payloads of any depth: no error, and tokens all the same."""
+    deep = lambda head, depth: head.replace("@", "[" * depth + "]" * depth)
+    token = lambda h, p: ".".join(b64(x.encode()).rstrip("=").replace("+", "-").replace("/", "_") for x in (h, p)) + ".abc"
+    plain, many = '{"typ":"JWT","alg":"HS256"}', 3_000_000
+    good = [(deep('{"x":@,"alg":"HS256"}', many), plain), (plain, deep('{"x":@}', many)), (deep('{"x":@ , "alg":"none", "y":[{"z":[1,-2.5e3,true,null,"\\u00e9\\n"]},{}] }', 200_000), plain)]
+    bad = [("{" + '"a":{' * (many // 10), plain), (deep('{"x":@,"alg":1}', many), plain), (deep('{"x":@,"alg":"HS256"', many), plain), (plain, deep('{"x":@]}', many)), (deep('{"alg":"a","x":@,}', many), plain), ('{"alg":"a","x":' + "[" * many + "{]" + "]" * many + "}", plain)]
+    for h, p in good:
+        assert timed(f"see {token(h, p)} .") == [(token(h, p), "jwt")]
+    for h, p in bad:
+        assert not timed(f"see {token(h, p)} .")
+    docs = spark.createDataFrame([(1, "see " + token(*good[0])), (2, token(*bad[0]))], "doc_id long, text string")
+    assert {r["doc_id"]: r["spans"].count("jwt") for r in secrets.find_secrets(docs).collect()} == {1: 1, 2: 0}
+    assert [r["text"] for r in secrets.redacted(docs).orderBy("doc_id").collect()] == ["see [SECRET]", token(*bad[0])]
+
+
+def test_deep_objects_as_json():
+    import json
+
+    for text in ('{}', '{"a":1}', ' { "a" : "x\\"y" , "b":[1,2,{"a":"n"}] }\n', '{"a":{"a":"b"},"a":"c"}', '{"a":-0.5e-3,"b":true,"c":[[],{}]}', '{"\\u0061lg":"\\u0041"}'):
+        want = {k: v if isinstance(v, str) else None for k, v in json.loads(text).items()}
+        assert secrets.deep_object(text) == want
+    for text in ("", "[]", "[{}]", "{", "}", '{"a"}', '{"a":}', '{"a":1,}', '{,}', '{"a":1 "b":2}', '{"a":[1,]}', '{"a":[1}', '{"a":01}', '{"a":1} x', '{a:1}', '"a"', "1", '{"a":"\n"}', '{"a":tru}', '{1:2}', '{"a"::1}', '{"a":1}}'):
+        assert secrets.deep_object(text) is None
+
+
 def base_spans(text):
     """By definition: all leftmost matches of a kind, then those that fail dropped."""
     out = [(m.start(), 0, f"assign:{m.start()}:{m.end()}") for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 12]
