@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from echotide.operators import graylevel
 from echotide.schema import axes
 
 
@@ -67,9 +68,10 @@ def radiomics_first_order(value: Column) -> dict[str, Column]:
 
 
 #: Names of the features of each class of a radiomics configuration.
-GLCM = ("Contrast", "JointEnergy", "JointEntropy", "Idm", "DifferenceAverage")
 FIRST_ORDER = ("10Percentile", "90Percentile", "Energy", "Entropy", "InterquartileRange", "Kurtosis", "Maximum", "MeanAbsoluteDeviation", "Mean", "Median", "Minimum", "Range", "RobustMeanAbsoluteDeviation", "RootMeanSquared", "Skewness", "TotalEnergy", "Uniformity", "Variance")
-CLASSES = {"firstorder": FIRST_ORDER, "glcm": GLCM}
+CLASSES = {"firstorder": FIRST_ORDER, "glcm": graylevel.GLCM, **{k: tuple(n for n in names if n) for k, names in graylevel.SIZES.items()}, "ngtdm": graylevel.NGTDM}
+#: Features of cells (keys, spatial columns, level, ng), by class.
+MATRICES = {"glrlm": graylevel.glrlm_features, "glszm": graylevel.glszm_features, "gldm": graylevel.gldm_features, "ngtdm": graylevel.ngtdm_features}
 
 
 def first_order_features(levels: DataFrame, keys: Sequence[str], width: float, volume: float) -> DataFrame:
@@ -125,7 +127,7 @@ class Radiomics:
     def curves(self, cells: DataFrame, dims: int, keys: Sequence[str]) -> DataFrame:
         """(keys, curve_name, value) from cells (keys, spatial columns, value) of the mask.
 
-        Each frame's first cell has the value 0 and counts as part of the mask. Co-occurrence features are means over directions.
+        Each frame's first cell has the value 0 and counts as part of the mask. Features of co-occurrence and of runs are means over directions.
         """
         names, keys = axes(dims), list(keys)
         origin = reduce(lambda a, b: a & b, [F.col(c) == 0 for c in names])
@@ -135,11 +137,11 @@ class Radiomics:
         out, wanted = None, self.wanted()
         for name, width, kind in dict.fromkeys(w[:3] for w in wanted):
             features = [f for w in wanted if w[:3] == (name, width, kind) for f in w[3:]]
-            if kind == "glcm":
-                matrix = glcm(levels.withColumn("level", F.floor(F.col("level") / width).cast("int")), dims, keys=keys, by_angle=True)
-                table = glcm_features(matrix, [*keys, "angle"]).groupBy(*keys).agg(*(F.avg(f"glcm_{f}").alias(f) for f in GLCM))
-            else:
+            if kind == "firstorder":
                 table = first_order_features(levels, keys, width, self.volume)
+            else:
+                gray = graylevel.gray_levels(levels, dims, keys, width)
+                table = graylevel.glcm_features(gray, dims, keys, features=features) if kind == "glcm" else MATRICES[kind](gray, dims, keys)
             part = table.select(*keys, *(F.col(f"`{f}`").cast("double").alias(f"{name}_original_{kind}_{f}") for f in features))
             part = part.unpivot(keys, part.columns[len(keys) :], "curve_name", "value")
             out = part if out is None else out.unionByName(part)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from echotide.functions import lognormal, number
 from echotide.operators import curves as C
-from echotide.operators import fit, paramap, preprocess, quantify, spectrum, texture, windows
+from echotide.operators import fit, graylevel, paramap, preprocess, quantify, spectrum, texture, windows
 from echotide.sources import fixtures as X
 from echotide.sources import images, tables
 
@@ -509,6 +509,95 @@ def glcm_contrast(spark, d):
     return f.select("frame", *(number(F.col(f"glcm_{a}"), 6).alias(b) for a, b in (("Contrast", "contrast"), ("JointEnergy", "energy"), ("JointEntropy", "entropy"))))
 
 
+# Gray-level matrices of 2-D frames, with the first cell in the mask as the value 0, and levels in bins of 2.
+GRAY = f"""{CINE2}, raw AS (SELECT frame, ax, sag, floor((floor(((CASE WHEN ax = 0 AND sag = 0 THEN 0 ELSE value END) - 80) / 5) + 1) / 2)::INT AS b FROM vox WHERE m = 1 OR (ax = 0 AND sag = 0)),
+g AS (SELECT frame, ax, sag, b - min(b) OVER (PARTITION BY frame) + 1 AS level, max(b) OVER (PARTITION BY frame) - min(b) OVER (PARTITION BY frame) + 1 AS ng FROM raw)"""
+#: Directions in the plane: one of each pair of opposite ones.
+DIRS = "dirs(angle, da, ds) AS (VALUES (0, 0, 1), (1, 1, -1), (2, 1, 0), (3, 1, 1))"
+AROUND = "moves(da, ds) AS (SELECT da, ds FROM (SELECT unnest([-1, 0, 1]) AS da), (SELECT unnest([-1, 0, 1]) AS ds) WHERE da <> 0 OR ds <> 0)"
+
+
+def _sizes_sql(kind: str, matrix: str, each: str = "") -> str:
+    """Features of a matrix mat(frame, each, level, size, n), as means over each."""
+    part = f"frame{each}"
+    terms = (
+        "sum(n / size / size) / sum(n)", "sum(n * size * size) / sum(n)", "sum(n * r) / sum(n)", "sum(n * r) / sum(n) / sum(n)", "sum(n * c) / sum(n)", "sum(n * c) / sum(n) / sum(n)", "sum(n) / sum(n * size)",
+        "sum(n * level * level) / sum(n) - power(sum(n * level) / sum(n), 2)", "sum(n * size * size) / sum(n) - power(sum(n * size) / sum(n), 2)", "-sum(n / t * log2(n / t))",
+        "sum(n / level / level) / sum(n)", "sum(n * level * level) / sum(n)", "sum(n / level / level / size / size) / sum(n)", "sum(n * level * level / size / size) / sum(n)", "sum(n * size * size / level / level) / sum(n)", "sum(n * size * size * level * level) / sum(n)")
+    named = [(n, t) for n, t in zip(graylevel.SIZES[kind], terms) if n]
+    columns = ", ".join(f'{t} AS "{n}"' for n, t in named)
+    means = ", ".join(f'round(avg("{n}"), 6) + 0.0 AS "{n}"' for n, _ in named)
+    return f"""{matrix}, d AS (SELECT {part}, level::DOUBLE AS level, size::DOUBLE AS size, n::DOUBLE AS n FROM mat), w AS (SELECT *, (sum(n) OVER (PARTITION BY {part}, level))::DOUBLE AS r, (sum(n) OVER (PARTITION BY {part}, size))::DOUBLE AS c, (sum(n) OVER (PARTITION BY {part}))::DOUBLE AS t FROM d),
+per AS (SELECT {part}, {columns} FROM w GROUP BY {part}) SELECT frame, {means} FROM per GROUP BY frame"""
+
+
+def _gray(spark, d, dims=2):
+    cells = X.cine(spark, d, dims).join(X.mask(spark, d, dims), ["scan_id", *["ax", "sag", "cor"][:dims]])
+    return graylevel.gray_levels(texture.discretize(texture.phantom_voxel(cells, dims), 5.0, 80.0).withColumn("seg_id", F.lit("roi")), dims, ["scan_id", "seg_id", "frame"], 2)
+
+
+def _features(table: DataFrame) -> DataFrame:
+    return table.select("frame", *(number(F.col(c), 6).alias(c) for c in table.columns[3:]))
+
+
+KEYS = ["scan_id", "seg_id", "frame"]
+
+
+@query("radiomics_glrlm", _sizes_sql("glrlm", f"""WITH {GRAY}, {DIRS},
+laid AS (SELECT frame, angle, level, CASE WHEN da = 1 THEN ax ELSE sag END AS place, CASE WHEN da = 1 THEN sag - ax * ds ELSE ax END AS line FROM g, dirs),
+islands AS (SELECT *, place - row_number() OVER (PARTITION BY frame, angle, line, level ORDER BY place) AS island FROM laid),
+runs AS (SELECT frame, angle, level, count(*) AS size FROM islands GROUP BY frame, angle, line, level, island), mat AS (SELECT frame, angle, level, size, count(*) AS n FROM runs GROUP BY ALL)""", ", angle"))
+def radiomics_glrlm(spark, d):
+    return _features(graylevel.glrlm_features(_gray(spark, d), 2, KEYS))
+
+
+@query("radiomics_glszm", _sizes_sql("glszm", f"""WITH RECURSIVE {GRAY.strip()}, {AROUND},
+reach AS (SELECT frame, ax, sag, ax AS a, sag AS s, level FROM g UNION SELECT r.frame, r.ax, r.sag, g.ax, g.sag, r.level FROM reach r, moves JOIN g ON g.frame = r.frame AND g.ax = r.a + da AND g.sag = r.s + ds AND g.level = r.level),
+zones AS (SELECT frame, ax, sag, level, count(*) AS size, min(a * 1000000 + s) AS zone FROM reach GROUP BY ALL), whole AS (SELECT frame, zone, level, any_value(size) AS size FROM zones GROUP BY frame, zone, level),
+mat AS (SELECT frame, level, size, count(*) AS n FROM whole GROUP BY ALL)"""))
+def radiomics_glszm(spark, d):
+    return _features(graylevel.glszm_features(_gray(spark, d), 2, KEYS))
+
+
+@query("radiomics_gldm", _sizes_sql("gldm", f"""WITH {GRAY}, {AROUND},
+alike AS (SELECT a.frame, a.ax, a.sag, a.level, 1 + count(b.level) AS size FROM g a, moves LEFT JOIN g b ON b.frame = a.frame AND b.ax = a.ax + da AND b.sag = a.sag + ds AND b.level = a.level GROUP BY ALL),
+mat AS (SELECT frame, level, size, count(*) AS n FROM alike GROUP BY ALL)"""))
+def radiomics_gldm(spark, d):
+    return _features(graylevel.gldm_features(_gray(spark, d), 2, KEYS))
+
+
+@query("radiomics_ngtdm", f"""WITH {GRAY}, {AROUND},
+near AS (SELECT a.frame, a.ax, a.sag, a.level, avg(b.level) AS mean FROM g a, moves JOIN g b ON b.frame = a.frame AND b.ax = a.ax + da AND b.sag = a.sag + ds GROUP BY ALL),
+l AS (SELECT frame, level::DOUBLE AS i, count(*)::DOUBLE AS n, sum(abs(level - mean)) AS s FROM near GROUP BY frame, level), q AS (SELECT *, n / sum(n) OVER (PARTITION BY frame) AS p FROM l),
+one AS (SELECT frame, sum(n) AS total, count(*) AS levels, sum(s) AS s, sum(p * s) AS ps FROM q GROUP BY frame),
+two AS (SELECT x.frame, sum(x.p * y.p * power(x.i - y.i, 2)) AS a, sum(abs(x.i * x.p - y.i * y.p)) AS b, sum(abs(x.i - y.i) * (x.p * x.s + y.p * y.s) / (x.p + y.p)) AS c, sum((x.p + y.p) * power(x.i - y.i, 2)) AS e FROM q x JOIN q y USING (frame) GROUP BY x.frame)
+SELECT frame, round(CASE WHEN ps = 0 THEN 1e6 ELSE 1 / ps END, 6) + 0.0 AS "Coarseness", round(CASE WHEN levels > 1 THEN a / (levels * (levels - 1)) * s / total ELSE 0 END, 6) + 0.0 AS "Contrast",
+round(CASE WHEN b > 0 THEN ps / b ELSE 0 END, 6) + 0.0 AS "Busyness", round(c / total, 6) + 0.0 AS "Complexity", round(CASE WHEN s = 0 THEN 0 ELSE e / s END, 6) + 0.0 AS "Strength" FROM one JOIN two USING (frame)""")
+def radiomics_ngtdm(spark, d):
+    return _features(graylevel.ngtdm_features(_gray(spark, d), 2, KEYS))
+
+
+GLCM_SQL = f"""WITH {GRAY}, {DIRS}, half AS (SELECT a.frame, angle, a.ng, a.level AS i, b.level AS j FROM g a, dirs JOIN g b ON b.frame = a.frame AND b.ax = a.ax + da AND b.sag = a.sag + ds),
+full_ AS (SELECT * FROM half UNION ALL SELECT frame, angle, ng, j, i FROM half), c AS (SELECT frame, angle, any_value(ng)::DOUBLE AS ng, i::DOUBLE AS i, j::DOUBLE AS j, count(*) AS n FROM full_ GROUP BY frame, angle, i, j),
+p AS (SELECT *, n / sum(n) OVER (PARTITION BY frame, angle) AS p, abs(i - j) AS k FROM c), m AS (SELECT *, sum(p) OVER (PARTITION BY frame, angle, i) AS px, sum(p) OVER (PARTITION BY frame, angle, j) AS py, sum(p * i) OVER (PARTITION BY frame, angle) AS u FROM p),
+away AS (SELECT frame, angle, k, sum(p) AS q FROM p GROUP BY ALL), aw AS (SELECT frame, angle, sum(k * q) AS da, -sum(q * log2(q)) AS de, sum(k * k * q) - power(sum(k * q), 2) AS dv FROM away GROUP BY ALL),
+both_ AS (SELECT frame, angle, i + j AS k, sum(p) AS q FROM p GROUP BY ALL), bo AS (SELECT frame, angle, -sum(q * log2(q)) AS se FROM both_ GROUP BY ALL),
+one AS (SELECT frame, angle, sum(p * i * j) AS "Autocorrelation", sum(p * i) AS "JointAverage", sum(p * power(i + j - 2 * u, 4)) AS "ClusterProminence", sum(p * power(i + j - 2 * u, 3)) AS "ClusterShade", sum(p * power(i + j - 2 * u, 2)) AS "ClusterTendency",
+  sum(p * k * k) AS "Contrast", CASE WHEN sum(p * power(i - u, 2)) = 0 THEN 1 ELSE sum(p * (i - u) * (j - u)) / sum(p * power(i - u, 2)) END AS "Correlation", sum(p * p) AS "JointEnergy", -sum(p * log2(p)) AS "JointEntropy",
+  -sum(p * log2(px)) AS hx, -sum(p * log2(py)) AS hy, -sum(p * log2(px * py)) AS hxy1, sum(p / (1 + k * k)) AS "Idm", sum(p / (1 + k * k / ng / ng)) AS "Idmn", sum(p / (1 + k)) AS "Id", sum(p / (1 + k / ng)) AS "Idn", sum(CASE WHEN k > 0 THEN p / k / k ELSE 0 END) AS "InverseVariance",
+  max(p) AS "MaximumProbability", sum(p * (i + j)) AS "SumAverage", sum(p * power(i - u, 2)) AS "SumSquares" FROM m GROUP BY ALL),
+every AS (SELECT *, da AS "DifferenceAverage", de AS "DifferenceEntropy", dv AS "DifferenceVariance", se AS "SumEntropy", CASE WHEN hx = 0 THEN 0 ELSE ("JointEntropy" - hxy1) / greatest(hx, hy) END AS "Imc1", sqrt(greatest(0, 1 - exp(-2 * (hx + hy - "JointEntropy")))) AS "Imc2" FROM one JOIN aw USING (frame, angle) JOIN bo USING (frame, angle))
+SELECT frame, {", ".join(f'round(avg("{n}"), 5) + 0.0 AS "{n}"' for n in graylevel.GLCM if n != "MCC")} FROM every GROUP BY frame"""
+
+
+@query("radiomics_glcm", GLCM_SQL)
+def radiomics_glcm(spark, d):
+    """All but MCC, whose eigenvalues SQL doesn't have."""
+    features = [f for f in graylevel.GLCM if f != "MCC"]
+    table = graylevel.glcm_features(_gray(spark, d), 2, KEYS, features=features)
+    return table.select("frame", *(number(F.col(c), 5).alias(c) for c in features))
+
+
 @query("power_spectrum", f"""WITH {CURVE}, l AS (SELECT scan_id, frame, value, count(*) OVER (PARTITION BY scan_id) AS size FROM timed),
 t AS (SELECT *, 0.5 - 0.5 * cos(2 * pi() * frame / (size - 1)) AS w FROM l), x AS (SELECT scan_id, frame, size, value * w / sqrt(avg(w * w) OVER (PARTITION BY scan_id)) AS x FROM t),
 b AS (SELECT unnest(range(16, 48))::INT AS bin),
