@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echotide.functions import luma
+from echotide.operators.components import components, cut_lineage
 from echotide.schema import axes
 
 
@@ -170,11 +171,42 @@ def _filled(mask: np.ndarray, axes: Sequence[int] | None = None) -> np.ndarray:
             return ~outside
 
 
-def fill_holes(mask: DataFrame, dims: int, slicewise: bool = True) -> DataFrame:
+#: Cells up to which a mask is filled in one task; larger ones are filled tile by tile.
+ONE_TASK = 1 << 24
+
+
+def fill_holes(mask: DataFrame, dims: int, slicewise: bool = True, one_task: int = ONE_TASK, tile: int | None = None) -> DataFrame:
     """Holes of a mask filled: as a whole and then, in 3-D, slice by slice along each axis in turn.
 
-    One task holds one mask (connectivity is not local), other masks run beside it.
+    Masks of up to `one_task` cells are filled in a task each; where one is larger, all are filled by tiles.
     """
+    most = mask.groupBy("scan_id", "seg_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > one_task:
+        return _filled_by_tiles(mask, dims, slicewise, tile)
+    return _filled_in_tasks(mask, dims, slicewise)
+
+
+def _filled_by_tiles(mask: DataFrame, dims: int, slicewise: bool, tile: int | None) -> DataFrame:
+    """A component of the background, over tiles, is outside if it has a cell at the border of the mask's box."""
+    names, roi = axes(dims), ["scan_id", "seg_id"]
+    out = mask.select(*roi, *names, (F.col("m") > 0).cast("smallint").alias("m"))
+    box = cut_lineage(out.groupBy(*roi).agg(*(f(c).alias(f"{k}_{c}") for c in names for k, f in (("min", F.min), ("max", F.max)))))
+    for axis in (None, *(names if slicewise and dims == 3 else ())):
+        within = [c for c in names if c != axis]
+        # Slices are planes with the slice's number as a key.
+        flat = dict(zip(axes(len(within)), within))
+        keys = roi + ([f"__{axis}"] if axis else [])
+        free = out.where("m = 0").select(*roi, *([F.col(axis).alias(f"__{axis}")] if axis else []), *(F.col(c).alias(a) for a, c in flat.items()), F.lit(0).alias("level"))
+        found = components(free, len(within), keys, full=False, tile=tile).select(*keys, *(F.col(a).alias(c) for a, c in flat.items()), "zone")
+        edge = reduce(lambda a, b: a | b, (F.col(c).isin(F.col(f"min_{c}"), F.col(f"max_{c}")) for c in within))
+        marked = found.join(F.broadcast(box), roi).withColumn("edge", edge)
+        outside = marked.groupBy(*keys, "zone").agg(F.max("edge").alias("outside")).where("outside")
+        beyond = found.join(outside, [*keys, "zone"], "left_semi").select(*roi, *([F.col(f"__{axis}").alias(axis)] if axis else []), *within, F.lit(0).cast("smallint").alias("__out"))
+        out = out.join(beyond, [*roi, *names], "left").select(*roi, *names, F.coalesce("__out", F.lit(1).cast("smallint")).cast("smallint").alias("m"))
+    return out
+
+
+def _filled_in_tasks(mask: DataFrame, dims: int, slicewise: bool) -> DataFrame:
     names = axes(dims)
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:

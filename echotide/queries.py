@@ -428,6 +428,13 @@ def fill_holes(spark, d):
     return preprocess.fill_holes(m, 2).select("ax", "sag", "m")
 
 
+@query("fill_holes_tiles", HOLES)
+def fill_holes_tiles(spark, d):
+    """As fill_holes, where masks are larger than tasks."""
+    m = X.table(spark, d, "embeddings").select(F.lit("cine").alias("scan_id"), F.lit("roi").alias("seg_id"), F.expr("vec_id div 25").cast("int").alias("ax"), (F.col("vec_id") % 25).cast("int").alias("sag"), (F.col("label") < 7).cast("smallint").alias("m"))
+    return preprocess.fill_holes(m, 2, one_task=0, tile=8).select("ax", "sag", "m")
+
+
 def _filled_sql(number: int, axis: str | None) -> str:
     """mask{number} from the mask before it: what its border doesn't reach, in all of it or in its slices along an axis."""
     names = [c for c in ("ax", "sag", "cor") if c != axis]

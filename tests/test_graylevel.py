@@ -205,3 +205,22 @@ def test_any_configuration_runs(spark):
     for config in ({"featureClass": {"shapes": None}}, {"featureClass": {"glrlm": ["Nothing"]}}, {"imageType": {"Wave": {}}}):
         with pytest.raises(ValueError, match="unknown"):
             texture.Radiomics([("c", config)], 0.0, 5.0).wanted()
+
+
+@pytest.mark.parametrize("dims", [2, 3])
+def test_holes_for_any_tile(spark, dims):
+    from echotide.operators import preprocess
+
+    rng = np.random.default_rng(8)
+    masks = [rng.random((9, 8) if dims == 2 else (6, 5, 7)) < p for p in (0.45, 0.6)]
+    ring = np.zeros((12, 12) if dims == 2 else (6, 6, 6), bool)
+    ring[(slice(1, -1),) * dims] = True
+    ring[(slice(2, -2),) * dims] = False
+    rows = [("s", str(k), *map(int, at), int(m[tuple(at)])) for k, m in enumerate([*masks, ring]) for at in np.argwhere(np.ones_like(m))]
+    names = ["ax", "sag", "cor"][:dims]
+    df = spark.createDataFrame(rows, f"scan_id string, seg_id string, {', '.join(f'{c} int' for c in names)}, m smallint")
+    want = {tuple(r) for r in preprocess.fill_holes(df, dims).collect()}
+    assert sum(r[-1] for r in want) > sum(r[-1] for r in rows)
+    for tile in (3, 64):
+        got = preprocess.fill_holes(df, dims, one_task=0, tile=tile)
+        assert {tuple(r) for r in got.collect()} == want and got.dtypes == preprocess.fill_holes(df, dims).dtypes
