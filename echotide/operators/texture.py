@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from echotide.operators import graylevel
+from echotide.operators import graylevel, imagefilters, shape
 from echotide.schema import axes
 
 
@@ -98,31 +98,39 @@ def first_order_features(levels: DataFrame, keys: Sequence[str], width: float, v
 
 @dataclass(frozen=True)
 class Radiomics:
-    """A curve type over whole frames: features of the discretised intensities, by configuration (name, its entries)."""
+    """A curve type over whole frames: features of the discretised intensities, by configuration (name, its entries).
+
+    dims, and size and spacing in the order ax, sag, cor, are the image's; filters along axes need its size. A configuration without
+    featureClass asks for all classes (shape in 3-D only), one without imageType for the original image.
+    """
 
     configs: Sequence[tuple[str, Mapping]]
     min_intensity: float
     binwidth: float
     volume: float = 1.0
-
-    def wanted(self) -> list[tuple[str, float, str, str]]:
-        """(configuration, width of its bins, class, feature) of all features asked for; unknown ones raise ValueError."""
+    dims: int = 2
+    size: Sequence[int] = ()
+    spacing: Sequence[float] = ()
+
+    def wanted(self) -> list[tuple[str, str, str, list[str]]]:
+        """(configuration, image, class, features) of all that is asked for; unknown names raise ValueError. Shape is of the region, so of no filtered image."""
+        every = {**CLASSES, **({"shape": shape.SHAPE[3]} if self.dims == 3 else {})}
+        known = {**every, **({"shape2D": shape.SHAPE[2]} if self.dims == 2 else {})}
         out = []
         for name, config in self.configs:
-            width = float((config.get("setting") or {}).get("binWidth", 25))
-            for kind, features in (config.get("featureClass") or dict.fromkeys(CLASSES)).items():
-                if kind not in CLASSES:
-                    raise ValueError(f"unknown radiomics class: {kind}; known: {', '.join(sorted(CLASSES))}")
-                if bad := set(features or ()) - set(CLASSES[kind]):
-                    raise ValueError(f"unknown {kind} features: {', '.join(sorted(bad))}; known: {', '.join(CLASSES[kind])}")
-                out += [(name, width, kind, f) for f in features or CLASSES[kind]]
-            if bad := set(config.get("imageType") or {"Original"}) - {"Original"}:
-                raise ValueError(f"unknown radiomics image types: {', '.join(sorted(bad))}; known: Original")
+            imagefilters.check(config, bool(self.size))
+            for kind, features in (config.get("featureClass") or dict.fromkeys(every)).items():
+                if kind not in known:
+                    raise ValueError(f"unknown radiomics class: {kind}; known: {', '.join(sorted(known))}")
+                if bad := set(features or ()) - set(known[kind]):
+                    raise ValueError(f"unknown {kind} features: {', '.join(sorted(bad))}; known: {', '.join(known[kind])}")
+                images = ["original"] if kind.startswith("shape") else imagefilters.names(config, self.dims)
+                out += [(name, i, kind, list(features or known[kind])) for i in images]
         return out
 
     def names(self) -> list[str]:
         """Names of the curves."""
-        return [f"{name}_original_{kind}_{feature}" for name, _, kind, feature in self.wanted()]
+        return [f"{name}_{image}_{kind}_{f}" for name, image, kind, features in self.wanted() for f in features]
 
     def curves(self, cells: DataFrame, dims: int, keys: Sequence[str]) -> DataFrame:
         """(keys, curve_name, value) from cells (keys, spatial columns, value) of the mask.
@@ -130,19 +138,24 @@ class Radiomics:
         Each frame's first cell has the value 0 and counts as part of the mask. Features of co-occurrence and of runs are means over directions.
         """
         names, keys = axes(dims), list(keys)
+        spacing = list(self.spacing) or [1.0] * dims
         origin = reduce(lambda a, b: a & b, [F.col(c) == 0 for c in names])
         corner = cells.select(*keys).distinct().select(*keys, *(F.lit(0).alias(c) for c in names), F.lit(0.0).alias("value"))
         cells = cells.where(~origin).select(*keys, *names, F.col("value").cast("double").alias("value")).unionByName(corner)
-        levels = discretize(cells.withColumn("m", F.lit(1)), self.binwidth, self.min_intensity)
-        out, wanted = None, self.wanted()
-        for name, width, kind in dict.fromkeys(w[:3] for w in wanted):
-            features = [f for w in wanted if w[:3] == (name, width, kind) for f in w[3:]]
+        levels = discretize(cells.withColumn("m", F.lit(1)), self.binwidth, self.min_intensity).select(*keys, *names, F.col("level").cast("double").alias("value"))
+        made = {name: imagefilters.images(levels, dims, keys, config, self.size, spacing) for name, config in self.configs}
+        widths = {name: float((config.get("setting") or {}).get("binWidth", 25)) for name, config in self.configs}
+        out = None
+        for name, image, kind, features in self.wanted():
+            source = made[name].get(image, levels).select(*keys, *names, F.col("value").alias("level"), F.lit(1).alias("m"))
             if kind == "firstorder":
-                table = first_order_features(levels, keys, width, self.volume)
+                table = first_order_features(source, keys, widths[name], self.volume)
+            elif kind.startswith("shape"):
+                table = shape.shape_features(source, dims, keys, spacing)
             else:
-                gray = graylevel.gray_levels(levels, dims, keys, width)
+                gray = graylevel.gray_levels(source, dims, keys, widths[name])
                 table = graylevel.glcm_features(gray, dims, keys, features=features) if kind == "glcm" else MATRICES[kind](gray, dims, keys)
-            part = table.select(*keys, *(F.col(f"`{f}`").cast("double").alias(f"{name}_original_{kind}_{f}") for f in features))
+            part = table.select(*keys, *(F.col(f"`{f}`").cast("double").alias(f"{name}_{image}_{kind}_{f}") for f in features))
             part = part.unpivot(keys, part.columns[len(keys) :], "curve_name", "value")
             out = part if out is None else out.unionByName(part)
         return without_diagnostics(out)

@@ -137,7 +137,7 @@ def _radiomics(image: Image, pyradiomics_config_paths: Sequence[str], min_intens
         raise ValueError("pyradiomics_config_paths must be a list of paths")
     spark = image.voxels.sparkSession
     configs = [(images.stem(p), yaml.safe_load("\n".join(r[0] for r in spark.read.option("wholetext", True).text(p).collect())) or {}) for p in pyradiomics_config_paths]
-    out = texture.Radiomics(configs, float(min_intensity), float(binwidth), math.prod(image.pixdim))
+    out = texture.Radiomics(configs, float(min_intensity), float(binwidth), math.prod(image.pixdim), image.dims, image.size, _spacing(image.pixdim, image.dims))
     out.wanted()
     return out
 

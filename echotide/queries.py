@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from echotide.functions import lognormal, number
 from echotide.operators import curves as C
-from echotide.operators import fit, graylevel, paramap, preprocess, quantify, spectrum, texture, windows
+from echotide.operators import fit, graylevel, imagefilters, paramap, preprocess, quantify, shape, spectrum, texture, windows
 from echotide.sources import fixtures as X
 from echotide.sources import images, tables
 
@@ -605,6 +605,119 @@ def radiomics_glcm(spark, d):
     return table.select("frame", *(number(F.col(c), 5).alias(c) for c in features))
 
 
+# Shape of the mask with its first cell, and filtered images of its levels.
+
+
+def _region(spark, d, dims):
+    names = ["ax", "sag", "cor"][:dims]
+    m = X.mask(spark, d, dims)
+    origin = " AND ".join(f"{c} = 0" for c in names)
+    return m.where(f"m = 1 OR ({origin})").select("scan_id", "seg_id", *names)
+
+
+def _shape_query(spark, d, dims, spacing):
+    table = shape.shape_features(_region(spark, d, dims), dims, ["scan_id", "seg_id"], spacing)
+    return table.select("seg_id", *(number(F.col(c), 6).alias(c) for c in shape.SHAPE[dims]))
+
+
+def _ends_sql(dims: int, spacing) -> str:
+    """Mesh points pts, in doubled coordinates, and the largest distances between them."""
+    names = ["ax", "sag", "cor"][:dims]
+    faces = " UNION ALL ".join(f"SELECT {', '.join(f'2 * {c}' + (f' + {way}' if c == along else '') + f' AS {c}' for c in names)} FROM r" for along in names for way in (-1, 1))
+    far = " + ".join(f"power((a.{c} - b.{c}) * {s / 2}::DOUBLE, 2)" for c, s in zip(names, spacing))
+    planes = "".join(f", sqrt(max({far}) FILTER (a.{c} = b.{c})) AS d_{c}" for c in names)
+    return f"faces AS ({faces}), pts AS (SELECT {', '.join(names)} FROM faces GROUP BY ALL HAVING count(*) = 1), far AS (SELECT sqrt(max({far})) AS d{planes} FROM pts a, pts b)"
+
+
+SHAPE_2D = f"""WITH {CINE2}, r AS (SELECT ax, sag FROM cells WHERE m = 1 OR (ax = 0 AND sag = 0)), corners AS (SELECT ax - da AS ax, sag - ds AS sag, (da + ds) % 2 AS odd FROM r, (SELECT unnest([0, 1]) AS da), (SELECT unnest([0, 1]) AS ds)),
+b AS (SELECT count(*) AS n, count(*) = 2 AND sum(odd) IN (0, 2) AS diagonal FROM corners GROUP BY ax, sag),
+mesh AS (SELECT sum(CASE WHEN diagonal THEN sqrt(2::DOUBLE) WHEN n = 2 THEN 1 WHEN n IN (1, 3) THEN sqrt(0.5::DOUBLE) ELSE 0 END) AS p, sum(CASE WHEN diagonal THEN 0.25 ELSE [0.125, 0.5, 0.875, 1][n] END)::DOUBLE AS a FROM b),
+c AS (SELECT count(*) AS n, var_pop(ax) AS x, var_pop(sag) AS y, covar_pop(ax, sag) AS z FROM r), l AS (SELECT n, (x + y) / 2 + sqrt(power((x - y) / 2, 2) + z * z) AS l0, (x + y) / 2 - sqrt(power((x - y) / 2, 2) + z * z) AS l1 FROM c), {_ends_sql(2, (1, 1))}
+SELECT 'roi' AS seg_id, round(a, 6) AS "MeshSurface", round(n::DOUBLE, 6) AS "PixelSurface", round(p, 6) AS "Perimeter", round(p / a, 6) AS "PerimeterSurfaceRatio", round(2 * sqrt(pi() * a) / p, 6) AS "Sphericity", round(d, 6) AS "MaximumDiameter",
+round(4 * sqrt(l0), 6) AS "MajorAxisLength", round(4 * sqrt(l1), 6) AS "MinorAxisLength", round(sqrt(l1 / l0), 6) AS "Elongation" FROM mesh, l, far"""
+
+
+@query("radiomics_shape_2d", SHAPE_2D)
+def radiomics_shape_2d(spark, d):
+    return _shape_query(spark, d, 2, (1.0, 1.0))
+
+
+SPACING = (1.5, 0.8, 0.75)
+SHAPE_3D = f"""WITH {CINE3}, r AS (SELECT ax, sag, cor FROM cells WHERE m = 1 OR (ax = 0 AND sag = 0 AND cor = 0)),
+corners AS (SELECT ax - da AS ax, sag - ds AS sag, cor - dc AS cor, 1 << (4 * da + 2 * ds + dc) AS bit FROM r, (SELECT unnest([0, 1]) AS da), (SELECT unnest([0, 1]) AS ds), (SELECT unnest([0, 1]) AS dc)),
+b AS (SELECT ax, sag, cor, sum(bit)::INT AS code FROM corners GROUP BY ax, sag, cor), t(code, size, moment, va, vs, vc) AS (VALUES {", ".join(f"({r[0]}, {', '.join(f'{x!r}::DOUBLE' for x in r[1:])})" for r in shape.mesh_table(3, SPACING))}),
+mesh AS (SELECT sum(size) AS p, sum(moment + ax * 1.5 * va + sag * 0.8 * vs + cor * 0.75 * vc)::DOUBLE / 3 AS a FROM b JOIN t USING (code)),
+u AS (SELECT ax * 1.5::DOUBLE AS x, sag * 0.8::DOUBLE AS y, cor * 0.75::DOUBLE AS z FROM r), c AS (SELECT count(*) AS n, var_pop(x) AS xx, var_pop(y) AS yy, var_pop(z) AS zz, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz FROM u),
+q AS (SELECT *, (xx + yy + zz) / 3 AS q FROM c), p AS (SELECT *, sqrt((power(xx - q, 2) + power(yy - q, 2) + power(zz - q, 2) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS h FROM q),
+w AS (SELECT *, acos(least(1, greatest(-1, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * h * h * h)))) / 3 AS f FROM p),
+l AS (SELECT n, q + 2 * h * cos(f) AS l0, q + 2 * h * cos(f + 4 * pi() / 3) AS l1, q + 2 * h * cos(f + 2 * pi() / 3) AS l2 FROM w), {_ends_sql(3, SPACING)}
+SELECT 'roi' AS seg_id, round(a, 6) AS "MeshVolume", round(n * 0.9::DOUBLE, 6) AS "VoxelVolume", round(p, 6) AS "SurfaceArea", round(p / a, 6) AS "SurfaceVolumeRatio", round(power(36 * pi() * a * a, 1 / 3::DOUBLE) / p, 6) AS "Sphericity", round(d, 6) AS "Maximum3DDiameter",
+round(d_sag, 6) AS "Maximum2DDiameterSlice", round(d_ax, 6) AS "Maximum2DDiameterColumn", round(d_cor, 6) AS "Maximum2DDiameterRow", round(4 * sqrt(l0), 6) AS "MajorAxisLength", round(4 * sqrt(l1), 6) AS "MinorAxisLength", round(4 * sqrt(l2), 6) AS "LeastAxisLength",
+round(sqrt(l1 / l0), 6) AS "Elongation", round(sqrt(l2 / l0), 6) AS "Flatness" FROM mesh, l, far"""
+
+
+@query("radiomics_shape_3d", SHAPE_3D)
+def radiomics_shape_3d(spark, d):
+    return _shape_query(spark, d, 3, SPACING)
+
+
+#: Levels of the mask's cells as an image, and the sizes of its axes.
+IMAGE = f"{CINE2}, img AS (SELECT frame, ax, sag, floor(((CASE WHEN ax = 0 AND sag = 0 THEN 0 ELSE value END) - 80) / 5) + 1 AS v FROM vox WHERE m = 1 OR (ax = 0 AND sag = 0)), n AS (SELECT max(ax) + 1 AS na, max(sag) + 1 AS ns FROM cells)"
+
+
+def _image(spark, d):
+    """(cells with values, sizes) of the levels."""
+    cells = X.cine(spark, d, 2).join(X.mask(spark, d, 2), ["scan_id", "ax", "sag"])
+    levels = texture.discretize(texture.phantom_voxel(cells, 2), 5.0, 80.0).where("m = 1")
+    return levels.select("scan_id", "frame", "ax", "sag", F.col("level").cast("double").alias("value")), X.shape(spark, d, 2)
+
+
+def _images(found: dict[str, DataFrame]) -> DataFrame:
+    out = None
+    for name, image in found.items():
+        part = image.select(F.lit(name).alias("image"), "frame", "ax", "sag", number(F.col("value"), 6).alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("radiomics_wavelet", f"""WITH {IMAGE}, w(k, lo, hi) AS (VALUES (0, -0.01565572813546454, 0.0727326195128539), (1, -0.0727326195128539, 0.3378976624578092), (2, 0.38486484686420286, -0.8525720202122554), (3, 0.8525720202122554, 0.38486484686420286), (4, 0.3378976624578092, 0.0727326195128539), (5, -0.0727326195128539, -0.01565572813546454)),
+ta AS (SELECT t, CASE WHEN p = na THEN 0 ELSE p END AS s, lo::DOUBLE AS lo, hi::DOUBLE AS hi FROM (SELECT t, na, (t + 3 - k + na + na % 2) % (na + na % 2) AS p, lo, hi FROM n, w, (SELECT unnest(range(0, na)) AS t FROM n))),
+ts AS (SELECT t, CASE WHEN p = ns THEN 0 ELSE p END AS s, lo::DOUBLE AS lo, hi::DOUBLE AS hi FROM (SELECT t, ns, (t + 3 - k + ns + ns % 2) % (ns + ns % 2) AS p, lo, hi FROM n, w, (SELECT unnest(range(0, ns)) AS t FROM n))),
+a AS (SELECT frame, ax, t AS sag, sum(v * lo) AS l, sum(v * hi) AS h FROM img JOIN ts ON sag = s GROUP BY ALL),
+b AS (SELECT frame, t AS ax, sag, sum(l * lo) AS ll, sum(l * hi) AS lh, sum(h * lo) AS hl, sum(h * hi) AS hh FROM a JOIN ta ON ax = s GROUP BY ALL),
+f AS (SELECT frame, ax, sag, unnest(['wavelet-LL', 'wavelet-LH', 'wavelet-HL', 'wavelet-HH']) AS image, unnest([ll, lh, hl, hh]) AS v FROM img LEFT JOIN b USING (frame, ax, sag))
+SELECT image, frame, ax, sag, round(coalesce(v, 0), 6) + 0.0 AS value FROM f""")
+def radiomics_wavelet(spark, d):
+    cells, size = _image(spark, d)
+    return _images(imagefilters.wavelet(cells, 2, ["scan_id", "frame"], size))
+
+
+@query("radiomics_log", f"""WITH {IMAGE}, e AS (SELECT k, exp(-k * k / 4.5::DOUBLE) / sum(exp(-k * k / 4.5::DOUBLE)) OVER () AS g FROM (SELECT unnest(range(-6, 7)) AS k)),
+d0 AS (SELECT k, g, g * (k * k / 2.25::DOUBLE - 1) AS d FROM e), d1 AS (SELECT k, g, d - g * sum(d) OVER () AS d FROM d0), w AS (SELECT k, g, d * 2 / sum(d * k * k) OVER () AS d FROM d1),
+ta AS (SELECT t, greatest(0, least(na - 1, t + k)) AS s, sum(g) AS g, sum(d) AS d FROM n, w, (SELECT unnest(range(0, na)) AS t FROM n) GROUP BY ALL), ts AS (SELECT t, greatest(0, least(ns - 1, t + k)) AS s, sum(g) AS g, sum(d) AS d FROM n, w, (SELECT unnest(range(0, ns)) AS t FROM n) GROUP BY ALL),
+a AS (SELECT frame, t AS ax, sag, sum(v * g) AS s, sum(v * d) AS d FROM img JOIN ta ON ax = s GROUP BY ALL), b AS (SELECT a.frame, a.ax, ts.t AS sag, sum(a.s * ts.d) + sum(a.d * ts.g) AS v FROM a JOIN ts ON a.sag = ts.s GROUP BY ALL)
+SELECT 'log-sigma-1-5-mm-3D' AS image, frame, ax, sag, round(b.v * 2.25::DOUBLE, 6) + 0.0 AS value FROM img JOIN b USING (frame, ax, sag)""")
+def radiomics_log(spark, d):
+    cells, size = _image(spark, d)
+    return _images(imagefilters.images(cells, 2, ["scan_id", "frame"], {"imageType": {"LoG": {"sigma": [1.5]}}}, size, (1.0, 1.0)))
+
+
+@query("radiomics_gradient", f"""WITH {IMAGE}, spots AS (SELECT i.frame, i.ax, i.sag, least(i.ax + 1, na - 1) AS a1, greatest(i.ax - 1, 0) AS a0, least(i.sag + 1, ns - 1) AS s1, greatest(i.sag - 1, 0) AS s0 FROM img i, n)
+SELECT 'gradient' AS image, t.frame, t.ax, t.sag, round(sqrt(power((coalesce(a.v, 0) - coalesce(b.v, 0)) / 2 / 0.5, 2) + power((coalesce(c.v, 0) - coalesce(e.v, 0)) / 2 / 2.0, 2)), 6) + 0.0 AS value FROM spots t
+LEFT JOIN img a ON a.frame = t.frame AND a.ax = t.a1 AND a.sag = t.sag LEFT JOIN img b ON b.frame = t.frame AND b.ax = t.a0 AND b.sag = t.sag LEFT JOIN img c ON c.frame = t.frame AND c.ax = t.ax AND c.sag = t.s1 LEFT JOIN img e ON e.frame = t.frame AND e.ax = t.ax AND e.sag = t.s0""")
+def radiomics_gradient(spark, d):
+    cells, size = _image(spark, d)
+    return _images({"gradient": imagefilters.gradient(cells, 2, ["scan_id", "frame"], size, (0.5, 2.0))})
+
+
+@query("radiomics_pointwise", f"""WITH {IMAGE}, t AS (SELECT *, max(abs(v)) OVER (PARTITION BY frame) AS top FROM img),
+f AS (SELECT frame, ax, sag, unnest(['square', 'squareroot', 'logarithm', 'exponential']) AS image, unnest([v * v / top, sign(v) * sqrt(abs(v) * top), sign(v) * ln(abs(v) + 1) * top / ln(top + 1), exp(ln(top) / top * v)]) AS v FROM t)
+SELECT image, frame, ax, sag, round(v, 6) + 0.0 AS value FROM f""")
+def radiomics_pointwise(spark, d):
+    cells, _ = _image(spark, d)
+    return _images(imagefilters.images(cells, 2, ["scan_id", "frame"], {"imageType": dict.fromkeys(("Square", "SquareRoot", "Logarithm", "Exponential"))}))
+
+
 @query("power_spectrum", f"""WITH {CURVE}, l AS (SELECT scan_id, frame, value, count(*) OVER (PARTITION BY scan_id) AS size FROM timed),
 t AS (SELECT *, 0.5 - 0.5 * cos(2 * pi() * frame / (size - 1)) AS w FROM l), x AS (SELECT scan_id, frame, size, value * w / sqrt(avg(w * w) OVER (PARTITION BY scan_id)) AS x FROM t),
 b AS (SELECT unnest(range(16, 48))::INT AS bin),
