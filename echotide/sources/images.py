@@ -9,7 +9,8 @@ from __future__ import annotations
 import gzip
 import re
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,10 +28,27 @@ def stem(path: str) -> str:
     return path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
 
 
-def parse_nifti(data: bytes, transpose: bool = False) -> tuple[np.ndarray, list[float], float]:
-    """Voxels as unsigned bytes, mm per cell, seconds per frame (1 where the header has none)."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+@dataclass(frozen=True)
+class NiftiHeader:
+    """What a NIfTI-1 header says: the file's axes from the fastest on, how its numbers are stored and scaled, mm per cell, seconds per frame (1 where it has none)."""
+
+    shape: tuple[int, ...]
+    dtype: str
+    offset: int
+    slope: float
+    inter: float
+    pixdim: tuple[float, ...]
+    rate: float
+
+    def cast(self, raw: np.ndarray) -> np.ndarray:
+        """Stored numbers as unsigned bytes."""
+        if self.slope not in (0.0, 1.0) or (self.slope and self.inter):
+            raw = raw * self.slope + self.inter
+        return raw.astype(np.uint8)
+
+
+def nifti_header(data: bytes) -> NiftiHeader:
+    """The header that the first 352 bytes are."""
     order = next((o for o in "<>" if len(data) >= 352 and struct.unpack(f"{o}i", data[:4])[0] == 348), None)
     if order is None:
         raise ValueError("not a NIfTI-1 file")
@@ -40,25 +58,34 @@ def parse_nifti(data: bytes, transpose: bool = False) -> tuple[np.ndarray, list[
         raise ValueError(f"NIfTI data type {kind} isn't supported")
     zoom = struct.unpack(f"{order}8f", data[76:108])
     offset, slope, inter = struct.unpack(f"{order}3f", data[108:120])
-    shape = dim[1 : dim[0] + 1]
-    voxels = np.frombuffer(data, np.dtype(order + NIFTI_TYPES[kind]), int(np.prod(shape)), int(offset)).reshape(shape, order="F")
-    if slope not in (0.0, 1.0) or (slope and inter):
-        voxels = voxels * slope + inter
-    voxels = voxels.astype(np.uint8)
     rate = 1 / zoom[4] if dim[0] >= 4 and zoom[4] > 0 else 1.0
-    return (voxels.T if transpose else voxels), [float(z) for z in zoom[1 : min(dim[0], 3) + 1]], float(rate)
+    return NiftiHeader(tuple(dim[1 : dim[0] + 1]), order + NIFTI_TYPES[kind], int(offset), slope, inter, tuple(float(z) for z in zoom[1 : min(dim[0], 3) + 1]), float(rate))
 
 
-def write_nifti(voxels: np.ndarray, pixdim: list[float], frame_step: float = 0.0) -> bytes:
-    """A NIfTI-1 file of unsigned bytes."""
-    head = bytearray(352)
+def parse_nifti(data: bytes, transpose: bool = False) -> tuple[np.ndarray, list[float], float]:
+    """Voxels as unsigned bytes, mm per cell, seconds per frame (1 where the header has none)."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
+    h = nifti_header(data)
+    voxels = h.cast(np.frombuffer(data, np.dtype(h.dtype), int(np.prod(h.shape)), h.offset).reshape(h.shape, order="F"))
+    return (voxels.T if transpose else voxels), list(h.pixdim), h.rate
+
+
+def nifti_head(shape: Sequence[int], pixdim: Sequence[float], frame_step: float = 0.0, dtype: str = "u1") -> bytes:
+    """The header of a NIfTI-1 file, 352 bytes."""
+    head, code = bytearray(352), next(k for k, t in NIFTI_TYPES.items() if t == dtype)
     struct.pack_into("<i", head, 0, 348)
-    struct.pack_into("<8h", head, 40, voxels.ndim, *voxels.shape, *[1] * (7 - voxels.ndim))
-    struct.pack_into("<2h", head, 70, 2, 8)
-    struct.pack_into("<8f", head, 76, 1.0, *pixdim, *([frame_step] if voxels.ndim == 4 else []), *[0.0] * (7 - len(pixdim) - (voxels.ndim == 4)))
+    struct.pack_into("<8h", head, 40, len(shape), *shape, *[1] * (7 - len(shape)))
+    struct.pack_into("<2h", head, 70, code, 8 * np.dtype(dtype).itemsize)
+    struct.pack_into("<8f", head, 76, 1.0, *pixdim, *([frame_step] if len(shape) == 4 else []), *[0.0] * (7 - len(pixdim) - (len(shape) == 4)))
     struct.pack_into("<f", head, 108, 352.0)
     head[344:348] = b"n+1\0"
-    return bytes(head) + np.asfortranarray(voxels.astype(np.uint8)).tobytes(order="F")
+    return bytes(head)
+
+
+def write_nifti(voxels: np.ndarray, pixdim: list[float], frame_step: float = 0.0) -> bytes:
+    """A NIfTI-1 file of unsigned bytes."""
+    return nifti_head(voxels.shape, pixdim, frame_step) + np.asfortranarray(voxels.astype(np.uint8)).tobytes(order="F")
 
 
 def parse_avi(data: bytes, luma: tuple[float, float, float] = (0.114, 0.587, 0.299)) -> tuple[np.ndarray, float]:
