@@ -8,12 +8,13 @@ round, until nothing changes. So neither an array nor a component needs to fit i
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,13 +24,21 @@ from echotide.schema import axes
 TILE, BITS = {2: 512, 3: 64}, 21
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; a local session without one gets a temporary one."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in the folder that driver and executors share (spark.checkpoint.dir); a local session without one gets its own."""
+    """df from a checkpoint in the folder that driver and executors share."""
     sc = df.sparkSession.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") is None and sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(scratch_folder(df.sparkSession))
     return df.checkpoint()
 
 

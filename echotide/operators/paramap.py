@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echotide.functions import finite
-from echotide.operators.windows import window_cells
+from echotide.operators.windows import dims_of, window_cells
 from echotide.schema import ROI, axes
 
 #: Names of the colour maps that parameters take in turn.
@@ -23,14 +23,14 @@ def finite_values(quants: DataFrame) -> DataFrame:
     return quants.join(ends, "key").withColumn("value", value).drop("low", "high")
 
 
-def paramap(quants: DataFrame, mask: DataFrame, windows: DataFrame, step: Sequence[int], params: Sequence[str] | None = None) -> DataFrame:
+def paramap(quants: DataFrame, mask: DataFrame, windows: DataFrame, step: Sequence[int] | DataFrame, params: Sequence[str] | None = None) -> DataFrame:
     """(scan_id, seg_id, param, cells, value): at each cell, the mean over windows that hold it; null where none has a value.
 
     Rows exist for all cells of the array that a window covers. All keys are mapped unless params are named.
     """
     chosen = quants if params is None else quants.where(F.col("key").isin(*params))
     cells = window_cells(mask, windows, step)
-    return cells.join(finite_values(chosen), [*ROI, "window_ix"]).groupBy(*ROI, F.col("key").alias("param"), *axes(len(step))).agg(F.avg("value").cast("float").alias("value"))
+    return cells.join(finite_values(chosen), [*ROI, "window_ix"]).groupBy(*ROI, F.col("key").alias("param"), *axes(dims_of(step))).agg(F.avg("value").cast("float").alias("value"))
 
 
 def trim(maps: DataFrame, mask: DataFrame, dims: int) -> DataFrame:

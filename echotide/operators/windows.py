@@ -37,43 +37,55 @@ def steps(lengths: Sequence[float], overlaps: Sequence[float], resolution: Seque
     return out
 
 
-def window_grid(mask: DataFrame, step: Sequence[int], coverage: float = COVERAGE) -> DataFrame:
+def dims_of(step: Sequence[int] | DataFrame) -> int:
+    """Axes of window steps: cells per axis, or a table (scan_id, step_ per axis)."""
+    return sum(c.startswith("step_") for c in step.columns) if isinstance(step, DataFrame) else len(step)
+
+
+def _stepped(mask: DataFrame, step: Sequence[int] | DataFrame) -> DataFrame:
+    """mask with step_ per axis: the same for all scans, or each scan's own."""
+    if isinstance(step, DataFrame):
+        return mask.join(step, "scan_id")
+    return mask.withColumns({f"step_{c}": F.lit(int(s)) for c, s in zip(axes(len(step)), step)})
+
+
+def window_grid(mask: DataFrame, step: Sequence[int] | DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """Windows of each region: window_ix, start and end per axis, and k_ per axis, the place in the grid.
 
     Starts run from the box's lower edge to below its upper edge. A window stays where the mask equals 1 in
     more than `coverage` of the cells of [start, start + step), cut at the array's edge. mask is dense.
     """
-    names = axes(len(step))
-    boxed = mask.join(bounding_box(mask, len(step)), ROI)
-    for c, s in zip(names, step):
+    names = axes(dims_of(step))
+    boxed = _stepped(mask, step).join(bounding_box(mask, len(names)), ROI)
+    for c in names:
         off = F.col(c) - F.col(f"min_{c}")
-        boxed = boxed.where(off >= 0).withColumn(f"k_{c}", F.floor(off / s).cast("int"))
-    starts = {c: F.col(f"min_{c}") + F.col(f"k_{c}") * s for c, s in zip(names, step)}
-    grid = boxed.groupBy(*ROI, *(f"k_{c}" for c in names)).agg(F.avg((F.col("m") == 1).cast("double")).alias("share"), *(F.first(f"{e}_{c}").alias(f"{e}_{c}") for c in names for e in ("min", "max")))
+        boxed = boxed.where(off >= 0).withColumn(f"k_{c}", F.floor(off / F.col(f"step_{c}")).cast("int"))
+    starts = {c: F.col(f"min_{c}") + F.col(f"k_{c}") * F.col(f"step_{c}") for c in names}
+    grid = boxed.groupBy(*ROI, *(f"k_{c}" for c in names)).agg(F.avg((F.col("m") == 1).cast("double")).alias("share"), *(F.first(f"{e}_{c}").alias(f"{e}_{c}") for c in names for e in ("min", "max", "step")))
     grid = grid.where(F.col("share") > coverage)
     for c in names:
         grid = grid.where(starts[c] < F.col(f"max_{c}"))
-    grid = grid.select(*ROI, *(x for c, s in zip(names, step) for x in (F.col(f"k_{c}"), starts[c].alias(f"{c}_start"), (starts[c] + s).alias(f"{c}_end"))))
+    grid = grid.select(*ROI, *(x for c in names for x in (F.col(f"k_{c}"), starts[c].alias(f"{c}_start"), (starts[c] + F.col(f"step_{c}")).alias(f"{c}_end"))))
     order = Window.partitionBy(*ROI).orderBy(*(f"{c}_start" for c in names))
     return grid.withColumn("window_ix", (F.row_number().over(order) - 1).cast("int"))
 
 
-def _places(offset: Column, step: int) -> Column:
+def _places(offset: Column, step: Column) -> Column:
     """Grid places whose box [start, start + step], both ends in, holds an offset from the first start."""
     k = F.floor(offset / step).cast("int")
     return F.when((offset % step == 0) & (k >= 1), F.array(k - 1, k)).otherwise(F.array(k))
 
 
-def window_cells(mask: DataFrame, windows: DataFrame, step: Sequence[int]) -> DataFrame:
+def window_cells(mask: DataFrame, windows: DataFrame, step: Sequence[int] | DataFrame) -> DataFrame:
     """(scan_id, seg_id, window_ix, spatial columns): the cells of the array in each window.
 
     Boxes have both ends in, reach past the region, and are cut at the array's edge.
     """
-    names = axes(len(step))
-    cells = mask.join(bounding_box(mask, len(step)), ROI)
-    for c, s in zip(names, step):
+    names = axes(dims_of(step))
+    cells = _stepped(mask, step).join(bounding_box(mask, len(names)), ROI)
+    for c in names:
         off = F.col(c) - F.col(f"min_{c}")
-        cells = cells.where(off >= 0).withColumn(f"k_{c}", F.explode(_places(off, s)))
+        cells = cells.where(off >= 0).withColumn(f"k_{c}", F.explode(_places(off, F.col(f"step_{c}"))))
     return cells.join(windows.select(*ROI, "window_ix", *(f"k_{c}" for c in names)), [*ROI, *(f"k_{c}" for c in names)]).select(*ROI, "window_ix", *names)
 
 

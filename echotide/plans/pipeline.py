@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from echotide.operators import curves as C
 from echotide.operators import fit, paramap, preprocess, quantify, texture, windows
+from echotide.plans import study
 from echotide.plans.registry import Registry, check_arguments, check_suffix
-from echotide.sources import images, tables
+from echotide.plans.study import Study
+from echotide.sources import arrays, images, tables
 
 SCAN_LOADERS, SEG_LOADERS, CURVE_LOADERS = Registry("scan loader"), Registry("mask loader"), Registry("curve loader")
 SCAN_STEPS, SEG_STEPS = Registry("scan preprocessing"), Registry("mask preprocessing")
@@ -53,16 +55,25 @@ class Analysis:
     curves: DataFrame
     windows: DataFrame | None = None
     mask: DataFrame | None = None
-    step: tuple[int, ...] = ()
-    image: Image | None = None
+    step: tuple[int, ...] | DataFrame = ()
+    image: Image | Study | None = None
 
 
 def _loader(kind: str):
-    def load(spark: SparkSession, path: str, **options) -> Image:
-        scans, voxels = images.read_dicom_folder(spark, path, **options) if kind == "dicom" else images.read_scans(spark, path, kind, **options)
-        s = scans.first()
-        if s is None:
+    def load(spark: SparkSession, path: str, **options) -> Image | Study:
+        """One scan, or a study where the path matches several. NIfTI is read by ranges, unless a decoder or a listing of files is given."""
+        if kind == "dicom":
+            scans, voxels = images.read_dicom_folder(spark, path, **options)
+        elif kind == "nifti" and not set(options) - {"transpose"}:
+            scans, voxels = (arrays.read_nifti(spark, path, table, options.get("transpose", False)) for table in ("scans", "voxels"))
+        else:
+            scans, voxels = images.read_scans(spark, path, kind, **options)
+        found = scans.limit(2).collect()
+        if not found:
             raise ValueError(f"nothing to read at {path}")
+        if len(found) > 1:
+            return study.study_of(scans, voxels)
+        s = found[0]
         return Image(s["scan_id"], voxels, tuple(s["shape"]), tuple(s["pixdim"]), s["frame_rate"], pixel_type=s["pixel_type"])
 
     return load
@@ -74,14 +85,22 @@ SCAN_LOADERS.add("mp4", required=("decoder",), suffixes=(".mp4",))(_loader("mp4"
 SCAN_LOADERS.add("custom_dicom")(_loader("dicom"))
 
 
+#: In a study, what of a mask's name is its scan's: all of it, or what stands before _seg or _mask.
+SCAN_OF_MASK = "^(.*?)(?:_(?:seg|mask).*)?$"
+
+
 @SEG_LOADERS.add("nifti", suffixes=(".nii", ".nii.gz"))
-def _nifti_mask(spark: SparkSession, image: Image, path: str, **_) -> DataFrame:
-    return images.read_masks(spark, path, image.scan_id)
+def _nifti_mask(spark: SparkSession, image: Image | Study, path: str, scan_of_mask: str = SCAN_OF_MASK, **_) -> DataFrame:
+    """Masks of the scan; in a study, each is the scan's that the first group of scan_of_mask finds in its name."""
+    if isinstance(image, Image):
+        return arrays.read_nifti(spark, path, "mask", scan_id=image.scan_id)
+    return arrays.read_nifti(spark, path, "mask").withColumn("scan_id", F.regexp_extract("seg_id", scan_of_mask, 1))
 
 
 @SEG_LOADERS.add("load_bolus_mask", suffixes=(".nii", ".nii.gz"))
 def _bolus_mask(spark: SparkSession, image: Image, path: str, **_) -> DataFrame:
     """A mask over time: one mask by maximum, cropped to the image, holes filled."""
+    one_scan(image, "load_bolus_mask")
     files = spark.read.format("binaryFile").load(path)
     _, cells = images.read_scans(spark, path, "nifti", files=files, transpose=True)
     over_time = cells.select(F.lit(image.scan_id).alias("scan_id"), F.col("scan_id").alias("seg_id"), "ax", "sag", "cor", F.col("value").cast("smallint").alias("m"))
@@ -93,12 +112,18 @@ def _curves_csv(spark: SparkSession, path: str, **_) -> DataFrame:
     return tables.load_curves(spark, path)
 
 
+def one_scan(image: Image | Study, what: str) -> None:
+    if not isinstance(image, Image):
+        raise ValueError(f"{what} takes one scan, not a study")
+
+
 @SCAN_STEPS.add("standardize")
-def _standardize(image: Image, arr_to_standardize: str = "both", **_) -> Image:
+def _standardize(image: Image | Study, arr_to_standardize: str = "both", **_) -> Image:
     if arr_to_standardize not in ("both", "intensities", "pixel_data"):
         raise ValueError("arr_to_standardize must be 'both', 'intensities' or 'pixel_data'")
     wanted = {"both": ("value", "pixel"), "intensities": ("value",), "pixel_data": ("pixel",)}[arr_to_standardize]
-    return replace(image, voxels=preprocess.standardize(image.voxels, [c for c in wanted if c in image.voxels.columns]), pixel_type="float64")
+    out = replace(image, voxels=preprocess.standardize(image.voxels, [c for c in wanted if c in image.voxels.columns]))
+    return replace(out, pixel_type="float64") if isinstance(out, Image) else replace(out, scans=out.scans.withColumn("pixel_type", F.lit("float64")))
 
 
 def _spacing(values: Sequence[float], dims: int) -> list[float]:
@@ -107,7 +132,9 @@ def _spacing(values: Sequence[float], dims: int) -> list[float]:
 
 
 @SCAN_STEPS.add("resample", required=("target_vox_size", "interp"))
-def _resample(image: Image, target_vox_size: Sequence[float], interp: str = "linear", **_) -> Image:
+def _resample(image: Image | Study, target_vox_size: Sequence[float], interp: str = "linear", **_) -> Image | Study:
+    if isinstance(image, Study):
+        return study.resample(image, target_vox_size, interp)
     old, new = _spacing(image.pixdim, image.dims), _spacing(target_vox_size, image.dims)
     voxels = preprocess.resample(image.voxels.drop("cor") if image.dims == 2 else image.voxels, image.size, old, new, interp)
     voxels = preprocess.to_pixel_type(voxels, image.pixel_type)
@@ -117,7 +144,9 @@ def _resample(image: Image, target_vox_size: Sequence[float], interp: str = "lin
 
 
 @SEG_STEPS.add("resample", required=("target_vox_size", "interp"))
-def _resample_mask(image: Image, mask: DataFrame, target_vox_size: Sequence[float], interp: str = "nearest", **_) -> DataFrame:
+def _resample_mask(image: Image | Study, mask: DataFrame, target_vox_size: Sequence[float], interp: str = "nearest", **_) -> DataFrame:
+    if isinstance(image, Study):
+        return study.resample_masks(image, mask, target_vox_size, interp)
     old = image.original_pixdim or image.pixdim
     names = ["ax", "sag", "cor"][: image.dims]
     top = mask.agg(*(F.max(c).alias(c) for c in names)).first()
@@ -129,7 +158,7 @@ CURVE_TYPES.add("firstorder")(lambda image, **_: texture.radiomics_first_order)
 
 
 @CURVE_TYPES.add("pyradiomics", required=("pyradiomics_config_paths", "min_intensity", "binwidth"))
-def _radiomics(image: Image, pyradiomics_config_paths: Sequence[str], min_intensity: float, binwidth: float, **_) -> texture.Radiomics:
+def _radiomics(image: Image | Study, pyradiomics_config_paths: Sequence[str], min_intensity: float, binwidth: float, **_) -> C.FrameType:
     """Features of each frame, named by configuration file. Features that aren't known raise ValueError before any work."""
     import yaml
 
@@ -137,37 +166,54 @@ def _radiomics(image: Image, pyradiomics_config_paths: Sequence[str], min_intens
         raise ValueError("pyradiomics_config_paths must be a list of paths")
     spark = image.voxels.sparkSession
     configs = [(images.stem(p), yaml.safe_load("\n".join(r[0] for r in spark.read.option("wholetext", True).text(p).collect())) or {}) for p in pyradiomics_config_paths]
-    out = texture.Radiomics(configs, float(min_intensity), float(binwidth), math.prod(image.pixdim), image.dims, image.size, _spacing(image.pixdim, image.dims))
-    out.wanted()
+    make = lambda spacing, size: texture.Radiomics(configs, float(min_intensity), float(binwidth), math.prod(spacing), image.dims, size, spacing)
+    out = make(_spacing(image.pixdim, image.dims), image.size) if isinstance(image, Image) else study.per_geometry(image, make)
+    out.names()
     return out
 
 
-def _both(image: Image, types: Sequence, columns, tables_of) -> DataFrame:
+def frame_curve_type(name: str, curve_names: Sequence[str], *, required: Sequence[str] = ()):
+    """Decorator that registers a function of arrays as a curve type: (frame, mask, **arguments) gives names and values. Arguments are the analysis's own."""
+
+    def register(f):
+        CURVE_TYPES.add(name, required=required)(lambda image, **options: C.FrameFunction(f, tuple(curve_names), options))
+        return f
+
+    return register
+
+
+def _both(image: Image | Study, types: Sequence, columns, tables_of) -> DataFrame:
     """Curves of types over values and of those over whole frames; a name that two of them give is an error."""
-    over_frames = [t for t in types if isinstance(t, texture.Radiomics)]
+    over_frames = [t for t in types if isinstance(t, C.FrameType)]
     names = [n for t in over_frames for n in t.names()]
     if len(set(names)) < len(names):
         raise ValueError(f"duplicate curve names: {sorted({n for n in names if names.count(n) > 1})}")
-    over_values = [t for t in types if not isinstance(t, texture.Radiomics)]
+    over_values = [t for t in types if not isinstance(t, C.FrameType)]
     parts = ([columns(over_values)] if over_values else []) + [tables_of(t) for t in over_frames]
     return reduce(DataFrame.unionByName, parts)
 
 
 @ANALYSES.add("curves")
-def _roi(image: Image, mask: DataFrame, types, **_) -> Analysis:
+def _roi(image: Image | Study, mask: DataFrame, types, **_) -> Analysis:
     """A frame without a result repeats the one before it."""
-    frames = image.voxels.sparkSession.range(image.frames).select(F.lit(image.scan_id).alias("scan_id"), F.col("id").cast("int").alias("frame"))
-    found = _both(image, types, lambda t: C.roi_curves(image.voxels, mask, image.dims, t, image.frame_rate, frames), lambda t: C.roi_texture(image.voxels, mask, image.dims, t.curves, t.names(), image.frame_rate, frames))
-    return Analysis(C.fill_gaps(found), mask=mask, image=image)
+    if isinstance(image, Study):
+        frames, rate = image.frames(), 1.0
+    else:
+        frames, rate = image.voxels.sparkSession.range(image.frames).select(F.lit(image.scan_id).alias("scan_id"), F.col("id").cast("int").alias("frame")), image.frame_rate
+    found = _both(image, types, lambda t: C.roi_curves(image.voxels, mask, image.dims, t, rate, frames), lambda t: C.roi_texture(image.voxels, mask, image.dims, t.curves, t.names(), rate, frames, getattr(t, "around", False)))
+    filled = C.fill_gaps(found)
+    return Analysis(image.timed(filled) if isinstance(image, Study) else filled, mask=mask, image=image)
 
 
 @ANALYSES.add("curves_paramap", required=("ax_vox_len", "sag_vox_len", "cor_vox_len", "ax_vox_ovrlp", "sag_vox_ovrlp", "cor_vox_ovrlp"))
-def _windowed(image: Image, mask: DataFrame, types, axis_res: Sequence[float] | None = None, **k) -> Analysis:
+def _windowed(image: Image | Study, mask: DataFrame, types, axis_res: Sequence[float] | None = None, **k) -> Analysis:
     """Resolutions are pixdim in its own order (ax, sag, cor), unless axis_res names them."""
     names = ["ax", "sag", "cor"][: image.dims]
-    step = windows.steps([k[f"{c}_vox_len"] for c in names], [k[f"{c}_vox_ovrlp"] for c in names], axis_res or image.pixdim)
-    found = _both(image, types, lambda t: C.window_curves(image.voxels, mask, step, t, image.frame_rate), lambda t: C.window_texture(image.voxels, mask, step, t.curves, image.frame_rate))
-    return Analysis(found, windows.window_grid(mask, step), mask, tuple(step), image)
+    lengths, overlaps, many = [k[f"{c}_vox_len"] for c in names], [k[f"{c}_vox_ovrlp"] for c in names], isinstance(image, Study)
+    step = study.steps(image, lengths, overlaps, axis_res) if many else tuple(windows.steps(lengths, overlaps, axis_res or image.pixdim))
+    rate = 1.0 if many else image.frame_rate
+    found = _both(image, types, lambda t: C.window_curves(image.voxels, mask, step, t, rate), lambda t: C.window_texture(image.voxels, mask, step, t.curves, rate))
+    return Analysis(image.timed(found) if many else found, windows.window_grid(mask, step), mask, step, image)
 
 
 @QUANTIFIERS.add("first_order_full")
@@ -213,7 +259,7 @@ def _q_auc(curves: DataFrame, done: dict, tic_name: str, **_) -> DataFrame:
 @VISUALS.add("paramap")
 def _v_paramap(analysis: Analysis, quants: DataFrame, params: Sequence[str] | None = None, **_) -> DataFrame:
     maps = paramap.paramap(quants, analysis.mask, analysis.windows, analysis.step, params or None)
-    return paramap.trim(maps, analysis.mask, len(analysis.step))
+    return paramap.trim(maps, analysis.mask, windows.dims_of(analysis.step))
 
 
 @VISUALS.add("plot_tics")
@@ -221,14 +267,14 @@ def _v_tics(analysis: Analysis, quants: DataFrame, start_time: float = 0.0, end_
     return C.mean_curve(analysis.curves, start_time, end_time)
 
 
-def scan_loading_step(spark: SparkSession, scan_type: str, scan_path: str, **options) -> Image:
+def scan_loading_step(spark: SparkSession, scan_type: str, scan_path: str, **options) -> Image | Study:
     loader = SCAN_LOADERS.get(scan_type)
     check_suffix(loader, scan_path)
     check_arguments([loader], options)
     return loader.run(spark, scan_path, **options)
 
 
-def scan_preprocessing_step(names: Sequence[str] | None, image: Image, **options) -> Image:
+def scan_preprocessing_step(names: Sequence[str] | None, image: Image | Study, **options) -> Image | Study:
     steps = SCAN_STEPS.chosen(names)
     check_arguments(steps, options)
     for s in steps:
@@ -236,14 +282,14 @@ def scan_preprocessing_step(names: Sequence[str] | None, image: Image, **options
     return image
 
 
-def seg_loading_step(spark: SparkSession, seg_type: str, image: Image, seg_path: str, **options) -> DataFrame:
+def seg_loading_step(spark: SparkSession, seg_type: str, image: Image | Study, seg_path: str, **options) -> DataFrame:
     loader = SEG_LOADERS.get(seg_type)
     check_suffix(loader, seg_path)
     check_arguments([loader], options)
     return loader.run(spark, image, seg_path, **options)
 
 
-def seg_preprocessing_step(names: Sequence[str] | None, image: Image, mask: DataFrame, **options) -> DataFrame:
+def seg_preprocessing_step(names: Sequence[str] | None, image: Image | Study, mask: DataFrame, **options) -> DataFrame:
     steps = SEG_STEPS.chosen(names)
     check_arguments(steps, options)
     for s in steps:
@@ -251,7 +297,7 @@ def seg_preprocessing_step(names: Sequence[str] | None, image: Image, mask: Data
     return mask
 
 
-def analysis_step(analysis_type: str, image: Image, mask: DataFrame, functions: Sequence[str], **options) -> Analysis:
+def analysis_step(analysis_type: str, image: Image | Study, mask: DataFrame, functions: Sequence[str], **options) -> Analysis:
     """Coronal arguments aren't asked for in 2-D."""
     analysis, types = ANALYSES.get(analysis_type), CURVE_TYPES.chosen(functions)
     check_arguments([analysis, *types], options, ("cor_vox_len", "cor_vox_ovrlp") if image.dims == 2 else ())
@@ -288,11 +334,29 @@ def visualization_step(analysis: Analysis, quants: DataFrame, visual: str = "par
     if folder and not options.get("hide_all_visualizations", False):
         for name, d in out.items():
             (d.write.partitionBy("param") if "param" in d.columns else d.write).parquet(f"{folder}/{name}")
-        if analysis.image is not None:
+        if isinstance(analysis.image, Study):
+            tables.export_images(analysis.image.voxels, analysis.mask, analysis.image.scans, folder)
+        elif analysis.image is not None:
             tables.export_image(analysis.image.voxels, analysis.mask, analysis.image.scan_id, analysis.image.pixdim, folder)
+            if options.get("array_format") == "npy":
+                _export_arrays(analysis, out, folder)
     return out
 
 
+def _export_arrays(analysis: Analysis, out: Mapping[str, DataFrame], folder: str) -> None:
+    """What a viewer loads as arrays: image, segmentation, and each map; in the order of the file's axes, by slabs."""
+    image = analysis.image
+    columns, space = (("frame", "ax", "sag"), ("ax", "sag")) if image.dims == 2 else (("sag", "cor", "ax", "frame"), ("sag", "cor", "ax"))
+    sizes = [image.shape[columns.index(c)] for c in space]
+    arrays.write_array(image.voxels, f"{folder}/image.npy", columns, image.shape, dtype="|u1" if image.pixel_type == "uint8" else "<f4")
+    for s in [r[0] for r in analysis.mask.select("seg_id").distinct().collect()]:
+        arrays.write_array(analysis.mask.where(F.col("seg_id") == s), f"{folder}/segmentation-{s}.npy", space, sizes, dtype="|u1", value="m")
+        for name, d in out.items():
+            if "param" in d.columns:
+                for p in [r[0] for r in d.select("param").distinct().collect()]:
+                    arrays.write_array(d.where((F.col("seg_id") == s) & (F.col("param") == p) & F.col("value").isNotNull()), f"{folder}/{s}-{p}_numerical.npy", space, sizes)
+
+
 def main_dict(spark: SparkSession, config: Mapping) -> dict:
     """A run from a configuration: from a scan and a mask, or from saved curves. Null entries count as empty."""
     c = {k: v for k, v in config.items() if v is not None}

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from echotide.functions import lognormal, number
 from echotide.operators import curves as C
 from echotide.operators import fit, graylevel, imagefilters, paramap, preprocess, quantify, shape, spectrum, texture, windows
+from echotide.operators.components import scratch_folder
+from echotide.plans import study
+from echotide.sources import arrays, images, tables
 from echotide.sources import fixtures as X
-from echotide.sources import images, tables
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -729,6 +731,76 @@ def power_spectrum(spark, d):
     return p.select("scan_id", "bin", F.round("frequency", 9).alias("frequency"), number(F.log1p("power"), 5).alias("log_power"))
 
 
+# Studies: scans of unlike shape in one plan ----------------------------------------------------------
+
+
+def _study(spark, d):
+    scans, voxels, mask = X.study_tables(spark, d)
+    return study.study_of(scans, voxels), mask
+
+
+def _scan_sql(name: str) -> str:
+    """cells and vox of a scan of the study."""
+    width, frames, _, _ = X.SCANS[name]
+    return f"""cells AS (SELECT (vec_id // {width})::INT AS ax, (vec_id % {width})::INT AS sag, (label < 5)::INT AS m, embedding FROM embeddings),
+vox AS (SELECT ax, sag, m, (i - 1)::INT AS frame, floor((embedding[i]::DOUBLE + 1) * 100) AS value FROM cells, (SELECT unnest(generate_series(1, {frames}))::INT AS i))"""
+
+
+#: Spacing that the study is resampled to; mm and overlap of its windows.
+COMMON, WINDOW_MM, OVERLAP = (1.2171, 0.9337), (6.0, 6.0), (25.0, 25.0)
+
+
+def _study_curves_sql(name: str) -> str:
+    _, _, old, rate = X.SCANS[name]
+    axis = lambda c, k, interp, to: _axis_sql(c, c, old[k], COMMON[k], interp).replace(f"to_{c} AS", f"{to}_{c} AS", 1)
+    return f"""SELECT * FROM (WITH {_scan_sql(name)}, {axis("ax", 0, "linear", "v")}, {axis("sag", 1, "linear", "v")}, {axis("ax", 0, "nearest", "n")}, {axis("sag", 1, "nearest", "n")},
+res AS (SELECT frame, v_ax.t_ax, v_sag.t_sag, sum(value * v_ax.w_ax * v_sag.w_sag) AS value FROM vox JOIN v_ax USING (ax) JOIN v_sag USING (sag) GROUP BY ALL),
+roi AS (SELECT t_ax, t_sag FROM cells JOIN n_ax USING (ax) JOIN n_sag USING (sag) WHERE m > 0)
+SELECT '{name}' AS scan_id, frame, frame * {rate}::DOUBLE AS time_s, round(avg(value), 6) + 0.0 AS tic FROM res JOIN roi USING (t_ax, t_sag) GROUP BY frame)"""
+
+
+@query("study_curves", " UNION ALL ".join(map(_study_curves_sql, X.SCANS)))
+def study_curves(spark, d):
+    """Resampled to one spacing with their masks, then whole-region curves, of all scans at once."""
+    s, mask = _study(spark, d)
+    done, roi = study.resample(s, COMMON, "linear"), study.resample_masks(study.resample(s, COMMON), mask, COMMON)
+    return done.timed(C.roi_curves(done.voxels, roi, 2, frames=done.frames())).select("scan_id", "frame", "time_s", number(F.col("value"), 6).alias("tic"))
+
+
+def _study_windows_sql(name: str) -> str:
+    a, s = (int(mm * (1 - o / 100) / r) for mm, o, r in zip(WINDOW_MM, OVERLAP, X.SCANS[name][2]))
+    return f"""SELECT * FROM (WITH {_scan_sql(name)}, box AS (SELECT min(ax) AS a0, max(ax) AS a1, min(sag) AS s0, max(sag) AS s1 FROM cells WHERE m > 0),
+starts AS (SELECT a::INT AS ax_start, s::INT AS sag_start FROM (SELECT unnest(range(a0, a1, {a})) AS a FROM box), (SELECT unnest(range(s0, s1, {s})) AS s FROM box)),
+kept AS (SELECT ax_start, sag_start FROM starts JOIN cells ON ax >= ax_start AND ax < ax_start + {a} AND sag >= sag_start AND sag < sag_start + {s} GROUP BY ALL HAVING avg((m = 1)::INT) > 0.2),
+win AS (SELECT (row_number() OVER (ORDER BY ax_start, sag_start) - 1)::INT AS window_ix, ax_start, sag_start FROM kept)
+SELECT '{name}' AS scan_id, window_ix, frame, frame * {X.SCANS[name][3]}::DOUBLE AS time_s, round(avg(value), 6) + 0.0 AS tic FROM win JOIN vox ON ax BETWEEN ax_start AND ax_start + {a} AND sag BETWEEN sag_start AND sag_start + {s} GROUP BY ALL)"""
+
+
+@query("study_windows", " UNION ALL ".join(map(_study_windows_sql, X.SCANS)))
+def study_windows(spark, d):
+    """Windows in mm, so in cells of each scan's own spacing."""
+    s, mask = _study(spark, d)
+    return s.timed(C.window_curves(s.voxels, mask, study.steps(s, WINDOW_MM, OVERLAP))).select("scan_id", "window_ix", "frame", "time_s", number(F.col("value"), 6).alias("tic"))
+
+
+@query("frame_function", f"WITH {CINE2}, box AS (SELECT min(ax) AS a0, max(ax) AS a1, min(sag) AS s0, max(sag) AS s1 FROM cells WHERE m > 0), v AS (SELECT frame, max(value) FILTER (m = 1) - avg(value) FILTER (m <> 1) AS x, (max(value) FILTER (m = 1))::DOUBLE AS y FROM vox, box WHERE ax BETWEEN a0 AND a1 AND sag BETWEEN s0 AND s1 GROUP BY frame) SELECT frame, unnest(['Contrast', 'Top']) AS curve_name, round(unnest([x, y]), 6) + 0.0 AS value FROM v")
+def frame_function(spark, d):
+    """A curve type that a user wrote over arrays: its highest value inside against the mean around."""
+    cine = X.cine(spark, d, 2)
+    kind = C.FrameFunction(lambda frame, mask, unit: (["Contrast", "Top"], [frame[mask].max() / unit - frame[~mask].mean() / unit, frame[mask].max() / unit]), ("Contrast", "Top"), {"unit": 1.0})
+    found = C.roi_texture(cine, X.mask(spark, d, 2), 2, kind.curves, kind.names(), 0.5, cine.select("scan_id", "frame").distinct(), kind.around)
+    return found.select("frame", "curve_name", number(F.col("value"), 6).alias("value"))
+
+
+@query("array_frames", f"WITH {CINE3} SELECT frame, round(avg(value), 6) + 0.0 AS mean, count(*) AS n FROM vox WHERE frame BETWEEN 10 AND 20 GROUP BY frame")
+def array_frames(spark, d):
+    """The cine written as a NIfTI array of slabs, and some of its frames read back: a range of bytes of it."""
+    cine, (ax, sag, cor) = X.cine(spark, d, 3), X.shape(spark, d, 3)
+    path = f"{scratch_folder(spark)}/cine"
+    arrays.write_array(cine, path, ("sag", "cor", "ax", "frame"), (sag, cor, ax, 64), "nifti", "|u1", pixdim=(1.0, 1.0, 1.0), frame_step=0.5, slab_bytes=8 * sag * cor * ax)
+    return arrays.read_array(spark, path).where("frame BETWEEN 10 AND 20").groupBy("frame").agg(number(F.avg("value"), 6).alias("mean"), F.count("*").alias("n"))
+
+
 # Parametric maps ---------------------------------------------------------------------------------
 
 

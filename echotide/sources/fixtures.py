@@ -85,3 +85,21 @@ def rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A listing of files: path and length."""
     return table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("path"), F.col("n_chars").alias("length"))
+
+
+#: Scans of a study: width, frames, mm per cell and seconds per frame of each.
+SCANS = {"wide": (25, 64, (1.0, 1.0), 0.5), "narrow": (10, 32, (1.5, 0.8), 0.25)}
+
+
+def study_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scans, voxels, mask) of two scans of unlike shape, spacing, length and rate, both made of the vectors."""
+    v = table(spark, sf_dir, "embeddings")
+    rows = v.agg(F.max("vec_id").alias("last"))
+    scans, voxels, masks = [], [], []
+    for name, (width, frames, pixdim, rate) in SCANS.items():
+        ident = F.lit(name).alias("scan_id")
+        places = [F.expr(f"vec_id div {width}").cast("int").alias("ax"), (F.col("vec_id") % width).cast("int").alias("sag")]
+        scans.append(rows.select(ident, F.lit(name).alias("scan_path"), F.lit(2).alias("spatial_dims"), F.array(F.lit(frames), (F.expr(f"last div {width}") + 1).cast("int"), F.lit(width)).alias("shape"), F.array(*map(F.lit, pixdim)).alias("pixdim"), F.lit(rate).alias("frame_rate"), F.lit("float64").alias("pixel_type")))
+        voxels.append(v.select(ident, *places, F.posexplode(F.slice("embedding", 1, frames)).alias("frame", "e")).select("scan_id", "frame", "ax", "sag", F.floor((F.col("e").cast("double") + 1) * 100).cast("double").alias("value")))
+        masks.append(v.select(ident, F.lit("roi").alias("seg_id"), *places, (F.col("label") < 5).cast("smallint").alias("m")))
+    return scans[0].unionByName(scans[1]), voxels[0].unionByName(voxels[1]), masks[0].unionByName(masks[1])

@@ -86,3 +86,10 @@ def export_image(voxels: DataFrame, mask: DataFrame, scan_id: str, pixdim: Seque
     voxels.write.partitionBy("frame").parquet(f"{path}/image")
     mask.write.parquet(f"{path}/segmentation")
     voxels.sparkSession.range(1).select(F.lit(scan_id).alias("scan_id"), F.array(*(F.lit(float(x)) for x in pixdim)).alias("pixdim")).write.parquet(f"{path}/pix_dims")
+
+
+def export_images(voxels: DataFrame, mask: DataFrame, scans: DataFrame, path: str) -> None:
+    """The same of many scans."""
+    voxels.write.partitionBy("scan_id", "frame").parquet(f"{path}/image")
+    mask.write.partitionBy("scan_id").parquet(f"{path}/segmentation")
+    scans.select("scan_id", "pixdim").write.parquet(f"{path}/pix_dims")

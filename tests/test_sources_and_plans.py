@@ -137,8 +137,8 @@ def test_run_with_radiomics(spark, tmp_path):
             if pairs:
                 contrast.append(np.mean([(a - b) ** 2 for a, b in pairs]))
         assert got["feat_original_glcm_Contrast", f] == pytest.approx(np.mean(contrast))
-    (tmp_path / "bad.yml").write_text("featureClass: {glszm: }")
-    with pytest.raises(ValueError, match="unknown radiomics class: glszm"):
+    (tmp_path / "bad.yml").write_text("featureClass: {gltex: }")
+    with pytest.raises(ValueError, match="unknown radiomics class: gltex"):
         P.main_dict(spark, c | {"analysis_funcs": ["pyradiomics"], "analysis_kwargs": kwargs | {"pyradiomics_config_paths": [str(tmp_path / "bad.yml")]}})
     with pytest.raises(ValueError, match="needs"):
         P.main_dict(spark, c | {"analysis_funcs": ["pyradiomics"], "analysis_kwargs": {}})
