@@ -33,10 +33,13 @@ def paramap(quants: DataFrame, mask: DataFrame, windows: DataFrame, step: Sequen
     return cells.join(finite_values(chosen), [*ROI, "window_ix"]).groupBy(*ROI, F.col("key").alias("param"), *axes(dims_of(step))).agg(F.avg("value").cast("float").alias("value"))
 
 
-def trim(maps: DataFrame, mask: DataFrame, dims: int) -> DataFrame:
-    """The map over all cells of the array, with values inside the region only."""
+def trim(maps: DataFrame, mask: DataFrame, dims: int, params: Sequence[str] | None = None) -> DataFrame:
+    """The map over all cells of the array, with values inside the region only. Parameters that aren't named are looked up in the map, which then is made twice."""
     cells = mask.select(*ROI, *axes(dims), "m")
-    named = cells.join(maps.select(*ROI, "param").distinct(), ROI)
+    if params is None:
+        named = cells.join(maps.select(*ROI, "param").distinct(), ROI)
+    else:
+        named = cells.withColumn("param", F.explode(F.array(*map(F.lit, params))))
     return named.join(maps, [*ROI, "param", *axes(dims)], "left").withColumn("value", F.when(F.col("m") > 0, F.col("value"))).drop("m")
 
 

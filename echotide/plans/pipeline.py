@@ -259,7 +259,7 @@ def _q_auc(curves: DataFrame, done: dict, tic_name: str, **_) -> DataFrame:
 @VISUALS.add("paramap")
 def _v_paramap(analysis: Analysis, quants: DataFrame, params: Sequence[str] | None = None, **_) -> DataFrame:
     maps = paramap.paramap(quants, analysis.mask, analysis.windows, analysis.step, params or None)
-    return paramap.trim(maps, analysis.mask, windows.dims_of(analysis.step))
+    return paramap.trim(maps, analysis.mask, windows.dims_of(analysis.step), params or None)
 
 
 @VISUALS.add("plot_tics")

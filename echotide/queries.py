@@ -822,7 +822,7 @@ def paramap_mean(spark, d):
 @query("paramap_trim", f"WITH {MAP} SELECT ax, sag, round(CASE WHEN m > 0 THEN value END, 3) AS value FROM cells LEFT JOIN map USING (ax, sag)")
 def paramap_trim(spark, d):
     maps, mask = _maps(spark, d)
-    return paramap.trim(maps, mask, 2).select("ax", "sag", F.round(F.col("value").cast("double"), 3).alias("value"))
+    return paramap.trim(maps, mask, 2, ["Mean_full_TIC"]).select("ax", "sag", F.round(F.col("value").cast("double"), 3).alias("value"))
 
 
 @query("paramap_color_index", f"WITH {MAP}, f AS (SELECT ax, sag, value::FLOAT::DOUBLE AS value FROM map), e AS (SELECT min(value) AS low, max(value) AS high FROM f) SELECT ax, sag, CASE WHEN high > low THEN least(greatest(trunc(255.0::DOUBLE / (high - low) * (value - low)), 0), 255)::INT END AS index FROM f, e")

@@ -199,3 +199,23 @@ def test_standardize_constant(spark):
 def test_infinite_window_values(spark):
     q = spark.createDataFrame([("s", "roi", i, "k", v) for i, v in enumerate([1.0, 4.0, float("inf"), float("-inf"), float("nan")])], "scan_id string, seg_id string, window_ix int, key string, value double")
     assert [r["value"] for r in paramap.finite_values(q).orderBy("window_ix").collect()] == [1.0, 4.0, 4.0, 1.0, None]
+
+
+def test_power_spectrum_of_many_lines(spark):
+    """Lines by hundreds, of unlike length, with gaps, nulls and samples beyond the transform, against NumPy."""
+    from echotide.operators.spectrum import power_spectrum
+
+    rng, n, rows, want = np.random.default_rng(5), 64, [], {}
+    for scan, count in (("a", 150), ("b", 3)):
+        powers = []
+        for line in range(count):
+            size = int(rng.integers(3, 90)) if line else 1
+            x = rng.normal(size=size)
+            rows += [(scan, line, k, None if k == 3 else float(v)) for k, v in enumerate(x)]
+            w = np.hanning(size) if size > 1 else np.ones(1)
+            x[3:4] = 0
+            powers.append(np.abs(np.fft.fft((x * w / np.sqrt(np.mean(w**2)))[:n], n)) ** 2 * size**2)
+        want[scan] = np.mean(powers, 0)[16:48]
+    df = spark.createDataFrame(rows, "scan_id string, line int, sample int, value double").repartition(7)
+    got = {(r["scan_id"], r["bin"]): r["power"] for r in power_spectrum(df, 0.25, 0.75, 1.0, n).collect()}
+    assert len(got) == 2 * 32 and all(got[s, k + 16] == pytest.approx(v, rel=1e-9) for s, p in want.items() for k, v in enumerate(p))
