@@ -94,12 +94,13 @@ def _children(data: bytes, at: int, end: int, stop: frozenset[int] = frozenset()
         name, body, _ = _number(data, at, True)
         size, body, unknown = _number(data, body, False)
         if unknown:
-            last = body
-            for child, place, _, z in _children(data, body, end):
+            to = spot = body
+            while spot < end:
+                child, inner, _ = _number(data, spot, True)
                 if child in stop:
                     break
-                last = z
-            to = last
+                length, inner, open_ = _number(data, inner, False)
+                to = spot = inner if open_ else inner + length  # what is in one of unknown size follows it
         else:
             to = body + size
         if to > end:
@@ -160,15 +161,27 @@ def _laced(data: bytes, at: int, end: int, lacing: int) -> list[tuple[int, int]]
 
 
 def parse(data: bytes) -> Media:
+    """What a file holds; ValueError where it is broken."""
     m, seen = Media(), False
-    uint = lambda a, z: int.from_bytes(data[a:z], "big")
-    real = lambda a, z: struct.unpack(">d" if z - a == 8 else ">f", data[a:z])[0] if z > a else 0.0
+
+    def uint(a: int, z: int) -> int:
+        value = int.from_bytes(data[a:z], "big")
+        if value >> 63:
+            raise ValueError("number of more than 63 bits")
+        return value
+
+    def real(a: int, z: int) -> float:
+        if z - a not in (0, 4, 8):
+            raise ValueError(f"real number of {z - a} bytes")
+        return struct.unpack(">d" if z - a == 8 else ">f", data[a:z])[0] if z > a else 0.0
 
     def block(a: int, z: int, base: int, cluster: int, key: bool | None) -> None:
         track, at, _ = _number(data, a, False)
         if at + 3 > z:
             raise ValueError("block is cut off")
         time, flags = struct.unpack_from(">hB", data, at)
+        if base + time >> 63 not in (0, -1):
+            raise ValueError("timestamp of more than 63 bits")
         for start, n in _laced(data, at + 3, z, flags >> 1 & 3):
             m.packets.append((cluster, base + time, track, start, n, bool(flags & 0x80) if key is None else key, flags >> 1 & 3))
 

@@ -619,7 +619,12 @@ def test_matroska_lacing_and_unknown_sizes():
     data = head + matroska.SEGMENT.to_bytes(4, "big") + b"\xff" + unknown + unknown
     assert len(m.clusters) == 2 and [p[1] for p in m.packets[:9]] == [107] * 8 + [109]
     assert [data[s : s + n] for _, _, _, s, n, _, _ in m.packets[:9]] == frames * 2 + frames[:1]
-    for broken in (b"", b"\0" * 9, head[:-3], matroska.mux(bytes(576))[:-9]):
+    info = lambda n: head + matroska.element(matroska.SEGMENT, matroska.element(matroska.INFO, n))
+    late = matroska.element(matroska.CLUSTER, matroska.element(matroska.CLUSTER_TIME, b"\x7f" + b"\xff" * 7) + block(0x80, b"x"))
+    assert matroska.parse(info(matroska.element(matroska.DURATION, struct.pack(">f", 2.5)))).duration == 2.5
+    nested = head + (matroska.SEGMENT.to_bytes(4, "big") + b"\x01" + b"\xff" * 7) * 30_000
+    assert matroska.parse(nested).packets == []
+    for broken in (b"", b"\0" * 9, head[:-3], matroska.mux(bytes(576))[:-9], info(matroska.element(matroska.DURATION, b"\1\2\3")), info(matroska.element(matroska.TIMESTAMP_SCALE, b"\xff" * 8)), head + matroska.element(matroska.SEGMENT, late), nested + b"\x42"):
         with pytest.raises(ValueError):
             matroska.parse(broken)
 
