@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ def resample(cells: DataFrame, shape: Sequence[int], old: Sequence[float], new:
 
     shape, old and new are per axis in the order ax, sag, cor. nearest and linear are equi-joins on each
     axis's table of sources (as long as the axis, so it is broadcast) and a weighted sum per target.
-    cubic solves the interpolating spline per frame. to_type casts the result; integers are rounded to even first.
+    cubic solves the interpolating spline along each line of cells. to_type casts the result; integers are rounded to even first.
     """
     if interp not in ("nearest", "linear", "cubic"):
         raise ValueError("interp must be 'linear', 'nearest' or 'cubic'")
@@ -74,37 +75,74 @@ def resample(cells: DataFrame, shape: Sequence[int], old: Sequence[float], new:
     return out
 
 
-def _cubic(cells: DataFrame, shape: Sequence[int], old: Sequence[float], new: Sequence[float], value: str, keys: Sequence[str]) -> DataFrame:
-    """Cubic B-spline interpolation, axis by axis, in one task per frame."""
-    names = axes(len(shape))
-    maps = [_spline(n, o, w) for n, o, w in zip(shape, old, new)]
+#: Pole of the filter that turns samples into coefficients of a cubic spline.
+POLE = 3**0.5 - 2
+
+
+def spline_coefficients(samples: np.ndarray) -> np.ndarray:
+    """Coefficients of the cubic spline through each row of samples, mirrored at both ends: two recursions along the rows."""
+    n = samples.shape[1]
+    if n < 2:
+        return samples.astype(float)
+    mirrored = np.concatenate((samples, samples[:, n - 2 : 0 : -1]), 1)
+    out = np.empty(samples.shape)
+    out[:, 0] = mirrored @ POLE ** np.arange(2 * n - 2) / (1 - POLE ** (2 * n - 2))
+    for k in range(1, n):
+        out[:, k] = samples[:, k] + POLE * out[:, k - 1]
+    out[:, -1] = POLE / (POLE * POLE - 1) * (out[:, -1] + POLE * out[:, -2])
+    for k in range(n - 2, -1, -1):
+        out[:, k] = POLE * (out[:, k + 1] - out[:, k])
+    return 6 * out
+
+
+def spline_values(samples: np.ndarray, old: float, new: float) -> np.ndarray:
+    """The cubic spline through each row of samples at a new spacing, held at the last sample beyond it."""
+    n = samples.shape[1]
+    c, at = spline_coefficients(samples), np.minimum(np.arange(new_size(n, old, new)) * new / old, n - 1)
+    if n < 2:
+        return np.repeat(c, len(at), 1)
+    low, out = np.floor(at).astype(int), np.zeros((len(c), len(at)))
+    for k in (-1, 0, 1, 2):
+        x = np.abs(at - low - k)
+        w = np.where(x < 1, 2 / 3 - x**2 + x**3 / 2, np.where(x < 2, (2 - x) ** 3 / 6, 0.0))
+        spot = np.abs(low + k)
+        out += w * c[:, np.minimum(spot, np.abs(2 * (n - 1) - spot))]
+    return out
 
-    def frame(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = np.zeros(shape)
-        grid[tuple(pdf[c].to_numpy() for c in names)] = pdf[value]
-        for axis, m in enumerate(maps):
-            grid = np.moveaxis(np.tensordot(m, grid, (1, axis)), 0, axis)
-        where = np.indices(grid.shape).reshape(len(names), -1)
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, **dict(zip(names, where)), value: grid.ravel()}, columns=[*keys, *names, value])
 
+def cubic_along(cells: DataFrame, axis: str, value: str, keys: Sequence[str]) -> DataFrame:
+    """cells (keys, axis, value, and n, old, new of the axis) at the new spacing. A line along the axis is a row, so lines are dealt out, whatever frame they are of."""
     kinds = dict(cells.dtypes)
-    return cells.groupBy(*keys).applyInPandas(frame, ", ".join([*(f"{k} {kinds[k]}" for k in keys), *(f"{c} int" for c in names), f"{value} double"]))
+    lines = cells.groupBy(*keys).agg(F.first("__n").alias("__n"), F.first("__old").alias("__old"), F.first("__new").alias("__new"), F.collect_list(F.struct(F.col(axis).cast("int").alias("at"), F.col(value).cast("double").alias("v"))).alias("__line"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            points = b.column("__line")
+            flat, sizes = points.flatten(), np.diff(points.offsets.to_numpy())
+            row, at, v = np.repeat(np.arange(b.num_rows), sizes), flat.field("at").to_numpy(), flat.field("v").to_numpy(zero_copy_only=False)
+            kind = np.stack([b.column(c).to_numpy().astype(float) for c in ("__n", "__old", "__new")], 1)
+            out: list = [None] * b.num_rows
+            for n, old, new in np.unique(kind, axis=0).tolist():
+                mine = np.flatnonzero((kind == (n, old, new)).all(1))
+                place = np.full(b.num_rows, -1)
+                place[mine] = np.arange(len(mine))
+                grid, pick = np.zeros((len(mine), int(n))), place[row] >= 0
+                grid[place[row[pick]], at[pick]] = v[pick]
+                for k, line in zip(mine.tolist(), spline_values(grid, old, new)):
+                    out[k] = line
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(out, pa.list_(pa.float64()))], names=[*keys, "__line"])
+
+    done = lines.mapInArrow(rows, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "__line array<double>"]))
+    return done.select(*keys, F.posexplode("__line").alias(axis, value))
 
 
-def _spline(n: int, old: float, new: float) -> np.ndarray:
-    """Matrix from the samples of an axis to the values of its cubic spline at the targets, mirrored at the ends."""
-    mirror = lambda i: i if 0 <= i < n else (-i if i < 0 else 2 * (n - 1) - i) if n > 1 else 0
-    basis = lambda x: np.where(np.abs(x) < 1, 2 / 3 - x**2 + np.abs(x) ** 3 / 2, np.where(np.abs(x) < 2, (2 - np.abs(x)) ** 3 / 6, 0.0))
-    at = np.minimum(np.arange(new_size(n, old, new)) * new / old, n - 1)
-
-    def matrix(points: np.ndarray) -> np.ndarray:
-        m = np.zeros((len(points), n))
-        for row, x in enumerate(points):
-            for k in range(int(np.floor(x)) - 1, int(np.floor(x)) + 3):
-                m[row, min(max(mirror(k), 0), n - 1)] += basis(np.array(x - k))
-        return m
-
-    return matrix(at) @ np.linalg.inv(matrix(np.arange(n, dtype=float)))
+def _cubic(cells: DataFrame, shape: Sequence[int], old: Sequence[float], new: Sequence[float], value: str, keys: Sequence[str]) -> DataFrame:
+    """Cubic B-spline interpolation, axis by axis."""
+    names, out = axes(len(shape)), cells.select(*keys, *axes(len(shape)), value)
+    for c, n, o, w in zip(names, shape, old, new):
+        known = out.withColumns({"__n": F.lit(int(n)), "__old": F.lit(float(o)), "__new": F.lit(float(w))})
+        out = cubic_along(known, c, value, [*keys, *(a for a in names if a != c)])
+    return out.select(*keys, *names, value)
 
 
 def to_pixel_type(voxels: DataFrame, pixel_type: str, value: str = "value") -> DataFrame:

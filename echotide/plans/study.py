@@ -10,7 +10,6 @@ from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,22 +73,12 @@ def _targets(sizes: DataFrame, axis: str, interp: str) -> DataFrame:
 
 
 def _cubic(cells: DataFrame, sizes: DataFrame, names: Sequence[str], value: str, keys: Sequence[str]) -> DataFrame:
-    """Interpolating splines, one task per frame, each with its own scan's geometry."""
-    geometry = [f"{k}_{c}" for c in names for k in ("n", "mm", "to")]
-    met = cells.select(*keys, *names, F.col(value).alias("value")).join(sizes.select("scan_id", *geometry), "scan_id")
-
-    def frame(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = pdf.iloc[0]
-        grid = np.zeros([int(one[f"n_{c}"]) for c in names])
-        grid[tuple(pdf[c].to_numpy() for c in names)] = pdf["value"]
-        for axis, c in enumerate(names):
-            m = preprocess._spline(int(one[f"n_{c}"]), float(one[f"mm_{c}"]), float(one[f"to_{c}"]))
-            grid = np.moveaxis(np.tensordot(m, grid, (1, axis)), 0, axis)
-        where = np.indices(grid.shape).reshape(len(names), -1)
-        return pd.DataFrame({**{k: one[k] for k in keys}, **dict(zip(names, where)), value: grid.ravel()}, columns=[*keys, *names, value])
-
-    kinds = dict(cells.dtypes)
-    return met.groupBy(*keys).applyInPandas(frame, ", ".join([*(f"{k} {kinds[k]}" for k in keys), *(f"{c} int" for c in names), f"{value} double"]))
+    """Interpolating splines along lines, each with its own scan's geometry."""
+    out = cells.select(*keys, *names, value)
+    for c in names:
+        own = sizes.select("scan_id", F.col(f"n_{c}").cast("int").alias("__n"), F.col(f"mm_{c}").cast("double").alias("__old"), F.col(f"to_{c}").alias("__new"))
+        out = preprocess.cubic_along(out.join(own, "scan_id"), c, value, [*keys, *(a for a in names if a != c)])
+    return out.select(*keys, *names, value)
 
 
 def resampled(cells: DataFrame, sizes: DataFrame, names: Sequence[str], interp: str, value: str = "value", keys: Sequence[str] = ("scan_id", "frame")) -> DataFrame:

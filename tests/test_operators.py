@@ -219,3 +219,19 @@ def test_power_spectrum_of_many_lines(spark):
     df = spark.createDataFrame(rows, "scan_id string, line int, sample int, value double").repartition(7)
     got = {(r["scan_id"], r["bin"]): r["power"] for r in power_spectrum(df, 0.25, 0.75, 1.0, n).collect()}
     assert len(got) == 2 * 32 and all(got[s, k + 16] == pytest.approx(v, rel=1e-9) for s, p in want.items() for k, v in enumerate(p))
+
+
+def test_splines_by_solving(spark):
+    """Coefficients from recursions solve the mirrored system; samples are met; a cell alone stays."""
+    rng = np.random.default_rng(2)
+    basis = lambda x: np.where(np.abs(x) < 1, 2 / 3 - x**2 + np.abs(x) ** 3 / 2, np.where(np.abs(x) < 2, (2 - np.abs(x)) ** 3 / 6, 0.0))
+    for n in (1, 2, 3, 4, 17, 60):
+        x = rng.normal(size=(5, n))
+        m = np.zeros((n, n))
+        for k in range(n):
+            for j in range(k - 2, k + 3):
+                spot = abs(j) if n > 1 else 0
+                m[k, min(spot, abs(2 * (n - 1) - spot)) if n > 1 else 0] += basis(np.array(float(k - j)))
+        assert preprocess.spline_coefficients(x) == pytest.approx(np.linalg.solve(m, x.T).T if n > 1 else x)
+        assert preprocess.spline_values(x, 1.0, 1.0) == pytest.approx(x)
+        assert preprocess.spline_values(x, 1.0, 0.37).shape == (5, preprocess.new_size(n, 1.0, 0.37))
