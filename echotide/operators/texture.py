@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from echotide.operators import graylevel, imagefilters, shape
+from echotide.operators.components import cut_lineage
 from echotide.schema import axes
 
 
@@ -96,6 +97,10 @@ def first_order_features(levels: DataFrame, keys: Sequence[str], width: float, v
     return out.withColumns({"Kurtosis": F.when(flat, 0.0).otherwise(F.col("m4") / F.pow("Variance", F.lit(2))), "Skewness": F.when(flat, 0.0).otherwise(F.col("m3") / F.pow("Variance", F.lit(1.5))), "TotalEnergy": F.col("Energy") * volume}).select(*keys, *FIRST_ORDER)
 
 
+#: From so many classes of features on, an image is written once rather than made anew for each.
+MANY = 3
+
+
 @dataclass(frozen=True)
 class Radiomics:
     """A curve type over whole frames: features of the discretised intensities, by configuration (name, its entries).
@@ -143,10 +148,17 @@ class Radiomics:
         corner = cells.select(*keys).distinct().select(*keys, *(F.lit(0).alias(c) for c in names), F.lit(0.0).alias("value"))
         cells = cells.where(~origin).select(*keys, *names, F.col("value").cast("double").alias("value")).unionByName(corner)
         levels = discretize(cells.withColumn("m", F.lit(1)), self.binwidth, self.min_intensity).select(*keys, *names, F.col("level").cast("double").alias("value"))
+        wanted = self.wanted()
+        if len(wanted) >= MANY:
+            levels = cut_lineage(levels)
         made = {name: imagefilters.images(levels, dims, keys, config, self.size, spacing) for name, config in self.configs}
+        for name, images in made.items():
+            for image, d in images.items():
+                if d is not levels and sum(w[:2] == (name, image) for w in wanted) >= MANY:
+                    images[image] = cut_lineage(d)
         widths = {name: float((config.get("setting") or {}).get("binWidth", 25)) for name, config in self.configs}
         out = None
-        for name, image, kind, features in self.wanted():
+        for name, image, kind, features in wanted:
             source = made[name].get(image, levels).select(*keys, *names, F.col("value").alias("level"), F.lit(1).alias("m"))
             if kind == "firstorder":
                 table = first_order_features(source, keys, widths[name], self.volume)
