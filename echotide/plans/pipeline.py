@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
+from pyspark.sql.types import StructType
 
 from echotide.operators import curves as C
 from echotide.operators import fit, paramap, preprocess, quantify, texture, windows
@@ -68,17 +70,70 @@ def _loader(kind: str):
             scans, voxels = (arrays.read_nifti(spark, path, table, options.get("transpose", False)) for table in ("scans", "voxels"))
         else:
             scans, voxels = images.read_scans(spark, path, kind, **options)
-        found = scans.limit(2).collect()
-        if not found:
-            raise ValueError(f"nothing to read at {path}")
-        if len(found) > 1:
-            return study.study_of(scans, voxels)
-        s = found[0]
-        return Image(s["scan_id"], voxels, tuple(s["shape"]), tuple(s["pixdim"]), s["frame_rate"], pixel_type=s["pixel_type"])
+        return _found(scans, voxels, path)
 
     return load
 
 
+def _found(scans: DataFrame, voxels: DataFrame, path: str) -> Image | Study:
+    found = scans.limit(2).collect()
+    if not found:
+        raise ValueError(f"nothing to read at {path}")
+    if len(found) > 1:
+        return study.study_of(scans, voxels)
+    s = found[0]
+    return Image(s["scan_id"], voxels, tuple(s["shape"]), tuple(s["pixdim"]), s["frame_rate"], pixel_type=s["pixel_type"])
+
+
+#: Decoders of a user's own, by kind: bytes of a file to (frames, mm per cell, seconds per frame).
+DECODERS: dict[str, Callable] = {}
+
+
+def scan_decoder(kind: str, suffixes: Sequence[str] = ()):
+    """Decorator that registers a decoder as a scan loader, and as a kind that SQL's load_scan knows from the next `register_sql` on."""
+
+    def register(f: Callable) -> Callable:
+        if kind in DECODERS or kind in ("nifti", "avi", "dicom"):
+            raise ValueError(f"decoder {kind} is registered already")
+
+        def load(spark: SparkSession, path: str, **_) -> Image | Study:
+            return _found(*images.read_scans(spark, path, kind, f, files=spark.read.format("binaryFile").load(path)), path)
+
+        SCAN_LOADERS.add(kind, suffixes=suffixes)(load)
+        DECODERS[kind] = f
+        return f
+
+    return register
+
+
+def register_sql(spark: SparkSession) -> None:
+    """Make load_scan(path, content, kind, what) known to SQL: rows of 'voxels' (by default) or 'scans' of a file's bytes, as in
+    SELECT s.* FROM binaryFile.`scans/*.nii` f, LATERAL load_scan(f.path, f.content, 'nifti') s
+    """
+    decoders, schemas = dict(DECODERS), {what: StructType.fromDDL(arrays.SCHEMAS[what]) for what in ("voxels", "scans")}
+
+    class LoadScan:
+        @staticmethod
+        def analyze(path: AnalyzeArgument, content: AnalyzeArgument, kind: AnalyzeArgument, what: AnalyzeArgument | None = None) -> AnalyzeResult:
+            table = what.value if what is not None else "voxels"
+            if not kind.isConstantExpression or kind.value not in (*decoders, "nifti", "avi", "dicom") or table not in ("voxels", "scans"):
+                raise ValueError(f"load_scan knows the kinds {', '.join(sorted((*decoders, 'nifti', 'avi', 'dicom')))}, and voxels or scans of them")
+            return AnalyzeResult(schemas[table])
+
+        def eval(self, path: str, content: bytes, kind: str, what: str = "voxels"):
+            if content is None:
+                return
+            cine, pixdim, rate = images.decoder_of(kind, decoders.get(kind))(bytes(content))
+            name = images.stem(path or "")
+            if what == "scans":
+                yield name, path, cine.ndim - 1, list(map(int, cine.shape)), list(map(float, pixdim)), float(rate), cine.dtype.name
+                return
+            for pdf in images.frame_rows(name, cine):
+                yield from zip(*(pdf[c].astype(object).where(pdf[c].notna(), None) for c in pdf.columns))
+
+    spark.udtf.register("load_scan", udtf(LoadScan))
+
+
 SCAN_LOADERS.add("nifti", suffixes=(".nii", ".nii.gz"))(_loader("nifti"))
 SCAN_LOADERS.add("avi", suffixes=(".avi",))(_loader("avi"))
 SCAN_LOADERS.add("mp4", required=("decoder",), suffixes=(".mp4",))(_loader("mp4"))

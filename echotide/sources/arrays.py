@@ -229,7 +229,7 @@ class NiftiReader(ArrayReader):
             yield dict(partition.constants)["scan_id"], partition.path, len(h.shape) - 1, [int(size[c]) for c in order], [float(x) for x in h.pixdim], h.rate, "uint8"
 
 
-_SCHEMAS = {
+SCHEMAS = {
     "voxels": "scan_id string, frame int, ax int, sag int, cor int, value double",
     "mask": "scan_id string, seg_id string, ax int, sag int, cor int, m smallint",
     "scans": "scan_id string, scan_path string, spatial_dims int, shape array<int>, pixdim array<double>, frame_rate double, pixel_type string",
@@ -244,7 +244,7 @@ class NiftiSource(DataSource):
         return "nifti"
 
     def schema(self) -> str:
-        return _SCHEMAS[self.options.get("table", "voxels")]
+        return SCHEMAS[self.options.get("table", "voxels")]
 
     def reader(self, schema) -> DataSourceReader:
         return NiftiReader(dict(self.options), schema)

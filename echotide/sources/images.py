@@ -168,7 +168,7 @@ def parse_dicom(data: bytes, luma: tuple[float, float, float] = (0.114, 0.587, 0
     return cine, spacing, float(text(0x18, 0x1063, "1000")) / 1000
 
 
-def _rows(scan: str, cine: np.ndarray) -> Iterator[pd.DataFrame]:
+def frame_rows(scan: str, cine: np.ndarray) -> Iterator[pd.DataFrame]:
     """Voxel rows, frame by frame."""
     volume = cine.ndim == 4
     n = cine.shape[3] if volume else cine.shape[0]
@@ -184,7 +184,8 @@ def _read(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -> DataFram
     return files.where(F.col("path").rlike("(" + "|".join(map(re.escape, suffixes)) + ")$"))
 
 
-def _decoded(kind: str, decoder: Callable | None, **options) -> Callable[[bytes], tuple[np.ndarray, list[float], float]]:
+def decoder_of(kind: str, decoder: Callable | None = None, **options) -> Callable[[bytes], tuple[np.ndarray, list[float], float]]:
+    """What turns a file's bytes into (frames, mm per cell, seconds per frame)."""
     if decoder:
         return decoder
     if kind == "nifti":
@@ -205,7 +206,7 @@ SUFFIXES = {"nifti": (".nii", ".nii.gz"), "avi": (".avi",), "mp4": (".mp4",), "d
 def read_scans(spark: SparkSession, path: str, kind: str = "nifti", decoder: Callable | None = None, files: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """(scans, voxels) of the files below a path. files: a listing to use instead (path, content)."""
     source = (_read(spark, path, SUFFIXES[kind]) if files is None else files).select("path", "content")
-    decode = _decoded(kind, decoder, **options)
+    decode = decoder_of(kind, decoder, **options)
 
     def scans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -216,7 +217,7 @@ def read_scans(spark: SparkSession, path: str, kind: str = "nifti", decoder: Cal
     def voxels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for p, data in zip(pdf["path"], pdf["content"]):
-                yield from _rows(stem(p), decode(data)[0])
+                yield from frame_rows(stem(p), decode(data)[0])
 
     return source.mapInPandas(scans, _SCANS), source.mapInPandas(voxels, _VOXELS)
 

@@ -54,7 +54,7 @@ def test_a_frame_reads_its_range(folder, monkeypatch):
     read, plain = [], A.read_range
     monkeypatch.setattr(A, "read_range", lambda p, o, n: read.append(n) or plain(p, o, n))
     monkeypatch.setattr(A.Bounds.of, "__defaults__", (10,))
-    schema = _parse_datatype_string(A._SCHEMAS["voxels"])
+    schema = _parse_datatype_string(A.SCHEMAS["voxels"])
 
     def rows(*filters):
         read.clear()

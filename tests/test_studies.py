@@ -125,3 +125,30 @@ def test_arrays_for_a_viewer(spark, scans):
     grid = np.load(scans / "map.npy")
     known = {(r["sag"], r["cor"], r["ax"]): r["value"] for r in out["visuals"]["paramap"].where("value is not null").collect()}
     assert grid.shape == (6, 5, 4) and {tuple(map(int, at)) for at in np.argwhere(~np.isnan(grid))} == set(known) and all(grid[at] == np.float32(x) for at, x in known.items())
+
+
+def test_decoders_of_ones_own_and_sql(spark, scans):
+    """A decoder serves as a loader and in SQL text; kinds that aren't known are refused when the text is analysed."""
+
+    @P.scan_decoder("tiny", suffixes=(".tiny",))
+    def tiny(data):
+        return np.frombuffer(data, np.uint8).reshape(-1, 2, 2), [1.0, 2.0], 0.5
+
+    try:
+        for name, n in (("x", 3), ("y", 2)):
+            (scans / f"{name}.tiny").write_bytes(bytes(range(4 * n)))
+        image = P.scan_loading_step(spark, "tiny", f"{scans}/x.tiny")
+        assert image.shape == (3, 2, 2) and image.frame_rate == 0.5 and image.voxels.count() == 12
+        assert P.scan_loading_step(spark, "tiny", f"{scans}/*.tiny").frames().count() == 5
+        P.register_sql(spark)
+        got = spark.sql(f"SELECT s.* FROM binaryFile.`{scans}/*.tiny` f, LATERAL load_scan(f.path, f.content, 'tiny') s")
+        assert sorted(map(tuple, got.where("scan_id = 'y'").collect())) == [("y", t, a, s, None, float(4 * t + 2 * a + s)) for t in range(2) for a in range(2) for s in range(2)]
+        meta = spark.sql(f"SELECT s.scan_id, s.shape, s.frame_rate FROM binaryFile.`{scans}/scans/*.nii` f, LATERAL load_scan(f.path, f.content, 'nifti', 'scans') s")
+        assert sorted(map(tuple, meta.collect())) == [("a", [6, 5, 4, 5], 2.0), ("b", [4, 7, 3, 3], 4.0)]
+        for bad in ("'none'", "'tiny', 'pixels'"):
+            with pytest.raises(Exception, match="load_scan knows"):
+                spark.sql(f"SELECT * FROM binaryFile.`{scans}/*.tiny` f, LATERAL load_scan(f.path, f.content, {bad}) s").collect()
+        with pytest.raises(ValueError, match="already"):
+            P.scan_decoder("tiny")(tiny)
+    finally:
+        del P.DECODERS["tiny"], P.SCAN_LOADERS.plugins["tiny"]
