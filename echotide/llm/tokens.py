@@ -27,8 +27,9 @@ import pyarrow.compute as pc
 #: Words kept by a worker; bytes of text handled at a time, and encoded at a time.
 KEPT_WORDS, SLICE_CHARS, ENCODED_CHARS = 450_000, 2_000_000, 8_000_000
 END_ID = 1
-#: Words that are one piece and that the normalizer leaves alone; words that marks can be cut off from.
-_LETTERS, _MARKED = "^[a-zß-öø-ÿ]+$", r"(?s)^(?P<bare>.*[a-zß-öø-ÿ0-9])(?P<marks>[!-&(-/:;=?@\[-`{}~]+)$"
+#: Words that are one piece and that the normalizer leaves alone; words that marks can be cut off from end in one of these before their marks.
+_LETTERS, _MARKS = "^[a-zß-öø-ÿ]+$", "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+_BEFORE_MARKS = pa.array([c for c in map(chr, range(256)) if c.isdecimal() or c.islower() and c not in "ªµº"], pa.large_string())
 
 #: Stands for the end of a text in the table of words; no word is white space.
 _END = "\n"
@@ -47,13 +48,25 @@ def _listed(words: pa.Array) -> list[str]:
     return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), pa.scalar(" ", words.type))[0].as_py().split(" ")
 
 
+def _after(words: pa.Array, sizes: np.ndarray) -> pa.Array:
+    """What follows the first so many bytes of each word."""
+    if not len(words):
+        return words
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+    starts = offsets[:-1] + sizes
+    left = offsets[1:] - starts
+    ends = np.concatenate([[0], np.cumsum(left)])
+    return pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(ends), pa.py_buffer(np.frombuffer(data, np.uint8)[gathered(starts, left)]))
+
+
 class _Store:
-    """Ids of words, one after another in one array."""
+    """Ids of words, one after another in one array, and how often each word was looked for."""
 
     def __init__(self, dtype: np.dtype):
         self.index: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, dtype), 0
-        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.starts, self.sizes, self.uses = (np.zeros(1 << 14, np.int64) for _ in range(3))
 
     def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Where the new words are kept."""
@@ -61,14 +74,29 @@ class _Store:
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while to > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+            self.starts, self.sizes, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.uses))
         self.flat[self.used : self.used + len(ids)] = ids
         self.starts[at:to] = self.used + np.cumsum(sizes) - sizes
         self.sizes[at:to] = sizes
+        self.uses[at:to] = 1
         self.used += len(ids)
         self.index.update(zip(words, range(at, to)))
         return np.arange(at, to)
 
+    def find(self, words: list[str]) -> np.ndarray:
+        """Where words are kept, -1 for others."""
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        self.uses[at[at >= 0]] += 1
+        return at
+
+    def most_used(self, n: int) -> _Store:
+        """A store of the n words looked for most often, later ones first where equal; earlier uses count half from then on."""
+        order = np.sort(np.argsort(self.uses[: len(self.index)], kind="stable")[-n:])
+        words, sizes, kept = list(self.index), self.sizes[order], _Store(self.flat.dtype)
+        kept.add([words[i] for i in order.tolist()], self.flat[gathered(self.starts[order], sizes)], sizes)
+        kept.uses[: len(order)] = self.uses[order] // 2
+        return kept
+
 
 class WordEncoder:
     """Ids of whole texts."""
@@ -81,9 +109,11 @@ class WordEncoder:
         for t in (self.tokenizer, self.plain):
             t.no_truncation()
             t.no_padding()
-        # Takes many words of lower-case Latin letters at once.
-        self.plain.normalizer = normalizers.Sequence([])
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # Takes many words of lower-case Latin letters at once, whose bytes stand as the letters that ByteLevel puts for them.
+        self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.CharDelimiterSplit(" ")
+        by_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = "".join(map(chr, range(0xDF, 0x100)))
+        self.renamed = sorted({(a, b) for a, b in zip(letters.encode().decode("latin-1"), by_bytes.pre_tokenize_str(letters)[0][0]) if a != b})
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
@@ -105,17 +135,22 @@ class WordEncoder:
     def _places(self, words: pa.Array) -> np.ndarray:
         """Where the store keeps each of these distinct words, learnt if need be."""
         listed = _listed(words)
-        at = np.fromiter(map(self.known.index.get, listed, repeat(-1)), np.int64, len(listed))
+        at = self.known.find(listed)
         new = np.flatnonzero(at < 0)
         if len(self.known.index) + len(new) > self.keep:
-            self.known, new = _Store(self.dtype), np.arange(len(listed))
+            self.known = self.known.most_used(self.keep // 2)
+            at = self.known.find(listed)
+            new = np.flatnonzero(at < 0)
         if not len(new):
             return at
         fresh = words.take(pa.array(new))
         simple = pc.match_substring_regex(fresh, _LETTERS)
         plain = fresh.filter(simple)
         simple = simple.to_numpy(zero_copy_only=False)
-        ids = np.array(self.plain.encode_batch_fast([" ".join(_listed(plain))], add_special_tokens=False)[0].ids, self.dtype)
+        letters = " ".join(_listed(plain)).encode().decode("latin-1")
+        for a, b in self.renamed:
+            letters = letters.replace(a, b)
+        ids = np.array(self.plain.encode_batch_fast([letters], add_special_tokens=False)[0].ids, self.dtype)
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(plain):  # A vocabulary without an end in each word: no shortcut.
             simple, ids, stops = np.zeros(len(new), bool), ids[:0], stops[:0]
@@ -132,10 +167,11 @@ class WordEncoder:
         coded = split.flatten().dictionary_encode()
         words, index = coded.dictionary, coded.indices.to_numpy()
         # A distinct word is one entry of the store, or two: what is before the marks behind it, and these.
-        cut = pc.extract_regex(words, _MARKED)
-        marked = cut.is_valid()
-        bare = pc.if_else(marked, pc.struct_field(cut, "bare"), words)
-        both = pa.concat_arrays([bare, pc.struct_field(cut, "marks").filter(marked)]).dictionary_encode()
+        bare = pc.ascii_rtrim(words, characters=_MARKS)
+        sizes = pc.binary_length(bare)
+        marked = pc.and_(pc.less(sizes, pc.binary_length(words)), pc.is_in(pc.utf8_slice_codeunits(bare, -1), _BEFORE_MARKS))
+        marks = _after(words.filter(marked), sizes.filter(marked).to_numpy())
+        both = pa.concat_arrays([pc.if_else(marked, bare, words), marks]).dictionary_encode()
         place = self._places(both.dictionary)[both.indices.to_numpy()]
         marked = marked.to_numpy(zero_copy_only=False)
         entries = np.insert(place[: len(words)], np.flatnonzero(marked) + 1, place[len(words) :])
