@@ -187,7 +187,7 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
         out[end] = low >> 32
         low = (low & _LOW) << 16
         end += 1
-    while len(over := np.flatnonzero(out >> 16)):
+    while len(over := np.flatnonzero(out > 0xFFFF)):
         carry = out[over] >> 16
         out[over] &= 0xFFFF
         out[over - 1] += carry
