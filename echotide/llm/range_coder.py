@@ -28,6 +28,7 @@ MAGIC = b"TCM2"
 HEADER = struct.Struct("<4sIIIQIII")
 BLOCK_IDS, LANES = 4096, 2048
 _PLANNED = 64  # blocks that the encoder looks through at a time
+_COLLECTED = 64  # steps' words that it sorts by block at a time
 UPDATES = (0, 32, 96, 224, 480, 992, 1760, 2528, 3296)
 _HASH, _STATES = 10, 8
 #: Frequencies add up to 2^12; shares to 2^16, of which order 0 keeps 2^12 so that none of its ids is left without range.
@@ -158,18 +159,20 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
         _plan(ids[part], starts[:, part], sizes[:, part], raws[:, part])
     # low has 48 bits and, above them, a carry into the word last put out.
     low, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
-    width = 2 * steps + 3
-    out, end = np.zeros(lanes * width, np.int32), np.arange(lanes) * width
-    first = end.copy()
+    puts: list[tuple[np.ndarray, np.ndarray]] = []  # blocks that put out a word, and the words
+    runs: list[tuple[np.ndarray, np.ndarray]] = []  # of some steps, how many words each block put out, and these block by block
+
+    def collect() -> None:
+        rows = np.concatenate([r for r, _ in puts])
+        runs.append((np.bincount(rows, minlength=lanes), np.concatenate([w for _, w in puts]).take(np.argsort(rows, kind="stable"))))
+        puts.clear()
 
     def shift(rows: np.ndarray) -> None:
         if len(rows):
-            a = low[rows]
-            at = end[rows]
-            out[at] = a >> 32
-            end[rows] = at + 1
+            a = low.take(rows)
+            puts.append((rows.astype(np.uint16), (a >> 32).astype(np.int32)))
             low[rows] = (a & _LOW) << 16
-            span[rows] <<= 16
+            span[rows] = span.take(rows) << 16
 
     live = np.searchsorted(-lens, -np.arange(steps), "left").tolist()  # blocks with an id at each step
     for t, n in enumerate(live):
@@ -183,16 +186,25 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
             low[rows] += part * ids[rows, t]
             span[rows] = part
             shift(rows[part < _DRY])
+        if len(puts) >= _COLLECTED:
+            collect()
     for _ in range(3):
-        out[end] = low >> 32
+        puts.append((np.arange(lanes, dtype=np.uint16), (low >> 32).astype(np.int32)))
         low = (low & _LOW) << 16
-        end += 1
+    collect()
+    counts = np.array([n for n, _ in runs])
+    ends = np.cumsum(counts.sum(0))
+    starts = (ends - counts.sum(0) + np.cumsum(counts, 0) - counts).ravel()
+    counts = counts.ravel()
+    out = np.empty(int(counts.sum()), np.int32)
+    out[np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(len(out))] = np.concatenate([w for _, w in runs])
+    ends = ends.tolist()
     while len(over := np.flatnonzero(out > 0xFFFF)):
         carry = out[over] >> 16
         out[over] &= 0xFFFF
         out[over - 1] += carry
     words = out.astype("<u2")
-    return [words[a:b].tobytes() for a, b in zip(first.tolist(), end.tolist())]
+    return [words[a:b].tobytes() for a, b in zip([0, *ends], ends)]
 
 
 def decode_blocks(coded: list[bytes], lens: list[int]) -> list[np.ndarray]:
@@ -231,7 +243,7 @@ def _frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 def _decode(coded: list[bytes], lens: np.ndarray) -> list[np.ndarray]:
     steps, lanes = int(lens.max(initial=0)), len(coded)
     sizes = [len(c) // 2 + 2 for c in coded]
-    data = np.frombuffer(b"".join(c + bytes(4) for c in coded), "<u2").astype(np.int64)
+    data = np.frombuffer(b"".join(c + bytes(4) for c in coded), "<u2")
     pos = np.cumsum(sizes) - sizes
     # What the code is above the low end of the range.
     over, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
@@ -244,7 +256,7 @@ def _decode(coded: list[bytes], lens: np.ndarray) -> list[np.ndarray]:
     seen2, seen1 = np.zeros((lanes, _STATES, 2), np.int64), np.zeros((lanes, _STATES, 2), np.int64)
     before, before2 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)  # hashes of the last ids
     hashed = _HASHED.astype(np.int32)
-    ids = np.zeros((steps, lanes), np.uint16)
+    ids, by_lane = np.zeros((steps, lanes), np.uint16), np.zeros((lanes, steps), np.uint16)
     marks2, marks1 = np.zeros((steps, lanes), np.uint8), np.zeros((steps, lanes), np.uint8)
 
     def shift(rows: np.ndarray) -> None:
@@ -260,9 +272,10 @@ def _decode(coded: list[bytes], lens: np.ndarray) -> list[np.ndarray]:
         if t in updates:
             for seen, marks in ((seen2, marks2), (seen1, marks1)):
                 seen += np.bincount((row * (2 * _STATES) + marks[done:t]).ravel(), minlength=seen.size).reshape(seen.shape)
+            by_lane[:, done:t] = ids[done:t].T
             done = t
             share2, share1 = _shares(seen2).ravel(), _shares(seen1).ravel()
-            place, first, entry, ends = _frequencies(np.ascontiguousarray(ids[:t].T))
+            place, first, entry, ends = _frequencies(by_lane[:, :t])
         o, s, b1 = over[:n], span[:n], before[:n]
         k1, k2 = tables[:n] + b1, tables[:n] + (before2[:n] * 1223 + b1 & (1 << _HASH) - 1)
         e1, e2 = table1.take(k1), table2.take(k2)
@@ -298,7 +311,8 @@ def _decode(coded: list[bytes], lens: np.ndarray) -> list[np.ndarray]:
         table1[k1] = x | _NEXT.take(m1)
         before2[:n] = b1
         before[:n] = hashed.take(x)
-    return [ids[:n, i].copy() for i, n in enumerate(lens)]
+    by_lane[:, done:] = ids[done:].T
+    return [by_lane[i, :n] for i, n in enumerate(lens)]
 
 
 def frames(blocks: list[tuple[int, int, int, np.ndarray]]) -> list[bytes]:
