@@ -36,3 +36,7 @@ def test_size_counts_the_incomplete_row(spark, incomplete):
 @pytest.mark.parametrize("name", [f"resample_{k}_{n}d" for k in ("nearest", "linear", "cubic") for n in (2, 3)] + ["resample_mask", "radiomics_wavelet", "radiomics_log", "radiomics_gradient"])
 def test_axes_reach_to_the_incomplete_row(spark, incomplete, name):
     agrees(spark, incomplete, name)
+
+
+def test_array_has_the_cells_of_the_image(spark, incomplete):
+    agrees(spark, incomplete, "array_frames")
