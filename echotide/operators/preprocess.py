@@ -217,6 +217,7 @@ def fill_holes(mask: DataFrame, dims: int, slicewise: bool = True, one_task: int
     """Holes of a mask filled: as a whole and then, in 3-D, slice by slice along each axis in turn.
 
     Masks of up to `one_task` cells are filled in a task each; where one is larger, all are filled by tiles.
+    A mask that isn't a whole box has its border at the box's; cells that it lacks join nothing.
     """
     most = mask.groupBy("scan_id", "seg_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     if most > one_task:
@@ -249,7 +250,8 @@ def _filled_in_tasks(mask: DataFrame, dims: int, slicewise: bool) -> DataFrame:
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         where = tuple((pdf[c] - pdf[c].min()).to_numpy() for c in names)
-        grid = np.zeros([int(w.max()) + 1 for w in where], bool)
+        # Cells that the table lacks are walls: no path leads through them.
+        grid = np.ones([int(w.max()) + 1 for w in where], bool)
         grid[where] = pdf["m"] > 0
         grid = _filled(grid)
         for axis in range(dims) if slicewise and dims == 3 else ():

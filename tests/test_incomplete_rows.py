@@ -38,5 +38,21 @@ def test_axes_reach_to_the_incomplete_row(spark, incomplete, name):
     agrees(spark, incomplete, name)
 
 
+@pytest.mark.parametrize("name", ["fill_holes", "fill_holes_tiles"])
+def test_missing_cells_are_walls(spark, incomplete, name):
+    agrees(spark, incomplete, name)
+
+
+def test_holes_beside_missing_cells(spark):
+    """A background cell above a missing one is a hole; one with a way to the border isn't."""
+    from echotide.operators.preprocess import fill_holes
+
+    have = {(a, s): int((a, s) not in {(2, 1), (1, 3), (0, 3)}) for a in range(4) for s in range(5) if not (a == 3 and s)}
+    mask = spark.createDataFrame([("a", "r", a, s, m) for (a, s), m in have.items()], "scan_id string, seg_id string, ax int, sag int, m smallint")
+    want = {k: m if k in {(1, 3), (0, 3)} else 1 for k, m in have.items()}
+    for one_task in (1 << 24, 0):
+        assert {(r.ax, r.sag): r.m for r in fill_holes(mask, 2, one_task=one_task, tile=2).collect()} == want
+
+
 def test_array_has_the_cells_of_the_image(spark, incomplete):
     agrees(spark, incomplete, "array_frames")
