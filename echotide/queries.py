@@ -785,9 +785,15 @@ def study_windows(spark, d):
 
 @query("frame_function", f"WITH {CINE2}, box AS (SELECT min(ax) AS a0, max(ax) AS a1, min(sag) AS s0, max(sag) AS s1 FROM cells WHERE m > 0), v AS (SELECT frame, max(value) FILTER (m = 1) - avg(value) FILTER (m <> 1) AS x, (max(value) FILTER (m = 1))::DOUBLE AS y FROM vox, box WHERE ax BETWEEN a0 AND a1 AND sag BETWEEN s0 AND s1 GROUP BY frame) SELECT frame, unnest(['Contrast', 'Top']) AS curve_name, round(unnest([x, y]), 6) + 0.0 AS value FROM v")
 def frame_function(spark, d):
-    """A curve type that a user wrote over arrays: its highest value inside against the mean around."""
+    """A curve type that a user wrote over arrays: its highest value inside against the mean around, of the cells that the image has."""
     cine = X.cine(spark, d, 2)
-    kind = C.FrameFunction(lambda frame, mask, unit: (["Contrast", "Top"], [frame[mask].max() / unit - frame[~mask].mean() / unit, frame[mask].max() / unit]), ("Contrast", "Top"), {"unit": 1.0})
+
+    def against(frame, mask, unit):
+        around = frame[~mask & (frame == frame)]
+        top = frame[mask].max() / unit
+        return ["Contrast", "Top"], [top - around.mean() / unit if len(around) else None, top]
+
+    kind = C.FrameFunction(against, ("Contrast", "Top"), {"unit": 1.0})
     found = C.roi_texture(cine, X.mask(spark, d, 2), 2, kind.curves, kind.names(), 0.5, cine.select("scan_id", "frame").distinct(), kind.around)
     return found.select("frame", "curve_name", number(F.col("value"), 6).alias("value"))
 

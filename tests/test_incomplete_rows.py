@@ -54,5 +54,9 @@ def test_holes_beside_missing_cells(spark):
         assert {(r.ax, r.sag): r.m for r in fill_holes(mask, 2, one_task=one_task, tile=2).collect()} == want
 
 
+def test_mean_around_leaves_missing_cells_out(spark, incomplete):
+    agrees(spark, incomplete, "frame_function")
+
+
 def test_array_has_the_cells_of_the_image(spark, incomplete):
     agrees(spark, incomplete, "array_frames")
