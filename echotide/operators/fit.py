@@ -21,56 +21,87 @@ MAX_STEPS, TRIAL_STEPS, RESTART = 400, 12, 1e-4
 CELLS = 1 << 16
 
 
-def model(t: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Values at t (curves x frames) of parameters (curves x auc, mu, sigma, t0); 0 where not finite."""
-    auc, mu, sigma, t0 = (c[:, None] for c in p.T)
+def _parts(t: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of times t (frames x curves) and parameters p (curves x auc, mu, sigma, t0): where time is after t0, time since then (1 elsewhere), how far its logarithm is from mu, and the model's divisor and exponential."""
+    _, mu, sigma, t0 = p.T
     s = t - t0
     ok = s > 0
     s = np.where(ok, s, 1.0)
-    y = auc / (s * sigma * np.sqrt(2 * np.pi)) * np.exp(-((np.log(s) - mu) ** 2) / (2 * sigma**2))
+    z = np.log(s) - mu
+    return ok, s, z, s * sigma * np.sqrt(2 * np.pi), np.exp(-(z**2) / (2 * sigma**2))
+
+
+def _scaled(area: np.ndarray | float, ok: np.ndarray, divisor: np.ndarray, power: np.ndarray) -> np.ndarray:
+    y = area / divisor * power
     return np.where(ok & np.isfinite(y), y, 0.0)
 
 
-def _jacobian(t: np.ndarray, p: np.ndarray) -> np.ndarray:
-    auc, mu, sigma, t0 = (c[:, None] for c in p.T)
-    unit = model(t, np.column_stack([np.ones(len(p)), p[:, 1:]]))
+def model(t: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Values at t (curves x frames) of parameters (curves x auc, mu, sigma, t0); 0 where not finite."""
+    ok, _, _, divisor, power = _parts(t.T, p)
+    return _scaled(p[:, 0], ok, divisor, power).T
+
+
+def _squares(r: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray((r**2).T).sum(1)
+
+
+def _products(ok: np.ndarray, s: np.ndarray, z: np.ndarray, divisor: np.ndarray, power: np.ndarray, r: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over frames of derivatives times the residual (curves x 4) and times each other (curves x 4 x 4)."""
+    if len(p) == 1:  # a curve alone would be summed in another order than among others
+        return tuple(x[:1] for x in _products(*(np.repeat(x, 2, 1) for x in (ok, s, z, divisor, power, r)), np.repeat(p, 2, 0)))
+    auc, _, sigma, _ = p.T
+    unit = _scaled(1.0, ok, divisor, power)
     y = unit * auc
-    s = np.where(t - t0 > 0, t - t0, 1.0)
-    z = np.log(s) - mu
-    return np.stack([unit, y * z / sigma**2, y * (z**2 / sigma**3 - 1 / sigma), y * (1 / s + z / (sigma**2 * s))], -1)
+    j = [unit, y * z / sigma**2, y * (z**2 / sigma**3 - 1 / sigma), y * (1 / s + z / (sigma**2 * s))]
+    g, h = np.empty((len(p), 4)), np.empty((len(p), 4, 4))
+    for a in range(4):
+        g[:, a] = np.einsum("nb,nb->b", j[a], r)
+        for b in range(a, 4):
+            h[:, a, b] = h[:, b, a] = np.einsum("nb,nb->b", j[a], j[b])
+    return g, h
+
 
+def _descend(t: np.ndarray, y: np.ndarray, p: np.ndarray, floor: np.ndarray, ceil: np.ndarray, steps: int = MAX_STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """Parameters and losses after damped least-squares steps from p within the bounds. Padding is 0 in t and y, which adds nothing as t0 isn't negative.
 
-def _descend(t: np.ndarray, y: np.ndarray, weight: np.ndarray, p: np.ndarray, floor: np.ndarray, ceil: np.ndarray, steps: int = MAX_STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Parameters and losses after damped least-squares steps from p within the bounds."""
-    p = np.clip(p, floor, ceil)
-    loss = (((model(t, p) - y) * weight) ** 2).sum(1)
-    damp = np.full(len(t), 1e-3)
-    active = np.ones(len(t), bool)
+    The model is computed once a step, derivatives only where a step was taken; a curve leaves the arrays when its descent ends. Frames come first,
+    so that sums over them run over many curves at a time.
+    """
+    t, y, p = np.ascontiguousarray(t.T), np.ascontiguousarray(y.T), np.clip(p, floor, ceil)
+    out, losses, live = p.copy(), np.empty(len(p)), np.arange(len(p))
+    parts = _parts(t, p)
+    r = _scaled(p[:, 0], parts[0], *parts[3:]) - y
+    loss, damp = _squares(r), np.full(len(p), 1e-3)
+    slope, curvature = _products(*parts, r, p)
     for _ in range(steps):
-        k = np.flatnonzero(active)
-        if not len(k):
+        if not len(live):
             break
-        r = (model(t[k], p[k]) - y[k]) * weight[k]
-        j = _jacobian(t[k], p[k]) * weight[k][:, :, None]
-        g = np.einsum("bni,bn->bi", j, r)
-        h = np.einsum("bni,bnj->bij", j, j)
         # A parameter at a bound that the descent would push it through stays out of the step.
-        held = (p[k] <= floor) & (g > 0) | (p[k] >= ceil[k]) & (g < 0)
-        h[held[:, :, None] | held[:, None, :]] = 0.0
-        g = np.where(held, 0.0, g)
+        held = (p <= floor) & (slope > 0) | (p >= ceil) & (slope < 0)
+        h = np.where(held[:, :, None] | held[:, None, :], 0.0, curvature)
         diagonal = np.einsum("bii->bi", h)
-        a = h + np.einsum("bi,ij->bij", damp[k][:, None] * np.maximum(diagonal, 1e-12) + np.where(held, 1.0, 1e-12), np.eye(4))
-        step = -np.linalg.solve(a, g[:, :, None])[:, :, 0]
-        new = np.clip(p[k] + step, floor, ceil[k])
-        newer = (((model(t[k], new) - y[k]) * weight[k]) ** 2).sum(1)
-        better = newer < loss[k]
-        moved = np.abs(new - p[k]).max(1) > 1e-10 * (1 + np.abs(p[k]).max(1))
-        gain = loss[k] - newer
-        p[k[better]] = new[better]
-        active[k] = np.where(better, moved & (gain > 1e-10 * (1e-30 + loss[k])), damp[k] < 1e10)
-        loss[k] = np.where(better, newer, loss[k])
-        damp[k] = np.where(better, np.maximum(damp[k] / 5, 1e-12), damp[k] * 4)
-    return p, loss
+        diagonal += damp[:, None] * np.maximum(diagonal, 1e-12) + np.where(held, 1.0, 1e-12)
+        new = np.clip(p - np.linalg.solve(h, np.where(held, 0.0, slope)[:, :, None])[:, :, 0], floor, ceil)
+        parts = _parts(t, new)
+        r = _scaled(new[:, 0], parts[0], *parts[3:]) - y
+        newer = _squares(r)
+        better = newer < loss
+        moved = np.abs(new - p).max(1) > 1e-10 * (1 + np.abs(p).max(1))
+        stay = np.where(better, moved & (loss - newer > 1e-10 * (1e-30 + loss)), damp < 1e10)
+        p[better] = new[better]
+        loss = np.where(better, newer, loss)
+        damp = np.where(better, np.maximum(damp / 5, 1e-12), damp * 4)
+        k = np.flatnonzero(better & stay)
+        if len(k):
+            slope[k], curvature[k] = _products(*(np.take(x, k, 1) for x in (*parts, r)), p[k])
+        if not stay.all():
+            ended = live[~stay]
+            out[ended], losses[ended] = p[~stay], loss[~stay]
+            live, p, ceil, loss, damp, slope, curvature = (x[stay] for x in (live, p, ceil, loss, damp, slope, curvature))
+            t, y = np.compress(stay, t, 1), np.compress(stay, y, 1)
+    out[live], losses[live] = p, loss
+    return out, losses
 
 
 def fit(t: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -91,15 +122,15 @@ def fit(t: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
     good = np.flatnonzero((n > 1) & np.isfinite(high) & (high > 0) & (peak > 0) & ~np.isnan(np.where(inside, y, 0)).any(1))
     if not len(good):
         return out
-    t, inside, n, peak = t[good], inside[good], n[good], peak[good]
+    inside, n, peak = inside[good], n[good], peak[good]
+    t = np.where(inside, t[good], 0.0)
     y = shifted[good] / high[good][:, None]
     each = np.arange(len(t))
     last, top, apart = t[each, n - 1], t[each, peak], t[:, 1] - t[:, 0]
     floor = np.array([0.0, 0.0, 0.01, 0.0])
     ceil = np.column_stack([np.full(len(t), np.inf), np.full(len(t), np.inf), np.full(len(t), 5.0), last])
-    weight = inside.astype(float)
     area = y.sum(1) * apart
-    p, loss = _descend(t, y, weight, np.column_stack([area, np.log(peak), np.full(len(t), 0.5), 0.15 * top]), floor, ceil)
+    p, loss = _descend(t, y, np.column_stack([area, np.log(peak), np.full(len(t), 0.5), 0.15 * top]), floor, ceil)
     energy = (y**2).sum(1)
     rise = t[each, np.maximum((y > 0.01).argmax(1) - 1, 0)]
     again = np.flatnonzero(loss > RESTART * energy)
@@ -108,11 +139,11 @@ def fit(t: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
         for sigma in (0.25, 0.7):
             t0 = onset * rise[again]
             start = np.column_stack([area[again], np.log(np.maximum(top[again] - t0, 0.1 * apart[again])) + sigma**2, np.full(len(again), sigma), t0])
-            new, newer = _descend(t[again], y[again], weight[again], start, floor, ceil[again], TRIAL_STEPS)
+            new, newer = _descend(t[again], y[again], start, floor, ceil[again], TRIAL_STEPS)
             better = newer < least
             best[better], least[better] = new[better], newer[better]
     if len(again):
-        best, least = _descend(t[again], y[again], weight[again], best, floor, ceil[again])
+        best, least = _descend(t[again], y[again], best, floor, ceil[again])
         better = least < loss[again]
         p[again[better]] = best[better]
     auc, mu, sigma, t0 = p.T
