@@ -16,8 +16,9 @@ SCAN_NAME, SEG_NAME, WINDOW_INDEX, TIME = "Scan Name", "Segmentation Name", "Win
 
 
 def curves_wide(curves: DataFrame, names: Sequence[str]) -> DataFrame:
-    """One row per frame, a column per curve."""
-    return curves.groupBy("scan_id", "seg_id", "window_ix", "frame", "time_s").pivot("curve_name", list(names)).agg(F.first("value"))
+    """One row per frame, a column per curve; the first value there is counts. One aggregation, so that curves of a frame meet before the shuffle."""
+    values = (F.first(F.when(F.col("curve_name") == n, F.col("value")), ignorenulls=True).alias(n) for n in names)
+    return curves.groupBy("scan_id", "seg_id", "window_ix", "frame", "time_s").agg(*values)
 
 
 def save_curves(curves: DataFrame, path: str, names: Sequence[str], windows: DataFrame | None = None) -> None:
