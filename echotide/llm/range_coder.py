@@ -27,7 +27,7 @@ import numpy as np
 MAGIC = b"TCM2"
 HEADER = struct.Struct("<4sIIIQIII")
 BLOCK_IDS, LANES = 4096, 2048
-_PLANNED = 64  # blocks that the encoder looks through at a time
+_PLANNED = 32  # blocks that the encoder looks through at a time
 _COLLECTED = 64  # steps' words that it sorts by block at a time
 UPDATES = (0, 32, 96, 224, 480, 992, 1760, 2528, 3296)
 _HASH, _STATES = 10, 8
