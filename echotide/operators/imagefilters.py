@@ -23,9 +23,9 @@ TYPES = ("Original", "Wavelet", "LoG", "Square", "SquareRoot", "Logarithm", "Exp
 
 
 def along(cells: DataFrame, dims: int, keys: Sequence[str], axis: str, table: Sequence[tuple], sums: Mapping[str, tuple[str, int]]) -> DataFrame:
-    """One pass along an axis. table: (source, target, weight, ...); sums: by name, the column and the number of the weight that it is summed with."""
+    """One pass along an axis. table: (source, target, weight, ...), empty where the axis has no cells; sums: by name, the column and the number of the weight that it is summed with."""
     rest = [c for c in axes(dims) if c != axis]
-    width = len(table[0]) - 2
+    width = 1 + max(k for _, k in sums.values())
     t = cells.sparkSession.createDataFrame(list(table), f"{axis} int, __to int, {', '.join(f'__w{k} double' for k in range(width))}")
     met = cells.join(F.broadcast(t), axis)
     return met.groupBy(*keys, *rest, F.col("__to").alias(axis)).agg(*(F.sum(F.col(c) * F.col(f"__w{k}")).alias(name) for name, (c, k) in sums.items()))

@@ -60,3 +60,24 @@ def test_mean_around_leaves_missing_cells_out(spark, incomplete):
 
 def test_array_has_the_cells_of_the_image(spark, incomplete):
     agrees(spark, incomplete, "array_frames")
+
+
+@pytest.fixture(scope="module", params=["one cell in the last row", "keys shifted past a gap", "no vectors"])
+def other_sizes(spark, sf_dir, tmp_path_factory, request):
+    folder, ident = str(tmp_path_factory.mktemp("sizes")), F.col("vec_id")
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    if request.param == "one cell in the last row":
+        vectors = vectors.where(ident < 451)
+    elif request.param == "keys shifted past a gap":
+        vectors = vectors.where(ident < 213)
+        vectors = vectors.unionByName(vectors.withColumn("vec_id", ident + 1000))
+    else:
+        vectors = vectors.where(ident < 0)
+    vectors.write.parquet(f"{folder}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+    return folder, con
+
+
+def test_laplacian_of_gaussian_at_other_sizes(spark, other_sizes):
+    agrees(spark, other_sizes, "radiomics_log")
