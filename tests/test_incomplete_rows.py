@@ -81,3 +81,7 @@ def other_sizes(spark, sf_dir, tmp_path_factory, request):
 
 def test_laplacian_of_gaussian_at_other_sizes(spark, other_sizes):
     agrees(spark, other_sizes, "radiomics_log")
+
+
+def test_wavelet_at_other_sizes(spark, other_sizes):
+    agrees(spark, other_sizes, "radiomics_wavelet")
