@@ -85,3 +85,7 @@ def test_laplacian_of_gaussian_at_other_sizes(spark, other_sizes):
 
 def test_wavelet_at_other_sizes(spark, other_sizes):
     agrees(spark, other_sizes, "radiomics_wavelet")
+
+
+def test_linear_2d_at_other_sizes(spark, other_sizes):
+    agrees(spark, other_sizes, "resample_linear_2d")
