@@ -89,3 +89,7 @@ def test_wavelet_at_other_sizes(spark, other_sizes):
 
 def test_linear_2d_at_other_sizes(spark, other_sizes):
     agrees(spark, other_sizes, "resample_linear_2d")
+
+
+def test_linear_3d_at_other_sizes(spark, other_sizes):
+    agrees(spark, other_sizes, "resample_linear_3d")
