@@ -93,3 +93,7 @@ def test_linear_2d_at_other_sizes(spark, other_sizes):
 
 def test_linear_3d_at_other_sizes(spark, other_sizes):
     agrees(spark, other_sizes, "resample_linear_3d")
+
+
+def test_mask_at_other_sizes(spark, other_sizes):
+    agrees(spark, other_sizes, "resample_mask")
