@@ -97,3 +97,7 @@ def test_linear_3d_at_other_sizes(spark, other_sizes):
 
 def test_mask_at_other_sizes(spark, other_sizes):
     agrees(spark, other_sizes, "resample_mask")
+
+
+def test_nearest_2d_at_other_sizes(spark, other_sizes):
+    agrees(spark, other_sizes, "resample_nearest_2d")
