@@ -68,7 +68,7 @@ def resample(cells: DataFrame, shape: Sequence[int], old: Sequence[float], new:
             table = spark.createDataFrame(_targets(n, o, w, interp) or [(0, -1, 0.0)], f"__to_{name} int, {name} int, __w_{name} double")
             out = out.join(F.broadcast(table), name)
             weight = weight * F.col(f"__w_{name}")
-        total = F.first(value) if interp == "nearest" else F.sum(F.col(value) * weight)
+        total = F.first(value, ignorenulls=True) if interp == "nearest" else F.sum(F.col(value) * weight)
         out = out.groupBy(*keys, *(F.col(f"__to_{c}").alias(c) for c in names)).agg(total.alias(value))
     if to_type:
         out = out.withColumn(value, (F.rint(value) if to_type in ("tinyint", "smallint", "int", "bigint") else F.col(value)).cast(to_type))

@@ -342,7 +342,7 @@ OLD, NEW = (1.0, 1.0, 1.0), (1.5, 0.8, 0.75)
 
 
 def _resampled(spark, d, dims, interp, new=NEW):
-    out = preprocess.resample(X.cine(spark, d, dims), X.shape(spark, d, dims), OLD[:dims], new[:dims], interp)
+    out = preprocess.resample(X.cine(spark, d, dims, whole=interp != "cubic"), X.shape(spark, d, dims), OLD[:dims], new[:dims], interp)
     return out.select("frame", *["ax", "sag", "cor"][:dims], number(F.col("value"), 6).alias("value"))
 
 

@@ -101,3 +101,18 @@ def test_mask_at_other_sizes(spark, other_sizes):
 
 def test_nearest_2d_at_other_sizes(spark, other_sizes):
     agrees(spark, other_sizes, "resample_nearest_2d")
+
+
+@pytest.fixture(scope="module")
+def uneven(spark, sf_dir, tmp_path_factory):
+    """Vectors that are null, short, long, or have null elements."""
+    folder, ident, e = str(tmp_path_factory.mktemp("uneven")), F.col("vec_id"), F.col("embedding")
+    kinds = F.when(ident % 7 == 3, F.lit(None)).when(ident % 11 == 4, F.slice(e, 1, 10)).when(ident % 13 == 5, F.concat(e, e)).when(ident % 5 == 1, F.transform(e, lambda x, i: F.when(i % 3 == 0, x))).otherwise(e)
+    spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(ident < 213).withColumn("embedding", kinds).write.parquet(f"{folder}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+    return folder, con
+
+
+def test_linear_2d_of_uneven_vectors(spark, uneven):
+    agrees(spark, uneven, "resample_linear_2d")
