@@ -116,3 +116,7 @@ def uneven(spark, sf_dir, tmp_path_factory):
 
 def test_linear_2d_of_uneven_vectors(spark, uneven):
     agrees(spark, uneven, "resample_linear_2d")
+
+
+def test_linear_3d_of_uneven_vectors(spark, uneven):
+    agrees(spark, uneven, "resample_linear_3d")
