@@ -120,3 +120,8 @@ def test_linear_2d_of_uneven_vectors(spark, uneven):
 
 def test_linear_3d_of_uneven_vectors(spark, uneven):
     agrees(spark, uneven, "resample_linear_3d")
+
+
+@pytest.mark.parametrize("dims", [2, 3])
+def test_nearest_of_uneven_vectors(spark, uneven, dims):
+    agrees(spark, uneven, f"resample_nearest_{dims}d")
